@@ -7,31 +7,73 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vcspark.llm.exact_dedup import exact_dedup
+from vcspark.llm.extraction import extract_pages
+from vcspark.llm.langid import identify_pages
+from vcspark.llm.lm_scoring import score_documents
+from vcspark.llm.mixing import mix_sources
+from vcspark.llm.near_dedup import near_duplicates
+from vcspark.llm.packing import pack_documents
 from vcspark.llm.topk import top_k, usable_vectors
 from vcspark.llm.url_filter import filter_urls
+from vcspark.llm.warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_score": op3_lm_score,
     "op4_exact_topk": op4_exact_topk,
+    "op5_language_id": op5_language_id,
+    "op6_pack": op6_pack,
     "op7_url_filter": op7_url_filter,
+    "op8_warc": op8_warc,
+    "op9_extract_html": op9_extract_html,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
@@ -77,5 +119,18 @@ WITH p AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
 FROM r
+""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, html, octet_length(html::BLOB)::BIGINT AS payload_bytes, sha1(html) AS h FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 5 * (i // 4)::INTEGER + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY html)
 """,
 }
