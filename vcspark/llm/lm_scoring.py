@@ -127,13 +127,13 @@ def _bigrams(ids: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     w1[1:] = ids[:-1]
     starts = (np.cumsum(counts) - counts)[counts > 0]
     w1[starts] = _START
-    salt = mix(doc.astype(_U) + _U(1))
-    _, inverse, tf = np.unique(mix(ids) ^ salt, return_inverse=True, return_counts=True)
+    owner = doc.astype(_U)
+    _, inverse, tf = np.unique(combine([owner, ids]), return_inverse=True, return_counts=True)
     tf2 = tf[inverse]
     tf1 = np.empty_like(tf2)
     tf1[1:] = tf2[:-1]
     tf1[starts] = counts[counts > 0]
-    _, first, tf12 = np.unique(combine([w1, ids]) ^ salt, return_index=True, return_counts=True)
+    _, first, tf12 = np.unique(combine([owner, w1, ids]), return_index=True, return_counts=True)
     return {"w1": w1[first], "w2": ids[first], "doc": doc[first], "tf12": tf12, "tf1": tf1[first], "tf2": tf2[first]}
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _U = np.uint64
@@ -124,7 +125,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.
 
 def batches(table: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a record batch in runs of at most ``size`` bytes of text, one row at least."""
-    lengths = np.asarray(pa.compute.binary_length(table.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lengths = np.asarray(pc.binary_length(table.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     total = np.cumsum(lengths)
     at = 0
     while at < table.num_rows:
