@@ -84,7 +84,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``copies`` is how often the mix takes the document, ``taken`` = copies * size; no
     document is taken more than ``cap`` times. Sums of ``taken`` by source come within
-    the last document left over of ``target``. All chance is a hash of the row and
+    half of the last document left over, which is rounded to the nearer side, of
+    ``target``. All chance is a hash of the row and
     ``seed``, so reruns agree. Null and wordless texts have size 0: they are taken the
     whole part of target / source size times. Rows that repeat an id are rounded each
     for itself. A null source is a source. Other columns are not read.
@@ -109,8 +110,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         settled.append(folded.select(*about, F.inline("f.done")).select("doc_id", "size", *about, "extra"))
         left = folded.where("f.left is not null").select(*about, F.col("block"), F.col("f.left").alias("item"))
         if blocks <= 1:
-            chance = (F.xxhash64("item.h", F.lit(seed + depth + 1)).bitwiseAND(F.lit(2**53 - 1)) / float(2**53)) < F.col("item.p")
-            settled.append(left.select("item.doc_id", "item.size", *about, chance.cast("int").alias("extra")))
+            settled.append(left.select("item.doc_id", "item.size", *about, (F.col("item.p") >= 0.5).cast("int").alias("extra")))
             break
         level, blocks, depth = left.withColumn("block", F.floor(F.col("block") / BLOCK)), -(-blocks // BLOCK), depth + 1
     out = settled[0]
