@@ -51,7 +51,8 @@ def attribute_checks(p: dict[str, Column], q: dict[str, Column]) -> list[tuple[C
 def image_quality(images: Column) -> Column:
     """(shorter side - 200) / 600 of the first picture of known size, within 0..1; 0.5 without one."""
     first = F.get(F.filter(images, lambda i: (F.coalesce(i["width"], F.lit(0)) > 0) & (F.coalesce(i["height"], F.lit(0)) > 0)), F.lit(0))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.least(first["width"], first["height"]) - 200) / 600)), F.lit(0.5))
+    side = F.least(first["width"], first["height"])
+    return F.when(first.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (side - 200) / 600)))
 
 
 def combine_scores(visual: Column, text: Column, attribute: Column, has_image: Column, has_text: Column) -> Column:
