@@ -124,7 +124,7 @@ FROM r
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
 ), d AS (
-  SELECT page_id, html, octet_length(html::BLOB)::BIGINT AS payload_bytes, sha1(html) AS h FROM p
+  SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p
 )
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
