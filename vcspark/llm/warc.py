@@ -213,7 +213,7 @@ def export_archives(archives: DataFrame, folder: str) -> DataFrame:
         for part in parts:
             for data, n in zip(part.archive, part.records):
                 path = f"{root}/warc-{hashlib.sha1(data).hexdigest()}.warc.zst"
-                with store.open_output_stream(path) as out:
+                with store.open_output_stream(path, compression=None) as out:  # the archive is compressed already
                     out.write(data)
                 yield pd.DataFrame({"path": [path], "records": [n]})
 
