@@ -23,8 +23,8 @@ BROADCAST_ROWS = 200_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose evidence fits one of the corpus's languages better than none (null and letterless texts go)."""
-    return identify_documents(docs).where(F.col("detected_lang") != UND).select(*docs.columns)
+    """Documents whose evidence fits one of the corpus's languages better than none (null and letterless texts go; where no language has been learned, all others stay)."""
+    return identify_documents(docs).where(~F.col("detected_lang").eqNullSafe(UND)).select(*docs.columns)
 
 
 def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:

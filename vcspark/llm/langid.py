@@ -53,13 +53,21 @@ def _trigrams(text: str) -> np.ndarray:
     return (grams * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
-def train(rows: DataFrame, label: str, text: str, max_rows: int = TRAINING_ROWS) -> Model:
+def train(rows: DataFrame, key: str, label: str, text: str, max_rows: int = TRAINING_ROWS) -> Model:
     """A model from at most ``max_rows`` labelled rows, those with the smallest hashes.
 
-    Labels are primary subtags; those of fewer than ``LEAST_ROWS`` rows of the sample,
+    About twice as many rows as wanted pass a threshold on the hash, whatever the
+    number of rows; if too few of them have a label, the threshold is raised. Labels are primary subtags; those of fewer than ``LEAST_ROWS`` rows of the sample,
     and beyond the ``MAX_LANGUAGES`` most frequent, are no languages of the model.
     """
-    sample = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text")).orderBy(F.xxhash64("label", "text")).limit(max_rows)
+    total, part = rows.count(), 2.0
+    while True:
+        share = min(1.0, part * max_rows / max(1, total))
+        near = rows.where(F.pmod(F.xxhash64(key), F.lit(2**40)) < int(share * 2**40)).select(F.col(label).alias("label"), F.col(text).alias("text")).where("label is not null and text is not null")
+        sample = save_shared(near.orderBy(F.xxhash64("label", "text")).limit(max_rows), "lang-sample")
+        if share >= 1 or sample.count() >= max_rows:
+            break
+        part *= 8
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS, np.int64)
@@ -126,7 +134,8 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     Tables of votes by host, domain, suffix and declared language cover all rows.
     A null or unknown declared language, an empty suffix and an empty host say nothing.
     Equal probabilities: the smaller language name, ``und`` last. A text without
-    letters is ``und`` with probability 1.
+    letters is ``und`` with probability 1. If no language has been learned, any other
+    text has a null ``lang``: nothing speaks for or against it.
     """
     classes = [*languages, UND]
     known = F.when(F.col("declared").isin(*languages), F.col("declared")).when(F.col("declared").isNotNull(), "other")
@@ -158,7 +167,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     out = out.withColumn("__e", evidence).withColumn("__max", F.array_max("__e"))
     place = (F.array_position(F.col("__e"), F.col("__max")) - 1).cast("int")
     total = F.aggregate("__e", F.lit(0.0), lambda a, e: a + F.exp(e - F.col("__max")))
-    lang = F.when(F.col("grams") == 0, UND).otherwise(F.array(*map(F.lit, classes))[place])
+    lang = F.when(F.col("grams") == 0, UND).otherwise(F.array(*map(F.lit, classes))[place] if languages else F.lit(None).cast("string"))
     return out.withColumn("lang", lang).withColumn("prob", F.when(F.col("grams") == 0, 1.0).otherwise(F.round(1 / total, 6))).drop("__e", "__max", "declared_class", "prior", "by_suffix", "by_declared")
 
 
@@ -172,7 +181,7 @@ def identify_pages(pages: DataFrame, max_rows: int = TRAINING_ROWS) -> DataFrame
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     stated = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,8})", 1))
     visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>|&[a-z]+;", " ")
-    model = train(source.select(F.when(stated != "", stated).alias("label"), visible.alias("text")), "label", "text", max_rows)
+    model = train(source.select("page_id", F.when(stated != "", stated).alias("label"), visible.alias("text")), "page_id", "label", "text", max_rows)
     host = host_of("url")
     addressed = source.select("page_id", host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)(?::\d+)?$", 1).alias("suffix"), "html", F.xxhash64("page_id", "url").alias("__spread"))
     seen = save_shared(text_evidence(addressed, model, ["page_id", "host", "suffix", "__spread"], "html", from_html=True), "lang-pages")
@@ -189,7 +198,7 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     carried = [c for c in docs.columns if c not in ("detected_lang", "detected_prob")]
     stated = F.lower(F.regexp_extract(F.col(lang_col).cast("string"), r"^\s*([a-zA-Z]{2,8})", 1))
     stated = F.when(stated != "", stated)
-    model = train(docs.select(stated.alias("label"), F.col(text_col).alias("text")), "label", "text", max_rows)
+    model = train(docs.select(F.col(id_col).alias("key"), stated.alias("label"), F.col(text_col).alias("text")), "key", "label", "text", max_rows)
     rows = docs.select(F.struct(*carried).alias("__row"), F.col(text_col).alias("__t"), stated.alias("declared"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("host"), F.lit("").alias("suffix"), F.xxhash64(id_col).alias("__spread"))
     seen = save_shared(text_evidence(rows, model, ["__row", "declared", "host", "suffix", "__spread"], "__t"), "lang-documents")
     fused = fuse(seen, model.languages)
