@@ -152,15 +152,13 @@ def _exploded(docs: DataFrame, frequent: object, buckets: int) -> DataFrame:
                 key = np.where(w2 > _START, mix(w2), np.where((w1 < _U(TOP)) & (w2 < _U(TOP)) | (w1 == _START), mix(ids.view(_U)[grams["doc"]]), combine([w1, w2])))
                 bucket = (key % _U(buckets)).astype(np.int64)
                 order = np.lexsort((w1, w2, bucket))
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                held, first = np.unique(bucket[order], return_index=True)
                 out: tuple[list, list, list] = ([], [], [])
-                for b in range(buckets):
-                    at = order[cuts[b] : cuts[b + 1]]
-                    if len(at):
-                        who, doc = np.unique(grams["doc"][at], return_inverse=True)
-                        out[0].append(b)
-                        out[1].append(ids[who].tobytes())
-                        out[2].append(_pack({**{n: grams[n][at] for n, _ in _TYPES}, "doc": doc}))
+                for b, at in zip(held.tolist(), np.split(order, first[1:])):
+                    who, doc = np.unique(grams["doc"][at], return_inverse=True)
+                    out[0].append(b)
+                    out[1].append(ids[who].tobytes())
+                    out[2].append(_pack({**{n: grams[n][at] for n, _ in _TYPES}, "doc": doc}))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "ids", "grams"])
 
     return docs.mapInArrow(run, "bucket int, ids binary, grams binary")
