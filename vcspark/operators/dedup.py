@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from vcspark.functions.hashing import bands, hamming
 from vcspark.functions.taxonomy import identity_key
+from vcspark.operators.skew import salted_join
+from vcspark.sources.shared import save_shared
 
 # Levels from strong to weak, largest hash distance, least vector similarity.
 LEVELS = ["source_product_id", "canonical_url", "exact_image_hash", "sku_gtin", "perceptual_hash", "embedding", "brand_title_color"]
@@ -27,6 +29,28 @@ def near_hash_pairs(left: DataFrame, right: DataFrame, distance: int = HASH_DIST
     return met.where(F.col("band") == first).withColumn("distance", hamming("left_hash", "right_hash")).where(F.col("distance") <= distance).select("left_id", "right_id", "distance")
 
 
+def hash_classes(rows: DataFrame) -> DataFrame:
+    """(hash, rep, copies) of hashes (id, hash): each distinct hash with its smallest id and its number of ids."""
+    return rows.where(F.length("hash") == 16).groupBy("hash").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
+
+
+def near_hash_groups(rows: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
+    """(left_id, right_id, distance) from which all pairs within ``distance`` bits follow, of hashes (id, hash) with one hash for each id.
+
+    A class is the ids of one hash, its representative the smallest. Rows at distance 0
+    are membership: the representative and each other id of the class. The others are
+    pairs of representatives, the smaller id first. Two ids are near if they are in one
+    class or their classes' representatives are a pair; the rows grow with the ids and
+    the pairs of distinct hashes, not with the square of a class.
+    """
+    classes = save_shared(hash_classes(rows), "hash-classes")
+    distinct = classes.select(F.col("rep").alias("id"), "hash")
+    pairs = near_hash_pairs(distinct, distinct, distance).where("left_id < right_id")
+    shared = classes.where("copies > 1").select("hash", "rep", "copies")
+    members = salted_join(rows.select("id", "hash").distinct(), shared, ["hash"], "copies", "id", "inner").where("id <> rep")
+    return members.select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(0).alias("distance")).unionByName(pairs)
+
+
 def _different_product() -> Column:
     """Same source but another product id and no common sku or gtin: the shop says they differ."""
     col = F.col

@@ -13,6 +13,7 @@ from vcspark.functions import taxonomy, text, vectors
 from vcspark.functions.hashing import hamming, hash_embedding, sha256_key
 from vcspark.operators import dedup, matching, ranking, upserts
 from vcspark.plans.registry import query, table
+from vcspark.sources.shared import save_shared
 
 _STRICT = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -198,12 +199,23 @@ SELECT x.id AS left_id, y.id AS right_id, (bit_count(xor(x.a, y.a)) + bit_count(
 FROM n x JOIN n y ON x.id < y.id AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6
 """)
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Near pairs among perceptual-like hashes of sightings, by blocks."""
+    """Near pairs among perceptual-like hashes of every 97th sighting, as its SQL has it; ``hamming_groups`` takes all."""
+    hashes = _sighting_hashes(spark, d).where("id % 97 = 0").groupBy("id").agg(F.min("hash").alias("hash"))
+    return dedup.near_hash_pairs(hashes, hashes).where("left_id < right_id")
+
+
+def _sighting_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, hash): perceptual-like hashes of all sightings."""
     digest = F.md5(F.date_format("l_shipdate", "yyyy-MM-dd"))
     end = F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "N", "3").otherwise("7")
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat(F.substring(digest, 1, 13), F.lit("00"), end).alias("hash"))
-    hashes = rows.where("id % 97 = 0").groupBy("id").agg(F.min("hash").alias("hash"))
-    return dedup.near_hash_pairs(hashes, hashes).where("left_id < right_id")
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat(F.substring(digest, 1, 13), F.lit("00"), end).alias("hash"))
+
+
+@query()
+def hamming_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Near pairs among the hashes of all sightings: membership of classes, and pairs of their representatives."""
+    hashes = _sighting_hashes(spark, d).groupBy("id").agg(F.min("hash").alias("hash"))
+    return dedup.near_hash_groups(save_shared(hashes, "sighting-hashes"))
 
 
 @query(
