@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tests.test_queries import comparable
 from vcspark import plans
+from vcspark.operators import matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +31,40 @@ def test_hamming_groups_hold_every_near_pair(spark):
     for n, (i, a) in enumerate(known):
         want |= {(i, j, d) for j, b in known[n + 1 :] if (d := (a ^ b).bit_count()) <= 6}
     assert len(got) == len(set(got)) and set(got) == want and any(i % 97 for _, i, _ in want)
+
+
+ONE_A_LABEL = "QUALIFY row_number() OVER (PARTITION BY label ORDER BY p_partkey) = 1"
+WHOLE = ["vector_topk_all", "vector_topk_filtered_all", "text_overlap_topk_all", "cosine_neighbours_all"]
+WIDENED = dict(zip(WHOLE, [(ONE_A_LABEL, "WHERE p_partkey % 50 = 0")] * 2 + [("WHERE source = 'src1'", ""), ("WHERE vec_id < 500", "")]))
+
+
+@pytest.fixture(scope="module")
+def larger(tmp_path_factory):
+    """The smallest tables, with vectors also under ids from 500 on."""
+    folder = tmp_path_factory.mktemp("larger")
+    con = duckdb.connect()
+    for t in ("part", "documents", "benchmark", "embeddings"):
+        rows = pd.read_parquet(f"{SF}/{t}.parquet")
+        if t == "embeddings":
+            rows = pd.concat([rows, rows.assign(vec_id=rows.vec_id + len(rows))])
+        rows.to_parquet(f"{folder}/{t}.parquet", index=False)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_query_equals_sql_without_the_cut(spark, larger, name):
+    folder, con = larger
+    cut, whole = WIDENED[name]
+    narrow = plans.ORACLE_SQL[name.removesuffix("_all")]
+    assert cut in narrow
+    got = comparable(plans.QUERIES[name](spark, folder).toPandas())
+    assert got == comparable(con.sql(narrow.replace(cut, whole)).df())
+    assert got != comparable(con.sql(narrow).df())
+
+
+def test_blocks_of_queries_change_nothing(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)], None) for i in range(60)], "query_id long, vector array<double>, category string")
+    products = rows.withColumnRenamed("query_id", "product_id")
+    whole = sorted(map(tuple, matching.match_vectors(rows, products, 5, 0.2).collect()))
+    assert whole == sorted(map(tuple, matching.match_vectors_in_blocks(rows, products, 5, 0.2, block=9).collect())) and len(whole) == 300

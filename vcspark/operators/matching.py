@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from vcspark.functions.vectors import cosine_raw
 WEIGHTS = {"both": (0.6, 0.25, 0.15), "image": (0.85, 0.0, 0.15), "text": (0.0, 0.8, 0.2)}
 MIN_IMAGE_SCORE, MIN_TEXT_SCORE, TOP_K, MOST_K, HASH_DISTANCE, TIE_BAND = 0.82, 0.35, 10, 50, 6, 0.005
 BROADCAST_QUERIES = 200_000
+BLOCK_QUERIES = 100_000
 
 
 def visual_score(query_sha: Column, shas: Column, query_hash: Column, product_hash: Column, similarity: Column) -> Column:
@@ -89,3 +92,10 @@ def match_vectors(queries: DataFrame, products: DataFrame, k: int = TOP_K, least
     visual = F.greatest(F.lit(0.0), cosine_raw("pv", "qv"))
     scored = pairs.select("query_id", "product_id", F.round(visual, digits).alias("visual_score"), F.round(WEIGHTS["image"][0] * visual + WEIGHTS["image"][2] * F.lit(1.0), digits).alias("final_score"))
     return rank_matches(scored, "query_id", "product_id", k, least)
+
+
+def match_vectors_in_blocks(queries: DataFrame, products: DataFrame, k: int = TOP_K, least: float = MIN_IMAGE_SCORE, block: int = BLOCK_QUERIES) -> DataFrame:
+    """``match_vectors`` for any number of queries: about ``block`` of them at a time, dealt by the hash of the id, against all products."""
+    blocks = max(1, -(-queries.count() // block))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [match_vectors(queries.where(part == b), products, k, least) for b in range(blocks)])

@@ -70,6 +70,25 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _match(spark, d, 5, True)
 
 
+def _match_all(spark: SparkSession, d: str, k: int, filtered: bool) -> DataFrame:
+    """Every product whose id is divisible by 50 as a query, in blocks, against all products."""
+    products = _products(spark, d)
+    kind = F.col("p_type") if filtered else F.lit(None).cast("string")
+    asked = products.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("embedding").alias("vector"), kind.alias("category"))
+    searched = products.select(F.col("p_partkey").alias("product_id"), F.col("embedding").alias("vector"), kind.alias("category"))
+    return matching.match_vectors_in_blocks(asked, searched, k=k, least=0.2)
+
+
+@query()
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return _match_all(spark, d, 10, False)
+
+
+@query()
+def vector_topk_filtered_all(spark: SparkSession, d: str) -> DataFrame:
+    return _match_all(spark, d, 5, True)
+
+
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 42")
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where("p_partkey = 42").select("p_partkey", "p_name", "p_brand")
@@ -269,8 +288,18 @@ SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER B
 """
 )
 def text_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The three documents of a shop that hold most of each query text's words, by an inverted list of words."""
-    words = table(spark, d, "documents").where("source = 'src1'").select("doc_id", text.tokens("text").alias("pt"))
+    """The three documents of a shop that hold most of each query text's words; ``text_overlap_topk_all`` searches all shops."""
+    return _text_overlap(spark, d, table(spark, d, "documents").where("source = 'src1'"))
+
+
+@query()
+def text_overlap_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return _text_overlap(spark, d, table(spark, d, "documents"))
+
+
+def _text_overlap(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+    """The three of ``docs`` that hold most of each query text's words, by an inverted list of words."""
+    words = docs.select("doc_id", text.tokens("text").alias("pt"))
     asked = table(spark, d, "benchmark").select("item_id", text.tokens("text").alias("qt"))
     met = words.select("doc_id", F.explode("pt").alias("w")).join(asked.select("item_id", F.size("qt").alias("n"), F.explode("qt").alias("w")), "w")
     counted = met.groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.first("n"), 4).alias("overlap"))
@@ -462,7 +491,16 @@ FROM v a JOIN v b ON a.label = b.label AND a.vec_id + 10 = b.vec_id
 """
 )
 def cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").where("vec_id < 500")
+    return _cosine_neighbours(table(spark, d, "embeddings").where("vec_id < 500"))
+
+
+@query()
+def cosine_neighbours_all(spark: SparkSession, d: str) -> DataFrame:
+    return _cosine_neighbours(table(spark, d, "embeddings"))
+
+
+def _cosine_neighbours(v: DataFrame) -> DataFrame:
+    """Cosine of each vector and the one ten ids on, if both have one label."""
     a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("ea")), v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("eb"), (F.col("vec_id") - 10).alias("a"))
     return a.join(b, ["a", "label"]).select("a", "b", F.round(vectors.cosine_raw("ea", "eb"), 4).alias("cosine"))
 
