@@ -8,13 +8,13 @@ One more class, ``und``, has all trigrams equally likely: what fits no language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vcspark.llm.blocks import blocks_of, declared_language
@@ -26,8 +26,9 @@ from vcspark.sources.shared import save_shared
 UND = "und"
 BUCKETS = 1 << 16
 TRAINING_ROWS = 4000
-MAX_LANGUAGES = 64
 LEAST_ROWS = 5
+#: Training rows of each language where an equal share of ``max_rows`` would be less.
+LABEL_ROWS = 100
 SMOOTHING = 10.0
 #: Trigrams overlap, so each counts for a part of one; evidence of a text is bounded.
 TRIGRAM_WEIGHT = 1 / 3
@@ -53,33 +54,41 @@ def _trigrams(text: str) -> np.ndarray:
     return (grams * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
-def train(rows: DataFrame, key: str, label: str, text: str, max_rows: int = TRAINING_ROWS) -> Model:
-    """A model from at most ``max_rows`` labelled rows, those with the smallest hashes.
+def train(rows: DataFrame, key: str, label: str, raw: str, max_rows: int = TRAINING_ROWS, parse: Callable[[str], Column] = F.col) -> Model:
+    """A model of every label that ``LEAST_ROWS`` rows or more have; ``parse`` makes the text from column ``raw``.
 
-    About twice as many rows as wanted pass a threshold on the hash, whatever the
-    number of rows; if too few of them have a label, the threshold is raised. Labels are primary subtags; those of fewer than ``LEAST_ROWS`` rows of the sample,
-    and beyond the ``MAX_LANGUAGES`` most frequent, are no languages of the model.
+    Labels are primary subtags, counted over all rows, so which languages exist doesn't
+    depend on a sample. Each trains on its rows with the smallest hashes: on equal
+    shares of ``max_rows``, but on ``LABEL_ROWS`` each where languages are so many that
+    their share would be less. About twice as many rows as wanted pass a threshold on
+    the hash, which comes from the label's own count, before a text is parsed; if keys
+    repeat so that too few do, it is raised.
     """
-    total, part = rows.count(), 2.0
+    stated = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(raw).alias("raw")).where("label is not null and raw is not null")
+    labels = save_shared(stated.groupBy("label").agg(F.count("*").alias("rows_n")).where(F.col("rows_n") >= LEAST_ROWS), "lang-labels")
+    wanted = max(LABEL_ROWS, max_rows // max(1, labels.count()))
+    order, part = Window.partitionBy("label").orderBy(F.xxhash64("label", "text")), 2.0
     while True:
-        share = min(1.0, part * max_rows / max(1, total))
-        near = rows.where(F.pmod(F.xxhash64(key), F.lit(2**40)) < int(share * 2**40)).select(F.col(label).alias("label"), F.col(text).alias("text")).where("label is not null and text is not null")
-        sample = save_shared(near.orderBy(F.xxhash64("label", "text")).limit(max_rows), "lang-sample")
-        if share >= 1 or sample.count() >= max_rows:
+        bounds = labels.select("label", "rows_n", (F.least(F.lit(1.0), F.lit(part * wanted) / F.col("rows_n")) * 2.0**40).cast("long").alias("bound"))
+        near = stated.join(F.broadcast(bounds), "label").where(F.pmod(F.xxhash64("key"), F.lit(2**40)) < F.col("bound"))
+        sample = save_shared(near.select("label", parse("raw").alias("text")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted), "lang-sample")
+        sampled = sample.groupBy("label").agg(F.count("*").alias("n"))
+        short = bounds.join(sampled, "label", "left").where((F.col("bound") < 2**40) & (F.coalesce("n", F.lit(0)) < F.least("rows_n", F.lit(wanted))))
+        if short.isEmpty():
             break
         part *= 8
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS, np.int64)
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        counts = np.full(BUCKETS, _ADDED)
         for t in group.text:
-            total += np.bincount(_trigrams(t), minlength=BUCKETS)
-        return pd.DataFrame({"label": [group.label.iloc[0]], "n": [len(group)], "counts": [total]})
+            counts += np.bincount(_trigrams(t), minlength=BUCKETS)
+        return pd.DataFrame({"label": [group.label.iloc[0]], "logs": [np.log(counts / counts.sum()).astype(np.float32)]})
 
-    counted = sample.groupBy("label").applyInPandas(count, "label string, n long, counts array<long>")
-    found = counted.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).toPandas().sort_values("label")
-    counts = np.array([np.asarray(c) for c in found.counts], float).reshape(len(found), BUCKETS) + _ADDED
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True)).T
-    return Model(found.label.tolist(), np.hstack([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))]).astype(np.float32))
+    found = sample.groupBy("label").applyInPandas(learn, "label string, logs array<float>").toPandas().sort_values("label")
+    logs = np.full((BUCKETS, len(found) + 1), -np.log(BUCKETS), np.float32)
+    for i, column in enumerate(found.logs):
+        logs[:, i] = column
+    return Model(found.label.tolist(), logs)
 
 
 def text_evidence(rows: DataFrame, model: Model, keep: list[str], text: str, from_html: bool = False) -> DataFrame:
@@ -174,14 +183,14 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
 def identify_pages(pages: DataFrame, max_rows: int = TRAINING_ROWS) -> DataFrame:
     """(page_id, host, suffix, declared, text_lang, grams, lang, prob), one row for each row of ``pages`` (page_id, url, html).
 
-    The model is trained on a bounded sample of pages by their declared language; the
+    The model is trained on a bounded sample of pages of each declared language; the
     evidence tables cover all pages. Null html has no letters (``und``), a null url an
     empty host. Whole pages are read; other columns are not.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     stated = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,8})", 1))
-    visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>|&[a-z]+;", " ")
-    model = train(source.select("page_id", F.when(stated != "", stated).alias("label"), visible.alias("text")), "page_id", "label", "text", max_rows)
+    visible = lambda html: F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>|&[a-z]+;", " ")
+    model = train(source.select("page_id", F.when(stated != "", stated).alias("label"), "html"), "page_id", "label", "html", max_rows, visible)
     host = host_of("url")
     addressed = source.select("page_id", host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)(?::\d+)?$", 1).alias("suffix"), "html", F.xxhash64("page_id", "url").alias("__spread"))
     seen = save_shared(text_evidence(addressed, model, ["page_id", "host", "suffix", "__spread"], "html", from_html=True), "lang-pages")
@@ -191,14 +200,14 @@ def identify_pages(pages: DataFrame, max_rows: int = TRAINING_ROWS) -> DataFrame
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_rows: int = TRAINING_ROWS) -> DataFrame:
     """(input's columns, detected_lang, detected_prob), one row for each row of ``docs``.
 
-    ``lang_col`` is the declared language and trains the model (a bounded sample),
+    ``lang_col`` is the declared language and trains the model (a bounded sample of each),
     ``source_col`` is the host; there is no address suffix. Text without letters, null
     and empty text are ``und``. Added columns replace any of the same name.
     """
     carried = [c for c in docs.columns if c not in ("detected_lang", "detected_prob")]
     stated = F.lower(F.regexp_extract(F.col(lang_col).cast("string"), r"^\s*([a-zA-Z]{2,8})", 1))
     stated = F.when(stated != "", stated)
-    model = train(docs.select(F.col(id_col).alias("key"), stated.alias("label"), F.col(text_col).alias("text")), "key", "label", "text", max_rows)
+    model = train(docs.select(F.col(id_col).alias("key"), stated.alias("label"), F.col(text_col).cast("string").alias("text")), "key", "label", "text", max_rows)
     rows = docs.select(F.struct(*carried).alias("__row"), F.col(text_col).alias("__t"), stated.alias("declared"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("host"), F.lit("").alias("suffix"), F.xxhash64(id_col).alias("__spread"))
     seen = save_shared(text_evidence(rows, model, ["__row", "declared", "host", "suffix", "__spread"], "__t"), "lang-documents")
     fused = fuse(seen, model.languages)
