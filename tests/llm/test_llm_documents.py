@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vcspark.llm import fuse_filter, queries
+from vcspark.llm import fuse_filter, near_dedup, queries
 from vcspark.llm.components import connected_components
 from vcspark.llm.exact_dedup import add_batch, exact_dedup
 from vcspark.llm.langid import UND, identify_documents, identify_pages
@@ -216,6 +216,30 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(map(tuple, got)) == near_rows(rows, 2)
 
 
+def test_near_copies_over_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Lists and groups far larger than a block, most of whose members no first block joins."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rows = near_copies(groups=4, size=60)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), width=2).collect()
+    assert sorted(map(tuple, got)) == near_rows(rows, 2)
+
+
+OTHER_TEXTS = [[" ".join(f"{t}{i}" for i in range(40))] for t in ("p", "q", "r", "s")]
+
+
+@pytest.mark.parametrize("other", range(4))
+def test_near_links_of_an_id_with_two_texts_and_of_null_ids(spark, other):
+    """Whichever of an id's texts has the smaller digest, and without any id, links are found."""
+    text = [f"w{i}" for i in range(60)]
+    changed = " ".join([*text[:59], "changed"])
+    rows = [(3, OTHER_TEXTS[other][0]), (3, " ".join(text)), (7, changed), (None, " ".join(f"n{i}" for i in range(60))), (9, " ".join([*(f"n{i}" for i in range(59)), "x"])), (None, "alone in the world"), (None, "ALONE in the  world")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(3, 3, True), (3, 3, True), (7, 3, False), (None, 9, False), (9, 9, True), (None, None, True), (None, None, True)])
+    by_key = near_duplicates(spark.createDataFrame([(*r, bytearray([i])) for i, r in enumerate(rows)], "doc_id long, text string, k binary"), width=2, key_col="k").collect()
+    # (id, key) names a document: of the last two, which are equal, the smaller key stays
+    assert sorted((r.key[0], r.kept) for r in by_key) == [(0, True), (1, True), (2, False), (3, False), (4, True), (5, True), (6, False)]
+
+
 def test_near_edges(edges):
     got = {r.doc_id: r for r in near_duplicates(edges, width=2).collect() if r.doc_id is not None}
     assert {got[i].component_id for i in (5, 6, 7, 8)} == {5} and got[5].kept and not got[8].kept

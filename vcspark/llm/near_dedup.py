@@ -1,32 +1,33 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 A document is the set of its distinct word shingles, as 64-bit hashes; its sketch is
-the ``k`` smallest. Documents with equal sets form a class, and one of each class
-goes on. Steps:
+the ``k`` smallest. Documents with equal sets form a class, and one of each class goes
+on. Steps:
 
 1. Inverted lists: each class lists the rarest of its retained values - so many that
-   two sets of the wanted similarity must meet in at least ``MEETINGS`` lists.
-2. Stars: each member of a list is tried against the list's smallest id. Whoever is
-   confirmed becomes a satellite of that centre, at a known Jaccard distance.
-3. Centres that meet in lists are compared. Jaccard distance is a metric, so
-   satellites of two centres can only be linked if the centres are closer than the
-   wanted distance plus both satellites' distances; only those pairs are tried.
-
-Every trial first estimates the similarity from the union's sketch and drops pairs
-that can't reach it (chance below ``MISS`` for a pair right at the limit), then counts
-the full sets. Lists never emit all pairs of a near-copy group: they are one centre
-and its satellites.
+   two sets of the wanted similarity must meet in one list. Values that one class
+   lists make no list.
+2. Estimation: the members of a list are compared on the sketch of their union, in one
+   task, which emits a spanning forest of what may be similar, never pairs. What the
+   forests of all lists join is a candidate group.
+3. Verification: the members of a candidate group meet with their full sets, and a
+   spanning forest of the exact links comes out.
+
+A list or group larger than a block is dealt over tasks: each block meets the first
+one, and only members that are still apart from the bulk then meet all blocks. So rows
+grow with members (and with members times the blocks of those apart), and a task holds
+two blocks, however large a group of copies is.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vcspark.llm.components import connected_components
@@ -35,9 +36,11 @@ from vcspark.operators.skew import salted_join, semi_join_ids
 from vcspark.sources.shared import save_shared
 
 SKETCH = 64
-MEETINGS = 4
 MISS = 1e-7
 FREQUENT = 1 << 17
+BLOCK = 1024
+BLOCK_VALUES = 1 << 19
+SMALL_LIST = 16
 
 
 def least_hits(trials: int, chance: float, miss: float = MISS) -> int:
@@ -51,8 +54,8 @@ def least_hits(trials: int, chance: float, miss: float = MISS) -> int:
     return hits
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: int | None) -> DataFrame:
-    """(doc_id, n, digest, values): the size and digest of each text's shingle set, and the set or its ``sketch`` smallest values."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: int | None, key_col: str | None = None) -> DataFrame:
+    """(doc_id, key, n, digest, values): the size and digest of each text's shingle set, and the set or its ``sketch`` smallest values."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -60,12 +63,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, sketch
                 sets = list(shingles(*word_hashes(rows.column("text")), width))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_column([s[:sketch] for s in sets], pa.int64())],
-                    names=["doc_id", "n", "digest", "values"],
+                    [rows.column("doc_id"), rows.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_column([s[:sketch] for s in sets], pa.int64())],
+                    names=["doc_id", "key", "n", "digest", "values"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, digest binary, values array<long>")
+    key = F.col(key_col).cast("binary") if key_col else F.lit(None).cast("binary")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, key binary, n long, digest binary, values array<long>")
 
 
 class _Limits:
@@ -77,33 +81,46 @@ class _Limits:
         self.overlap = max(1, least_hits(k, percent / 100))
 
     def listed(self, n: int) -> int:
-        """How many of its rarest retained values a set of ``n`` lists."""
+        """How many of its rarest retained values a set of ``n`` lists, to meet each similar set once at least."""
         least = -(-self.percent * n // 100) if n <= self.full else self.overlap
-        return min(n, self.k) - least + min(MEETINGS, least)
+        return min(n, self.k) - least + 1
 
-    def sizes_fit(self, least_a: Column, most_a: Column, least_b: Column, most_b: Column) -> Column:
-        return (most_a * 100 >= least_b * self.percent) & (most_b * 100 >= least_a * self.percent)
+    def sizes_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (100 * a >= self.percent * b) & (100 * b >= self.percent * a)
 
-    def meetings(self, n: Column) -> Column:
-        """In how many lists at least a set of ``n`` meets each set that is similar enough."""
-        least = F.ceil(n * self.percent / 100)
-        return F.least(F.lit(MEETINGS), F.when(n <= self.full, least).otherwise(self.overlap))
+
+def _frequent(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent retained values, at most ``FREQUENT``, sorted, and their counts.
+
+    Counts are first told apart by eighths of a power of two, to find from which on
+    the values are few enough; only those reach the driver.
+    """
+    counted = save_shared(sketches.select(F.explode("values").alias("value")).groupBy("value").count().where("count > 1"), "near-frequent")
+    levels = counted.groupBy(F.floor(F.log2("count") * 8).alias("level")).count().orderBy(F.desc("level")).collect()
+    level, total = None, 0
+    for row in levels:
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        level = row.level
+    if level is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = counted.where(F.floor(F.log2("count") * 8) >= level).toPandas().sort_values("value")
+    return top["value"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
 
 
 def _postings(sketches: DataFrame, limits: _Limits) -> DataFrame:
-    """(value, doc_id, n): each sketch under its rarest values, rare ones first.
+    """(value, cid, n): each sketch under its rarest values, rare ones first.
 
-    The ``FREQUENT`` most frequent values come last, by count; the order of the others
-    doesn't matter. Any fixed order is right, so the cut bounds only the broadcast.
+    The most frequent values come last, by count; the order of the others doesn't
+    matter. Any fixed order is right, so the cut bounds only the broadcast.
     """
-    spark = sketches.sparkSession
-    counted = sketches.select(F.explode("values").alias("value")).groupBy("value").count().where("count > 1").orderBy(F.desc("count"), "value").limit(FREQUENT).toPandas().sort_values("value")
-    frequent = spark.sparkContext.broadcast((counted.value.to_numpy(np.int64), counted["count"].to_numpy(np.int64)))
+    frequent = sketches.sparkSession.sparkContext.broadcast(_frequent(sketches))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
         for part in parts:
-            ids, sizes = part.column("doc_id").to_numpy(), part.column("n").to_numpy()
+            ids, sizes = part.column("cid").to_numpy(), part.column("n").to_numpy()
             values = part.column("values").flatten().to_numpy()
             ends = np.cumsum(np.minimum(sizes, limits.k))
             at = np.searchsorted(known, values)
@@ -119,47 +136,225 @@ def _postings(sketches: DataFrame, limits: _Limits) -> DataFrame:
                 keep.append(order + (end - m))
                 who.append(np.full(len(order), i))
             keep, who = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keep, who))
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(ids[who]), pa.array(sizes[who])], names=["value", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(ids[who]), pa.array(sizes[who])], names=["value", "cid", "n"])
+
+    return sketches.select("cid", "n", "values").mapInArrow(run, "value long, cid long, n long")
+
+
+def _fingerprints(sketches: DataFrame, k: int) -> DataFrame:
+    """(cid, n, data): sketches with two bytes of each value, in the values' order."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lengths = part.column("values").value_lengths().to_numpy()
+            table = np.zeros((part.num_rows, k), np.uint16)
+            table[np.arange(k) < lengths[:, None]] = part.column("values").flatten().to_numpy().astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("n"), pa.array([row.tobytes() for row in table], pa.binary())], names=["cid", "n", "data"])
+
+    return sketches.select("cid", "n", "values").mapInArrow(run, "cid long, n long, data binary")
 
-    return sketches.select("doc_id", "n", "values").mapInArrow(run, "value long, doc_id long, n long")
 
+def _whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by their group ``g``."""
+    rest: pa.Table | None = None
+    for part in parts:
+        table = pa.Table.from_batches([part] if rest is None else [*rest.to_batches(), part])
+        g = table.column("g").to_numpy()
+        last = int(np.searchsorted(g, g[-1])) if len(g) else 0
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest
 
-class _Verifier:
-    """Confirms pairs (a, b) on full sets after a look at their sketches."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, sketches: DataFrame, limits: _Limits) -> None:
-        self.docs, self.id_col, self.text_col, self.width = docs, id_col, text_col, width
-        self.sketches, self.limits = sketches, limits
+def _spanning(cids: np.ndarray, labels: np.ndarray, pivots: np.ndarray, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join what is ``similar``, one for each two labels that become one.
+
+    Each pivot is compared with all rows of other labels; ``similar(i, rows)`` returns
+    those of ``rows`` that row ``i`` is similar to.
+    """
+    _, label = np.unique(labels, return_inverse=True)
+    found = []
+    for i in pivots.tolist():
+        others = np.flatnonzero(label != label[i])
+        if not len(others):
+            break
+        hits = similar(i, others)
+        if len(hits):
+            names, first = np.unique(label[hits], return_index=True)
+            found += [(int(cids[i]), int(cids[j])) for j in hits[first]]
+            label[np.isin(label, names)] = label[i]
+    return found
 
-    def _attach(self, pairs: DataFrame, table: DataFrame) -> DataFrame:
-        """``pairs`` with ``table``'s n and values of both ends; an end with very many pairs is dealt over tasks."""
-        for end, other in (("b", "a"), ("a", "b")):
-            weights = pairs.groupBy(end).agg(F.count("*").alias("w"))
-            side = table.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("values").alias(f"v_{end}")).join(weights, end)
-            pairs = salted_join(pairs, side, [end], "w", other, "inner").drop("w")
-        return pairs
 
-    def near(self, pairs: DataFrame, slack: Column | None = None, name: str = "near") -> DataFrame:
-        """(a, b, shared, total): sizes of intersection and union of the pairs whose distance is at most the wanted one plus ``slack`` (a column of ``pairs``)."""
+class _Estimate:
+    """Whether sets may be similar enough, by the sketch of their union."""
+
+    def __init__(self, limits: _Limits) -> None:
+        self.limits = limits
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """For rows of fingerprints ``a`` and ``b``: False only where the sets aren't similar, or with chance ``MISS``."""
         k, percent = self.limits.k, self.limits.percent
-        pairs = pairs.withColumn("slack", F.lit(0.0) if slack is None else slack)
-        seen = self._attach(pairs, self.sketches)
-        seen = seen.withColumn("union", F.slice(F.array_sort(F.array_union("v_a", "v_b")), 1, k)).withColumn("hits", F.size(F.array_intersect("union", F.array_intersect("v_a", "v_b"))))
-        steps = [least_hits(k, max(0.0, percent / 100 - i / 20)) for i in range(21)]
-        bound = F.array(*map(F.lit, steps))[F.least(F.lit(20), F.ceil(F.col("slack") * 20)).cast("int")]
-        whole = (F.col("n_a") <= k) & (F.col("n_b") <= k) & (F.size(F.array_union("v_a", "v_b")) <= k)
-        hopeful = F.when(whole, F.col("hits") >= F.size("union") * (percent / 100 - F.col("slack")) - 1e-9).otherwise(F.col("hits") * F.lit(1.0) >= bound * F.size("union") / k)
-        pairs = save_shared(seen.where(hopeful).select("a", "b", "slack"), f"{name}-hopeful")
-        ids = save_shared(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-        wanted = semi_join_ids(self.docs.withColumn("doc_id", F.col(self.id_col).cast("long")), ids, "doc_id")
-        sets = shingle_sets(wanted, "doc_id", self.text_col, self.width, None).join(self.sketches.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-        full = self._attach(pairs, save_shared(sets.dropDuplicates(["doc_id"]), f"{name}-sets"))
-        counted = full.withColumn("shared", F.size(F.array_intersect("v_a", "v_b")).cast("long")).withColumn("total", F.col("n_a") + F.col("n_b") - F.col("shared"))
-        close = F.col("shared") * 100.0 >= F.col("total") * (F.lit(float(percent)) - 100 * F.col("slack")) - 1e-6
-        return save_shared(counted.where(close).select("a", "b", "shared", "total"), f"{name}-close")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+        at = np.arange(k, dtype=np.uint32)
+        side = lambda x, n, s: ((np.where(at < n[:, None], x, np.uint32(0x10000 + s)).astype(np.uint32) * np.uint32(2) + np.uint32(s)) * np.uint32(k)) + at
+        both = np.sort(np.concatenate([side(a, size_a, 0), side(b, size_b, 1)], axis=1), axis=1)
+        print_of = both // np.uint32(2 * k)
+        same = (print_of[:, 1:] == print_of[:, :-1]) & (print_of[:, 1:] < 0x10000)
+        shared = same.sum(axis=1)
+        whole = (size_a <= k) & (size_b <= k)
+        good = np.where(whole, shared * 100 >= percent * (size_a + size_b - shared), shared >= self.limits.overlap)
+        # the values that both retain also count only among the k smallest of the union
+        look = np.flatnonzero(good & ~whole)
+        if len(look):
+            rows, same = both[look], same[look]
+            ranks = (rows[:, 1:] % np.uint32(k)).astype(np.int64) + (rows[:, :-1] % np.uint32(k))
+            cross = same & ((rows[:, 1:] // np.uint32(k)) % 2 != (rows[:, :-1] // np.uint32(k)) % 2)
+            ranks = np.sort(np.where(cross, ranks, 1 << 30), axis=1)
+            hits = (ranks - np.arange(ranks.shape[1]) < k).sum(axis=1) + (same & ~cross).sum(axis=1)
+            good[look] = hits >= self.limits.overlap
+        return good
+
+
+def _may_link(limits: _Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidate forests (a, b) of lists; rows are (g, cid, n, data, label, pivot), sorted by g and cid."""
+    estimate = _Estimate(limits)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(parts):
+            g, cids, n, labels = (table.column(c).to_numpy() for c in ("g", "cid", "n", "label"))
+            pivot = table.column("pivot").to_numpy()
+            prints = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint16).reshape(-1, limits.k)
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            sizes = np.diff(np.r_[starts, len(g)])
+            small = np.repeat(sizes <= SMALL_LIST, sizes)
+            a, b = [], []
+            for gap in range(1, SMALL_LIST):
+                left = np.flatnonzero(small[:-gap] & (g[:-gap] == g[gap:]) & (labels[:-gap] != labels[gap:]) & (pivot[:-gap] | pivot[gap:])) if len(g) > gap else np.zeros(0, np.int64)
+                left = left[limits.sizes_fit(n[left], n[left + gap])]
+                for at in range(0, len(left), 8192):
+                    i = left[at : at + 8192]
+                    good = i[estimate(prints[i], prints[i + gap], n[i], n[i + gap])]
+                    a.append(cids[good])
+                    b.append(cids[good + gap])
+            for start, size in zip(starts[sizes > SMALL_LIST].tolist(), sizes[sizes > SMALL_LIST].tolist()):
+                own = slice(start, start + size)
+                p, m = prints[own], n[own]
+
+                def similar(i: int, rows: np.ndarray, p: np.ndarray = p, m: np.ndarray = m) -> np.ndarray:
+                    rows = rows[limits.sizes_fit(m[rows], m[i])]
+                    if not len(rows):
+                        return rows
+                    return rows[estimate(np.broadcast_to(p[i], (len(rows), limits.k)), p[rows], np.full(len(rows), m[i]), m[rows])]
+
+                links = _spanning(cids[own], labels[own], np.flatnonzero(pivot[own]), similar)
+                a.append(np.array([x for x, _ in links], np.int64))
+                b.append(np.array([y for _, y in links], np.int64))
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _link(limits: _Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Forests (a, b) of exact links; rows are (g, cid, n, data, label, pivot) with full sets, sorted by g."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(parts):
+            table = table.combine_chunks()
+            g, cids, n, labels = (table.column(c).to_numpy() for c in ("g", "cid", "n", "label"))
+            pivot = table.column("pivot").to_numpy()
+            links = []
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist()
+            for start, end in zip(starts, [*starts[1:], len(g)]):
+                m = n[start:end]
+                values = table.column("data").slice(start, end - start).combine_chunks().flatten().to_numpy()
+                names, name = np.unique(values, return_inverse=True)
+                owner = np.repeat(np.arange(end - start), m)[np.argsort(name, kind="stable")]
+                first = np.r_[0, np.cumsum(np.bincount(name, minlength=len(names)))]
+                own = np.r_[0, np.cumsum(m)]
+
+                def similar(i: int, rows: np.ndarray, m: np.ndarray = m, name: np.ndarray = name, owner: np.ndarray = owner, first: np.ndarray = first, own: np.ndarray = own) -> np.ndarray:
+                    mine = name[own[i] : own[i + 1]]
+                    counts = first[mine + 1] - first[mine]
+                    at = np.arange(counts.sum()) + np.repeat(first[mine] - np.r_[0, np.cumsum(counts)[:-1]], counts)
+                    shared = np.bincount(owner[at], minlength=len(m))[rows]
+                    return rows[100 * shared >= limits.percent * (m[rows] + m[i] - shared)]
+
+                links += _spanning(cids[start:end], labels[start:end], np.flatnonzero(pivot[start:end]), similar)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _forest(entries: DataFrame, payload: DataFrame, test: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b): links that ``test`` finds among the members of each key, enough to join all that it would; and their components, if made.
+
+    ``entries`` is a saved table (key, cid, parts): members, and into how many blocks
+    their key is dealt; ``payload`` (cid, n, data) is what ``test`` looks at. First
+    each block meets the key's first block. Then the members outside the key's
+    largest component - the ones still apart - meet all blocks.
+    """
+
+    def tested(rows: DataFrame) -> DataFrame:
+        full = rows.join(payload, "cid").select("g", "cid", "n", "data", "label", "pivot")
+        return full.repartition("g").sortWithinPartitions("g", "cid").mapInArrow(test, "a long, b long").distinct()
+
+    block = F.pmod(F.xxhash64("cid"), "parts").cast("int")
+    slots = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(block == 0, F.sequence(F.lit(1), F.greatest(F.col("parts") - 1, F.lit(1)))).otherwise(F.array(block))
+    near_first = entries.select("key", "cid", F.explode(slots).alias("slot")).select(F.xxhash64("key", "slot").alias("g"), "cid", F.col("cid").alias("label"), F.lit(True).alias("pivot"))
+    links = save_shared(tested(near_first), f"{name}-first")
+    large = entries.where("parts > 1")
+    if large.isEmpty():
+        return links, None
+    component = connected_components(links)
+    large = large.join(component.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "cid", "parts", F.coalesce("component", "cid").alias("label"))
+    large = save_shared(large, f"{name}-large")
+    by_label = large.groupBy("key", "label").agg(F.count("*").alias("c"))
+    bulk = by_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("bulk"), F.sum("c").alias("members"), F.max("c").alias("most"))
+    bulk = save_shared(bulk.where("members > most").select("key", "bulk", "members", F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("apart")), f"{name}-bulk")
+    rows = save_shared(salted_join(large, bulk, ["key"], "members", "cid", "inner"), f"{name}-apart")
+    if rows.isEmpty():
+        return links, component
+    group = lambda r, b: F.xxhash64("key", r, b).alias("g")
+    every = rows.withColumn("b", block).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("apart") - 1))).select(group("r", "b"), "cid", "label", F.lit(False).alias("pivot"))
+    apart = rows.where("label <> bulk").withColumn("r", F.pmod(F.xxhash64("cid", F.lit(1)), "apart").cast("int"))
+    apart = apart.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(group("r", "b"), "cid", "label", F.lit(True).alias("pivot"))
+    more = save_shared(tested(every.union(apart)), f"{name}-more")
+    return (links, component) if more.isEmpty() else (links.union(more), None)
+
+
+def _candidates(sketches: DataFrame, limits: _Limits) -> DataFrame:
+    """(cid, component): groups of classes that sketches can't tell to be unlike; classes alone have no row."""
+    postings = save_shared(_postings(sketches, limits), "near-postings")
+    lists = postings.groupBy("value").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    lists = save_shared(lists.where((F.col("c") > 2) | ((F.col("c") == 2) & (F.col("least") * 100 >= F.col("most") * limits.percent))).select("value", "c"), "near-lists")
+    listed = salted_join(postings.select("value", "cid"), lists, ["value"], "c", "cid", "inner")
+    listed = save_shared(listed.select(F.col("value").alias("key"), "cid", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "near-listed")
+    links, component = _forest(listed, save_shared(_fingerprints(sketches, limits.k), "near-prints"), _may_link(limits), "near-candidates")
+    component = connected_components(links) if component is None else component
+    return component.select(F.col("id").alias("cid"), "component")
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, width: int, classes: DataFrame, candidates: DataFrame, limits: _Limits) -> DataFrame:
+    """(a, b): a forest of the exact links within candidate groups."""
+    members = save_shared(candidates.join(classes.select("cid", "rep", "digest", "n"), "cid"), "near-members")
+    groups = members.groupBy("component").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int").alias("parts"))
+    entries = salted_join(members.select("component", "cid"), save_shared(groups, "near-groups"), ["component"], "c", "cid", "inner")
+    entries = save_shared(entries.select(F.col("component").alias("key"), "cid", "parts"), "near-entries")
+    # one row of each class brings its full set; a class without an id is looked for among the rows without one
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
+    ids = save_shared(members.where("rep is not null").select(F.col("rep").alias("__id")).distinct(), "near-ids")
+    wanted = semi_join_ids(rows, ids, "__id")
+    if not members.where("rep is null").isEmpty():
+        wanted = wanted.union(rows.where("__id is null"))
+    sets = shingle_sets(wanted, "__id", "text", width, None).join(members.select("digest", "cid"), "digest")
+    once = save_shared(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("values").alias("data")), "near-sets")
+    return _forest(entries, once, _link(limits), "near-links")[0]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = SKETCH, key_col: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Words are runs of anything but space and U+0009..U+000D, A-Z lower-cased; a set
@@ -167,64 +362,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     there are fewer. Documents are linked if 100 * intersection >= ``percent`` * union,
     counted on full sets; ``component_id`` is the smallest id that links reach, and
     ``kept`` marks that document. Null or wordless texts have no shingles and no
-    links. Rows with equal sets are linked; rows that repeat an id are one document
-    (the component is the smallest over its texts' components). A null id is in its
-    set's component but is nobody's representative: it is kept only if the component
-    has no other. Columns beside the two are not read.
+    links. Rows with equal sets are linked. Rows that repeat an id are one document,
+    so links of any of their texts are links of all. Rows with a null id are
+    documents of their own, linked like others, but nobody's representative: their
+    ``component_id`` is null, and they are kept, if their component has no other id.
+    Columns beside those named are not read.
+
+    With ``key_col`` (cast to binary), id and key together name a document, the result
+    has that ``key`` too, and exactly one (id, key) of a component is kept: the
+    smallest, null ids last.
     """
     limits = _Limits(percent, k)
-    sets = save_shared(shingle_sets(docs, id_col, text_col, width, k), "near-sketches")
-    classes = save_shared(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("values").alias("values")), "near-classes")
-    # an id that repeats with different texts may stand for two classes; a link joins them
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n", "values", "digest")
-    sketches = save_shared(reps.groupBy("doc_id").agg(F.min(F.struct("digest", "n", "values")).alias("s")).select("doc_id", "s.*"), "near-reps")
-    postings = _postings(sketches, limits)
-    heads = save_shared(postings.groupBy("value").agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).where("c > 1"), "near-heads")
-    listed = save_shared(salted_join(postings, heads, ["value"], "c", "doc_id", "inner"), "near-lists")
-    verifier = _Verifier(docs, id_col, text_col, width, sketches, limits)
-
-    # stars: each member of a list with the list's smallest id
-    size = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("size_a"))
-    tried = listed.where("doc_id <> head").groupBy(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("size_b")).count()
-    sizes = salted_join(tried, size.join(tried.groupBy("a").agg(F.count("*").alias("w")), "a"), ["a"], "w", "b", "inner")
-    tried = sizes.where((F.col("count") >= F.least(F.lit(2), limits.meetings(F.col("size_b")))) & limits.sizes_fit(F.col("size_a"), F.col("size_a"), F.col("size_b"), F.col("size_b"))).select("a", "b")
-    stars = verifier.near(save_shared(tried, "near-tried"), name="near-stars")
-    nearest = stars.groupBy("b").agg(F.min(F.struct((1 - F.col("shared") / F.col("total")).alias("d"), "a")).alias("m")).select(F.col("b").alias("doc_id"), F.col("m.a").alias("centre"), F.col("m.d").alias("d"))
-    nearest = save_shared(nearest, "near-nearest")
-    centres = nearest.select(F.col("centre").alias("doc_id")).distinct()
-    satellites = save_shared(nearest.join(centres, "doc_id", "left_anti"), "near-satellites")
-
-    # centres that meet in lists
-    placed = listed.select("value", "doc_id", "n").join(satellites, "doc_id", "left").withColumn("centre", F.coalesce("centre", "doc_id")).withColumn("d", F.coalesce("d", F.lit(0.0)))
-    placed = save_shared(placed, "near-placed")
-    entries = placed.groupBy("value", "centre").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("d").alias("d"))
-    several = entries.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
-    entries = save_shared(entries.join(several.select("value"), "value", "left_semi"), "near-entries")
-    x, y = (entries.select("value", F.col("centre").alias(s), F.col("least").alias(f"l{s}"), F.col("most").alias(f"m{s}"), F.col("d").alias(f"d{s}")) for s in "ab")
-    met = x.join(y, "value").where((F.col("a") < F.col("b")) & limits.sizes_fit(F.col("la"), F.col("ma"), F.col("lb"), F.col("mb")))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.min("la"), F.min("lb")).alias("least"), (F.max("da") + F.max("db")).alias("slack"))
-    met = save_shared(met.where(F.col("c") >= limits.meetings(F.col("least"))).select("a", "b", "slack"), "near-met")
-    close = verifier.near(met, F.col("slack"), name="near-centres")
-    linked = lambda t: t.where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
-    first = save_shared(linked(stars).union(linked(close)), "near-links")
-    joined = connected_components(first)
-
-    # satellites of centres that are near but not yet in one component
-    label = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    apart = close.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    apart = save_shared(apart.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("gap")), "near-apart")
-    more = first
-    if not apart.isEmpty():
-        member = lambda c, e: placed.select("value", F.col("centre").alias(c), F.col("doc_id").alias(e), F.col("n").alias(f"n{e}"), F.col("d").alias(f"d{e}"))
-        cross = apart.join(member("a", "x"), "a").join(member("b", "y"), ["b", "value"])
-        cross = cross.where((F.col("dx") + F.col("dy") >= F.col("gap") - (1 - percent / 100) - 1e-9) & limits.sizes_fit(F.col("nx"), F.col("nx"), F.col("ny"), F.col("ny")))
-        cross = cross.groupBy("x", "y").agg(F.count("*").alias("c"), F.least(F.min("nx"), F.min("ny")).alias("least")).where(F.col("c") >= limits.meetings(F.col("least")))
-        cross = save_shared(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near-cross")
-        if not cross.isEmpty():
-            more = save_shared(first.union(linked(verifier.near(cross, name="near-satellites"))), "near-links")
-            joined = connected_components(more)
-
-    component = classes.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "copies")
-    out = salted_join(sets.select("doc_id", "n", "digest"), save_shared(component, "near-components"), ["digest"], "copies", "doc_id")
-    component_id = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    sets = save_shared(shingle_sets(docs, id_col, text_col, width, k, key_col), "near-sketches")
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min(name).alias("name"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("values").alias("values"))
+    classes = save_shared(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "name", F.col("name.doc_id").alias("rep"), "copies", "n", "values"), "near-classes")
+    candidates = _candidates(classes, limits)
+    links = _verified(docs, id_col, text_col, width, classes, save_shared(candidates, "near-components"), limits)
+    if key_col is None:
+        repeated = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
+        texts = sets.where("n > 0").join(repeated, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "cid"), "digest")
+        first = texts.groupBy("doc_id").agg(F.min("cid").alias("a"))
+        links = links.union(texts.join(first, "doc_id").where("a <> cid").select("a", F.col("cid").alias("b")))
+    joined = connected_components(save_shared(links, "near-all-links"))
+
+    labelled = save_shared(joined.join(classes.select(F.col("cid").alias("id"), "name"), "id"), "near-labelled")
+    least = save_shared(labelled.groupBy("component").agg(F.min("name").alias("least"), F.count("*").alias("c")), "near-least")
+    named = salted_join(labelled.select("id", "component"), least, ["component"], "c", "id", "inner").select(F.col("id").alias("cid"), "least")
+    component = save_shared(classes.join(named, "cid", "left").select("digest", F.coalesce("least", "name").alias("least"), "copies"), "near-named")
+    out = salted_join(sets.select("doc_id", "key", "n", "digest"), component, ["digest"], "copies", "doc_id")
+    component_id = F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component_id)
+    if key_col is not None:
+        kept = kept & ((F.col("n") == 0) | F.col("key").eqNullSafe(F.col("least.key")))
+    extra = ["key"] if key_col is not None else []
+    return out.select("doc_id", *extra, F.col("n").alias("n_shingles"), component_id.alias("component_id"), kept.alias("kept"))
