@@ -28,6 +28,11 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_SIZE)), F.lit(0)).cast("long")
 
 
+def row_hash(id_col: str, text_col: str, seed: int = 1) -> Column:
+    """What a row's chances derive from."""
+    return F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, n, target) from (doc_id, source, size).
 
@@ -35,7 +40,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     sizes by weight. A target stops at ``cap`` times its source's size and the excess
     is shared again by weight until none is above; that is the level at which
     min(cap * size, weight * level) adds up to the total. Works on the table of
-    sources, one row each.
+    sources, one short row each, which one task sorts: their number may reach tens of
+    millions, so sources may be hosts, but not addresses.
     """
     stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     everything = Window.partitionBy(F.lit(0))
@@ -58,7 +64,7 @@ def _fold(seed: int) -> Column:
     # a is the document left over so far, b the next one; up: a gains, b loses
     return F.expr(
         f"""aggregate(items,
-          named_struct('left', cast(null as {item}), 'done', cast(array() as array<struct<doc_id:bigint,size:bigint,extra:int>>)),
+          named_struct('left', cast(null as {item}), 'done', cast(array() as array<struct<doc_id:bigint,h:bigint,size:bigint,extra:int>>)),
           (s, b) -> if(s.left is null, named_struct('left', b, 'done', s.done),
             transform(array(named_struct(
               'a', s.left, 'b', b,
@@ -74,13 +80,13 @@ def _fold(seed: int) -> Column:
                 'left', case when r.pa > 0D and r.pa < 1D then named_struct('size', m.a.size, 'h', m.a.h, 'doc_id', m.a.doc_id, 'p', r.pa)
                              when r.pb > 0D and r.pb < 1D then named_struct('size', m.b.size, 'h', m.b.h, 'doc_id', m.b.doc_id, 'p', r.pb) end,
                 'done', concat(s.done,
-                  if(r.pa > 0D and r.pa < 1D, array(), array(named_struct('doc_id', m.a.doc_id, 'size', m.a.size, 'extra', cast(r.pa >= 1D as int)))),
-                  if(r.pb > 0D and r.pb < 1D, array(), array(named_struct('doc_id', m.b.doc_id, 'size', m.b.size, 'extra', cast(r.pb >= 1D as int)))))))[0])[0]))"""
+                  if(r.pa > 0D and r.pa < 1D, array(), array(named_struct('doc_id', m.a.doc_id, 'h', m.a.h, 'size', m.a.size, 'extra', cast(r.pa >= 1D as int)))),
+                  if(r.pb > 0D and r.pb < 1D, array(), array(named_struct('doc_id', m.b.doc_id, 'h', m.b.h, 'size', m.b.size, 'extra', cast(r.pb >= 1D as int)))))))[0])[0]))"""
     )
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, copies), one row for each row of ``docs``.
+    """(doc_id, size, source_size, target, taken, source, copies, row_hash), one row for each row of ``docs``.
 
     ``copies`` is how often the mix takes the document, ``taken`` = copies * size; no
     document is taken more than ``cap`` times. Sums of ``taken`` by source come within
@@ -88,9 +94,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``target``. All chance is a hash of the row and
     ``seed``, so reruns agree. Null and wordless texts have size 0: they are taken the
     whole part of target / source size times. Rows that repeat an id are rounded each
-    for itself. A null source is a source. Other columns are not read.
+    for itself; ``row_hash``, a hash of id and text, tells their texts apart. A null
+    source is a source. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)).alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), row_hash(id_col, text_col, seed).alias("h"))
     rows = save_shared(rows, "mix-sizes")
     sources = save_shared(source_targets(rows, weights, cap), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
@@ -100,21 +107,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rate = F.when(F.col("source_size") == 0, 0.0).when(F.col("target") >= F.col("source_size") * float(cap), float(cap)).otherwise(F.col("target") / F.col("source_size"))
     rated = joined.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
     about = ["source", "source_size", "target", "whole"]
-    certain = rated.where("size = 0 or p = 0").select("doc_id", "size", *about, F.lit(0).alias("extra"))
+    certain = rated.where("size = 0 or p = 0").select("doc_id", "h", "size", *about, F.lit(0).alias("extra"))
     block = F.pmod(F.xxhash64("h", "doc_id"), F.ceil(F.col("n") / BLOCK))
     level = rated.where("size > 0 and p > 0").select(*about, block.alias("block"), F.struct("size", "h", "doc_id", "p").alias("item"))
     settled, blocks, depth = [certain], -(-most // BLOCK), 0
     while True:
         items = level.groupBy(*about, "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
         folded = save_shared(items.select(*about, "block", _fold(seed + depth).alias("f")), "mix-level")
-        settled.append(folded.select(*about, F.inline("f.done")).select("doc_id", "size", *about, "extra"))
+        settled.append(folded.select(*about, F.inline("f.done")).select("doc_id", "h", "size", *about, "extra"))
         left = folded.where("f.left is not null").select(*about, F.col("block"), F.col("f.left").alias("item"))
         if blocks <= 1:
-            settled.append(left.select("item.doc_id", "item.size", *about, (F.col("item.p") >= 0.5).cast("int").alias("extra")))
+            settled.append(left.select("item.doc_id", "item.h", "item.size", *about, (F.col("item.p") >= 0.5).cast("int").alias("extra")))
             break
         level, blocks, depth = left.withColumn("block", F.floor(F.col("block") / BLOCK)), -(-blocks // BLOCK), depth + 1
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
     copies = F.col("whole") + F.col("extra")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), F.col("h").alias("row_hash"))
