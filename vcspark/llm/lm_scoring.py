@@ -1,215 +1,127 @@
 """Stupid-backoff language-model scores of all documents against the rest of the corpus.
 
-Bigrams of a document, with how often it has them, are one relation; the corpus counts
-are another. Both are partitioned by the same hash, so counts are summed and joined
-within a partition, and scores are summed by document. A bigram goes by its second
-word, so the backoff count is at hand too; if that word is very frequent, by both, and
-a pair of the most frequent words by its document: those counts come from two broadcast
-tables of fixed size, so no word or bigram gathers in one task.
-
-Rows travel in columns: one shuffle row holds a batch's bigrams for one bucket.
+Words and bigrams are relations: count tables of both, by hash, are made by grouped
+aggregation; the exploded bigrams of each document, with how often it has them, are
+joined to the counts, and scores are summed by document. Counts of the most frequent
+words, and of pairs of the very most frequent ones, come from broadcast tables of fixed
+size, so no word or bigram gathers in one task; the other bigrams meet their counts in
+a shuffled join, and only rare words then need one for the count of a context or of a
+backed-off word.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vcspark.llm.textops import batches, combine, mix, word_hashes
+from vcspark.llm.frequent import most_frequent
+from vcspark.llm.textops import batches, combine, word_hashes
 from vcspark.sources.shared import save_shared
 
 BACKOFF = 0.4
 #: Words whose counts are broadcast, and of these the words whose pairs' counts are.
 FREQUENT, TOP = 20_000, 256
-ROWS_PER_BUCKET = 2_000_000
-LEAST_BUCKETS = 64
 MICRO = 1_000_000
 _U = np.uint64
-_START = _U(FREQUENT)
 _BATCH = 4 << 20
-_TYPES = (("w2", "<u8"), ("w1", "<u8"), ("doc", "<u4"), ("tf12", "<u4"), ("tf1", "<u4"), ("tf2", "<u4"))
 
 
-def micro_log(x: np.ndarray) -> np.ndarray:
+def micro_log(x: Column) -> Column:
     """Natural logarithms in millionths, as whole numbers, so that sums don't depend on their order."""
-    return np.rint(np.log(x) * MICRO).astype(np.int64)
+    return F.rint(F.log(x) * MICRO).cast("long")
 
 
-def _pack(columns: dict[str, np.ndarray]) -> bytes:
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    out = []
-    for name, kind in _TYPES:
-        values = np.ascontiguousarray(columns[name].astype(kind))
-        if name == "w2":
-            values = np.diff(values, prepend=values.dtype.type(0))
-        data = squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
-        out.append(struct.pack("<I", len(data)) + data)
-    return struct.pack("<I", len(columns["w2"])) + b"".join(out)
+def _longs(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    return pa.array(values.view(np.int64) if values.dtype == _U else values.astype(np.int64), mask=null)
 
 
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    n, at, out = struct.unpack_from("<I", data)[0], 4, {}
-    for name, kind in _TYPES:
-        size = struct.unpack_from("<I", data, at)[0]
-        raw = zstandard.ZstdDecompressor().decompress(data[at + 4 : at + 4 + size])
-        values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T).view(kind).ravel()
-        out[name] = np.cumsum(values, dtype=values.dtype) if name == "w2" else values
-        at += 4 + size
-    return out
-
-
-class _Frequent:
-    """The most frequent words by rank, with their counts, and the counts of pairs of the ``TOP`` first."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
-        self.counts = counts
-        self.order = np.argsort(words)
-        self.sorted = words[self.order]
-        self.pairs = np.zeros((TOP, TOP), np.int64)
-
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """Each word's rank if it is frequent, else its hash (never that small: hashes below are moved up)."""
-        if not len(self.sorted):
-            return np.where(hashes <= _START, hashes + _START + _U(1), hashes)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        hit = self.sorted[at] == hashes
-        return np.where(hit, self.order[at].astype(_U), np.where(hashes <= _START, hashes + _START + _U(1), hashes))
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(word, count) over all texts."""
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """(w1, w2, count): how often all texts have each bigram, and (null, w2, count) each word. Bigrams that occur once are left out."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for rows in batches(part, "text", _BATCH):
-                words, counts = np.unique(word_hashes(rows.column("text"))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "count"])
+                words, counts = word_hashes(rows.column("text"))
+                inner = np.ones(len(words), bool)
+                inner[(np.cumsum(counts) - counts)[counts > 0]] = False
+                w1, w2 = words[:-1][inner[1:]], words[1:][inner[1:]]
+                one, c1 = np.unique(words, return_counts=True)
+                _, first, c2 = np.unique(combine([w1, w2]), return_index=True, return_counts=True)
+                null = np.arange(len(one) + len(first)) < len(one)
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate([one, w1[first]]), null), _longs(np.concatenate([one, w2[first]])), _longs(np.concatenate([c1, c2]))], names=["w1", "w2", "count"])
 
-    return docs.select("text").mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    counted = docs.select("text").mapInArrow(run, "w1 long, w2 long, count long").groupBy("w1", "w2").agg(F.sum("count").alias("count"))
+    return counted.where("count > 1 or w1 is null")
 
 
-def _pair_counts(docs: DataFrame, frequent: _Frequent) -> np.ndarray:
-    """Counts of the pairs of the ``TOP`` most frequent words, at most TOP * TOP rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def exploded(docs: DataFrame, top: np.ndarray, near: bool) -> DataFrame:
+    """(doc_id, w1, w2, tf, tf1, tf2, words): each row's distinct bigrams, how often it has them and their words.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TOP * TOP, np.int64)
-        for part in parts:
-            for rows in batches(part, "text", _BATCH):
-                hashes, counts = word_hashes(rows.column("text"))
-                ids = shared.value.ranks(hashes)
-                inner = np.ones(len(ids), bool)
-                starts = np.cumsum(counts) - counts
-                inner[starts[counts > 0]] = False
-                w1, w2 = ids[:-1], ids[1:]
-                both = inner[1:] & (w1 < _U(TOP)) & (w2 < _U(TOP))
-                total += np.bincount((w1[both] * _U(TOP) + w2[both]).astype(np.int64), minlength=TOP * TOP)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["pair", "count"])
-
-    out = np.zeros(TOP * TOP, np.int64)
-    for row in docs.select("text").mapInArrow(run, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count")).toLocalIterator():
-        out[row.pair] = row["count"]
-    return out.reshape(TOP, TOP)
-
-
-def _bigrams(ids: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Distinct (document, w1, w2) of a batch with tf12, tf1, tf2; w1 of a first word is the start mark and tf1 then the document's words."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    w1 = np.empty_like(ids)
-    w1[1:] = ids[:-1]
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    w1[starts] = _START
-    owner = doc.astype(_U)
-    _, inverse, tf = np.unique(combine([owner, ids]), return_inverse=True, return_counts=True)
-    tf2 = tf[inverse]
-    tf1 = np.empty_like(tf2)
-    tf1[1:] = tf2[:-1]
-    tf1[starts] = counts[counts > 0]
-    _, first, tf12 = np.unique(combine([owner, w1, ids]), return_index=True, return_counts=True)
-    return {"w1": w1[first], "w2": ids[first], "doc": doc[first], "tf12": tf12, "tf1": tf1[first], "tf2": tf2[first]}
-
-
-def _exploded(docs: DataFrame, frequent: object, buckets: int) -> DataFrame:
-    """(bucket, ids, grams): each batch's bigrams by bucket, packed."""
+    ``near``: the bigrams of two words of ``top`` (sorted), and for each row one line for
+    its first word - w1 null and ``words`` its number of words; w2 null if it has none.
+    Otherwise the other bigrams, with ``words`` null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for rows in batches(part, "text", _BATCH):
-                hashes, counts = word_hashes(rows.column("text"))
-                if not len(hashes):
-                    continue
-                grams = _bigrams(frequent.value.ranks(hashes), counts)
-                w1, w2 = grams["w1"], grams["w2"]
-                ids = rows.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-                key = np.where(w2 > _START, mix(w2), np.where((w1 < _U(TOP)) & (w2 < _U(TOP)) | (w1 == _START), mix(ids.view(_U)[grams["doc"]]), combine([w1, w2])))
-                bucket = (key % _U(buckets)).astype(np.int64)
-                order = np.lexsort((w1, w2, bucket))
-                held, first = np.unique(bucket[order], return_index=True)
-                out: tuple[list, list, list] = ([], [], [])
-                for b, at in zip(held.tolist(), np.split(order, first[1:])):
-                    who, doc = np.unique(grams["doc"][at], return_inverse=True)
-                    out[0].append(b)
-                    out[1].append(ids[who].tobytes())
-                    out[2].append(_pack({**{n: grams[n][at] for n, _ in _TYPES}, "doc": doc}))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "ids", "grams"])
-
-    return docs.mapInArrow(run, "bucket int, ids binary, grams binary")
-
-
-def _score_bucket(frequent: object, backoff: float):
-    """Scores of one bucket's bigrams: a row for each document (w1 null), and one for each seen bigram whose context count is elsewhere."""
-    penalty = int(micro_log(np.array([backoff]))[0])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        table: _Frequent = frequent.value
-        held, ids, base = [], [], 0
-        for data, who in zip(group.grams, group.ids):
-            columns = _unpack(data)
-            columns["doc"] = columns["doc"].astype(np.int64) + base
-            ids.append(np.frombuffer(who, np.int64))
-            base += len(ids[-1])
-            held.append(columns)
-        w1, w2, doc, tf12, tf1, tf2 = (np.concatenate([h.pop(n) for h in held]) for n in ("w1", "w2", "doc", "tf12", "tf1", "tf2"))
-        order = np.lexsort((w1, w2))
-        w1, w2, doc, tf12, tf1, tf2 = w1[order], w2[order], doc[order], tf12[order].astype(np.int64), tf1[order].astype(np.int64), tf2[order].astype(np.int64)
-        new2 = np.concatenate([[True], w2[1:] != w2[:-1]])
-        new12 = new2 | np.concatenate([[True], w1[1:] != w1[:-1]])
-
-        def summed(new: np.ndarray) -> np.ndarray:
-            at = np.flatnonzero(new)
-            return np.repeat(np.add.reduceat(tf12, at), np.diff(np.append(at, len(tf12))))
-
-        c12, c2 = summed(new12), summed(new2)
-        common2 = w2 < _START
-        c2[common2] = table.counts[w2[common2].astype(np.int64)]
-        pair = (w1 < _U(TOP)) & (w2 < _U(TOP))
-        c12[pair] = table.pairs[w1[pair].astype(np.int64), w2[pair].astype(np.int64)]
-        start = w1 == _START
-        c12, c2 = c12 - tf12, c2 - tf2
-        hit = (c12 > 0) & ~start
-        part = np.where(start, 0, penalty)
-        part += np.where(c2 > 0, micro_log(np.maximum(c2, 1)), penalty)
-        part[hit] = micro_log(c12[hit])
-        near = hit & (w1 < _START)
-        part[near] -= micro_log(table.counts[w1[near].astype(np.int64)] - tf1[near])
-        ids = np.concatenate(ids)
-        unique, row = np.unique(ids, return_inverse=True)
-        row = row[doc]
-        add = lambda v: np.rint(np.bincount(row, weights=v, minlength=len(unique))).astype(np.int64)
-        done = pd.DataFrame({"doc_id": unique, "w1": pd.array([None] * len(unique), "Int64"), "part": add(part * tf12), "unseen": add(tf12 * ~hit), "words": add(np.where(start, tf1, 0)), "hits": add(tf12 * hit), "tf1": np.int64(0)})
-        far = hit & ~near
-        open_ = pd.DataFrame({"doc_id": ids[doc[far]], "w1": pd.array(w1[far].view(np.int64), "Int64"), "part": np.int64(0), "unseen": np.int64(0), "words": np.int64(0), "hits": tf12[far], "tf1": tf1[far]})
-        return pd.concat([done, open_]) if far.any() else done
-
-    return run
+                words, counts = word_hashes(rows.column("text"))
+                doc = np.repeat(np.arange(len(counts)), counts)
+                starts = (np.cumsum(counts) - counts)[counts > 0]
+                _, inverse, tf = np.unique(combine([doc.astype(_U), words]), return_inverse=True, return_counts=True)
+                tf = tf[inverse]
+                common = np.isin(words, shared.value)
+                inner = np.ones(len(words), bool)
+                inner[starts] = False
+                second = np.flatnonzero(inner)
+                second = second[(common[second] & common[second - 1]) == near]
+                _, at, tf12 = np.unique(combine([doc[second].astype(_U), words[second - 1], words[second]]), return_index=True, return_counts=True)
+                second = second[at]
+                who, w1, w2, tf1, tf2 = doc[second], words[second - 1], words[second], tf[second - 1], tf[second]
+                total = np.zeros(len(who), np.int64)
+                null1, null2, counted = np.zeros(len(who), bool), np.zeros(len(who), bool), np.zeros(len(who), bool)
+                if near:
+                    none, some = np.flatnonzero(counts == 0), np.flatnonzero(counts)
+                    zero = np.zeros(len(counts), np.int64)
+                    who = np.concatenate([who, some, none])
+                    w1 = np.concatenate([w1, zero.astype(_U)])
+                    w2 = np.concatenate([w2, words[starts], np.zeros(len(none), _U)])
+                    tf12, tf1 = np.concatenate([tf12, np.ones(len(some), np.int64), zero[none]]), np.concatenate([tf1, zero])
+                    tf2 = np.concatenate([tf2, tf[starts], zero[none]])
+                    total = np.concatenate([total, counts[some], zero[none]])
+                    null1 = np.concatenate([null1, zero == 0])
+                    counted = null1
+                    null2 = np.concatenate([null2, np.zeros(len(some), bool), np.ones(len(none), bool)])
+                columns = [rows.column("doc_id").take(pa.array(who)), _longs(w1, null1), _longs(w2, null2), _longs(tf12), _longs(tf1), _longs(tf2), _longs(total, ~counted)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "w1", "w2", "tf", "tf1", "tf2", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, w1 long, w2 long, tf long, tf1 long, tf2 long, words long")
+
+
+def _known(grams: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``grams`` with x1, x2: the counts of their words less the document's own; of a rare word, minus the own count, and r1, r2 name it."""
+    for end in "12":
+        side = frequent.select(F.col("word").alias("k"), F.col("count").alias("c"))
+        grams = grams.join(F.broadcast(side), F.col(f"w{end}") == F.col("k"), "left").drop("k")
+        grams = grams.withColumn(f"x{end}", F.coalesce("c", F.lit(0)) - F.col(f"tf{end}")).withColumn(f"r{end}", F.when(F.col("c").isNull(), F.col(f"w{end}"))).drop("c")
+    return grams
+
+
+def _parts(grams: DataFrame, penalty: int) -> DataFrame:
+    """(doc_id, word, own, weight, part, unseen, hits, words): what each bigram adds; if a rare ``word``'s count is still to come, ``weight`` times its logarithm is."""
+    first = F.col("words").isNotNull()
+    seen = ~first & (F.col("c12") > F.col("tf"))
+    word = F.when(seen, F.col("r1")).otherwise(F.col("r2"))
+    x = F.when(seen, F.col("x1")).otherwise(F.col("x2"))
+    weight = F.when(seen, -F.col("tf")).otherwise(F.col("tf"))
+    base = F.when(seen, micro_log(F.col("c12") - F.col("tf"))).when(first, 0).otherwise(penalty) * F.col("tf")
+    known = F.when(word.isNull(), F.when(x > 0, micro_log(x)).otherwise(penalty) * weight).otherwise(0)
+    return grams.select("doc_id", word.alias("word"), (-x).alias("own"), weight.alias("weight"), (base + known).alias("part"), F.when(seen, 0).otherwise(F.col("tf")).alias("unseen"), F.when(seen, F.col("tf")).otherwise(0).alias("hits"), "words")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
@@ -225,24 +137,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty texts score 0. Rows that repeat an id are each taken off for themselves and
     show the sum of all their rows; null ids count as one id. Other columns are not read.
     """
-    spark = docs.sparkSession
+    penalty = round(np.log(backoff) * MICRO)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = save_shared(_word_counts(source), "lm-words")
-    top = counts.orderBy(F.desc("count"), "word").limit(FREQUENT).toPandas()
-    frequent = _Frequent(top.word.to_numpy(np.int64).view(_U), top["count"].to_numpy(np.int64))
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first().n
-    frequent.pairs = _pair_counts(source, frequent)
-    shared = spark.sparkContext.broadcast(frequent)
-    buckets = max(LEAST_BUCKETS, -(-total // ROWS_PER_BUCKET))
-    scored = _exploded(source, shared, buckets).groupBy("bucket").applyInPandas(_score_bucket(shared, backoff), "doc_id long, w1 long, part long, unseen long, words long, hits long, tf1 long")
-    parts = save_shared(scored, "lm-parts")
-    moved = F.when(F.col("word").between(0, FREQUENT), F.col("word") + FREQUENT + 1).otherwise(F.col("word"))
-    contexts = parts.where("w1 is not null").join(counts.select(moved.alias("w1"), "count"), "w1")
-    open_ = contexts.select("doc_id", (-F.rint(F.log(F.col("count") - F.col("tf1")) * MICRO).cast("long") * F.col("hits")).alias("part"), F.lit(0).cast("long").alias("unseen"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("hits"))
-    sums = parts.where("w1 is null").select("doc_id", "part", "unseen", "words", "hits").unionByName(open_).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("part", "unseen", "words", "hits")])
-    rest = F.rint(F.log(F.greatest(F.lit(total) - F.col("words"), F.lit(1))) * MICRO).cast("long")
-    sums = sums.select(F.col("doc_id").alias("__id"), "words", F.col("hits").alias("seen"), ((F.col("part") - F.col("unseen") * rest) / MICRO).alias("log_score"))
-    ids = source.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"))
-    out = ids.join(sums, "__id", "left")
-    words = F.coalesce("words", F.lit(0))
-    return out.select(F.when(F.col("__id") != -(2**63), F.col("__id")).alias("doc_id"), words.alias("words"), F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"), F.when(words > 0, F.col("log_score") / words).alias("mean_log_score"))
+    ngrams = save_shared(ngram_counts(source), "lm-ngrams")
+    words = ngrams.where("w1 is null").select(F.col("w2").alias("word"), "count")
+    bigrams = ngrams.where("w1 is not null")
+    total = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first().n
+    frequent = save_shared(most_frequent(words, FREQUENT), "lm-frequent")
+    top = most_frequent(frequent, TOP)
+    top_words = np.sort(top.select("word").toPandas()["word"].to_numpy(np.int64).view(_U))
+
+    in_top = lambda c: F.broadcast(top.select(F.col("word").alias(c)))
+    pairs = save_shared(bigrams.join(in_top("w1"), "w1", "left_semi").join(in_top("w2"), "w2", "left_semi"), "lm-pairs")
+    near = _known(exploded(source, top_words, True), frequent)
+    near = near.join(F.broadcast(pairs.select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.col("count").alias("c12"))), (F.col("w1") == F.col("k1")) & (F.col("w2") == F.col("k2")), "left")
+    gram = F.xxhash64("w1", "w2").alias("gram")
+    far = _known(exploded(source, top_words, False), frequent).select(gram, "doc_id", "tf", "x1", "r1", "x2", "r2", "words")
+    far = far.join(bigrams.select(gram, F.col("count").alias("c12")), "gram", "left")
+    parts = _parts(near.withColumn("c12", F.coalesce("c12", F.lit(0))), penalty).unionByName(_parts(far.withColumn("c12", F.coalesce("c12", F.lit(0))), penalty))
+    parts = save_shared(parts, "lm-parts")
+
+    sums = ["part", "unseen", "hits", "words"]
+    rare = parts.where("word is not null").join(words, "word")
+    x = F.col("count") - F.col("own")
+    rare = rare.withColumn("part", F.col("part") + F.col("weight") * F.when(x > 0, micro_log(x)).otherwise(penalty))
+    scored = parts.where("word is null").select("doc_id", *sums).unionByName(rare.select("doc_id", *sums))
+    # each row of the input has one line with its number of words
+    scored = scored.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count("words").alias("rows"))
+    rest = micro_log(F.greatest(F.lit(total) - F.col("words"), F.lit(1)))
+    log_score = ((F.col("part") - F.col("unseen") * rest) / MICRO).alias("log_score")
+    out = scored.select("doc_id", "words", F.col("hits").alias("seen"), log_score, F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
+    return out.withColumn("mean_log_score", F.when(F.col("words") > 0, F.col("log_score") / F.col("words")))
