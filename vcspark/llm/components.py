@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vcspark.operators.skew import salted_join
-from vcspark.sources.shared import save_shared
+from vcspark.sources.shared import drop_shared, save_shared
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in ``links``: the smallest id that can be reached.
 
-    Rounds: each id takes the smallest label among its neighbours', then its label's
-    label, until none changes (about the logarithm of the longest path). Only a count
-    reaches the driver. An id with very many links is dealt over many tasks. Links
-    with a null end, and links to itself, join nothing.
+    Rounds, one job each: an id takes the smallest of its label, its neighbours' labels
+    and its label's label, until none changes (about the logarithm of the longest
+    path). Only whether one did reaches the driver. An id with very many links, and a
+    label with very many ids, is dealt over many tasks. Links with a null end, and
+    links to itself, join nothing.
     """
     sound = links.where(f"{a} is not null and {b} is not null and {a} <> {b}")
     both = sound.select(F.col(a).alias("src"), F.col(b).alias("dst")).union(sound.select(F.col(b), F.col(a))).distinct()
@@ -23,11 +24,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = save_shared(edges.groupBy("src").agg(F.least("src", F.min("dst")).alias("component"), F.count("*").alias("n")).withColumnRenamed("src", "id"), "cc-labels")
     while True:
         near = salted_join(edges, labels.select(F.col("id").alias("src"), "component", "n"), ["src"], "n", "dst").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("least"))
-        step = save_shared(labels.join(near, "id").select("id", F.least("component", "least").alias("component"), "n", F.col("component").alias("before")), "cc-step")
-        users = step.groupBy(F.col("component").alias("pointer")).agg(F.count("*").alias("users"))
-        target = save_shared(step.select(F.col("id").alias("pointer"), F.col("component").alias("next")).join(users, "pointer"), "cc-target")
-        jumped = salted_join(step.withColumn("pointer", F.col("component")), target, ["pointer"], "users", "id")
-        after = save_shared(jumped.select("id", F.least("component", "next").alias("component"), "n", "before"), "cc-labels")
+        users = labels.groupBy(F.col("component").alias("pointer")).agg(F.count("*").alias("users"))
+        target = labels.select(F.col("id").alias("pointer"), F.col("component").alias("next")).join(users, "pointer")
+        jumped = salted_join(labels.withColumn("pointer", F.col("component")), target, ["pointer"], "users", "id")
+        step = jumped.join(near, "id").select("id", F.least("component", "least", "next").alias("component"), "n", F.col("component").alias("before"))
+        after = save_shared(step, "cc-labels")
+        drop_shared(labels)
         if after.where("component <> before").isEmpty():
+            drop_shared(edges)
             return after.select("id", "component")
         labels = after.drop("before")
+        labels._shared_path = after._shared_path

@@ -5,11 +5,11 @@ the ``k`` smallest. Documents with equal sets form a class, and one of each clas
 on. Steps:
 
 1. Inverted lists: each class lists the rarest of its retained values - so many that
-   two sets of the wanted similarity must meet in one list. Values that one class
-   lists make no list.
-2. Estimation: the members of a list are compared on the sketch of their union, in one
-   task, which emits a spanning forest of what may be similar, never pairs. What the
-   forests of all lists join is a candidate group.
+   two sets of the wanted similarity must meet in ``MEETINGS`` lists.
+2. Estimation: pairs that meet so often in short lists, and all members of each longer
+   list, are compared on the sketch of their union. Of a longer list a task emits a
+   spanning forest of what may be similar, never pairs. What pairs and forests join is
+   a candidate group.
 3. Verification: the members of a candidate group meet with their full sets, and a
    spanning forest of the exact links comes out.
 
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vcspark.llm.components import connected_components
+from vcspark.llm.frequent import most_frequent
 from vcspark.llm.textops import batches, list_column, shingles, word_hashes
 from vcspark.operators.skew import salted_join, semi_join_ids
-from vcspark.sources.shared import save_shared
+from vcspark.sources.shared import drop_shared, save_shared
 
 SKETCH = 64
 MISS = 1e-7
@@ -41,6 +42,9 @@ FREQUENT = 1 << 17
 BLOCK = 1024
 BLOCK_VALUES = 1 << 19
 SMALL_LIST = 16
+MEETINGS = 2
+#: Pairs are made in lists of up to so many members.
+PAIRED = 8
 
 
 def least_hits(trials: int, chance: float, miss: float = MISS) -> int:
@@ -81,36 +85,27 @@ class _Limits:
         self.overlap = max(1, least_hits(k, percent / 100))
 
     def listed(self, n: int) -> int:
-        """How many of its rarest retained values a set of ``n`` lists, to meet each similar set once at least."""
+        """How many of its rarest retained values a set of ``n`` lists, to meet each similar set ``MEETINGS`` times.
+
+        Sets that share fewer values (two of one shingle each) are similar only if equal, so they are one class.
+        """
         least = -(-self.percent * n // 100) if n <= self.full else self.overlap
-        return min(n, self.k) - least + 1
+        return min(n, self.k) - least + min(MEETINGS, least)
 
     def sizes_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (100 * a >= self.percent * b) & (100 * b >= self.percent * a)
 
 
 def _frequent(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent retained values, at most ``FREQUENT``, sorted, and their counts.
-
-    Counts are first told apart by eighths of a power of two, to find from which on
-    the values are few enough; only those reach the driver.
-    """
+    """The most frequent retained values, at most ``FREQUENT``, sorted, and their counts."""
     counted = save_shared(sketches.select(F.explode("values").alias("value")).groupBy("value").count().where("count > 1"), "near-frequent")
-    levels = counted.groupBy(F.floor(F.log2("count") * 8).alias("level")).count().orderBy(F.desc("level")).collect()
-    level, total = None, 0
-    for row in levels:
-        total += row["count"]
-        if total > FREQUENT:
-            break
-        level = row.level
-    if level is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = counted.where(F.floor(F.log2("count") * 8) >= level).toPandas().sort_values("value")
+    top = most_frequent(counted, FREQUENT).toPandas().sort_values("value")
+    drop_shared(counted)
     return top["value"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
 
 
 def _postings(sketches: DataFrame, limits: _Limits) -> DataFrame:
-    """(value, cid, n): each sketch under its rarest values, rare ones first.
+    """(value, cid, n, seen): each sketch under its rarest values, and how many sketches have the value if it is among the most frequent, else 0.
 
     The most frequent values come last, by count; the order of the others doesn't
     matter. Any fixed order is right, so the cut bounds only the broadcast.
@@ -136,9 +131,34 @@ def _postings(sketches: DataFrame, limits: _Limits) -> DataFrame:
                 keep.append(order + (end - m))
                 who.append(np.full(len(order), i))
             keep, who = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keep, who))
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(ids[who]), pa.array(sizes[who])], names=["value", "cid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(ids[who]), pa.array(sizes[who]), pa.array(rank[keep])], names=["value", "cid", "n", "seen"])
+
+    return sketches.select("cid", "n", "values").mapInArrow(run, "value long, cid long, n long, seen long")
+
+
+def _lists(limits: _Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (g, cid, n) sorted by value ``g``: (null, a, b) for each two of a short list whose sizes fit, (g, cid, null) for members of longer ones."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(parts):
+            g, cids, n = (table.column(c).to_numpy() for c in ("g", "cid", "n"))
+            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)])
+            size = np.repeat(sizes, sizes)
+            a, b = [], []
+            for gap in range(1, min(PAIRED, len(g))):
+                left = np.flatnonzero((size[:-gap] <= PAIRED) & (g[:-gap] == g[gap:]))
+                left = left[limits.sizes_fit(n[left], n[left + gap])]
+                a.append(cids[left])
+                b.append(cids[left + gap])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+            long = size > PAIRED
+            pairs = np.arange(len(a) + long.sum()) < len(a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([a, g[long]]), mask=pairs), pa.array(np.concatenate([np.minimum(a, b), cids[long]])), pa.array(np.concatenate([np.maximum(a, b), cids[long]]), mask=~pairs)],
+                names=["value", "a", "b"],
+            )
 
-    return sketches.select("cid", "n", "values").mapInArrow(run, "value long, cid long, n long")
+    return run
 
 
 def _fingerprints(sketches: DataFrame, k: int) -> DataFrame:
@@ -288,8 +308,8 @@ def _link(limits: _Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _forest(entries: DataFrame, payload: DataFrame, test: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b): links that ``test`` finds among the members of each key, enough to join all that it would; and their components, if made.
+def _forest(entries: DataFrame, payload: DataFrame, test: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b): ``known`` links and those that ``test`` finds among the members of each key, enough to join all that it would; and their components, if made.
 
     ``entries`` is a saved table (key, cid, parts): members, and into how many blocks
     their key is dealt; ``payload`` (cid, n, data) is what ``test`` looks at. First
@@ -304,7 +324,8 @@ def _forest(entries: DataFrame, payload: DataFrame, test: Callable[[Iterator[pa.
     block = F.pmod(F.xxhash64("cid"), "parts").cast("int")
     slots = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(block == 0, F.sequence(F.lit(1), F.greatest(F.col("parts") - 1, F.lit(1)))).otherwise(F.array(block))
     near_first = entries.select("key", "cid", F.explode(slots).alias("slot")).select(F.xxhash64("key", "slot").alias("g"), "cid", F.col("cid").alias("label"), F.lit(True).alias("pivot"))
-    links = save_shared(tested(near_first), f"{name}-first")
+    links = tested(near_first)
+    links = save_shared(links if known is None else links.union(known), f"{name}-first")
     large = entries.where("parts > 1")
     if large.isEmpty():
         return links, None
@@ -325,20 +346,45 @@ def _forest(entries: DataFrame, payload: DataFrame, test: Callable[[Iterator[pa.
     return (links, component) if more.isEmpty() else (links.union(more), None)
 
 
+def _good_pairs(limits: _Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs (a, b, n_a, n_b, data_a, data_b), those that may be similar."""
+    estimate = _Estimate(limits)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            a, b = (np.frombuffer(b"".join(part.column(f"data_{c}").to_pylist()), np.uint16).reshape(-1, limits.k) for c in "ab")
+            good = estimate(a, b, *(part.column(f"n_{c}").to_numpy() for c in "ab")) if part.num_rows else np.zeros(0, bool)
+            yield part.select(["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
 def _candidates(sketches: DataFrame, limits: _Limits) -> DataFrame:
     """(cid, component): groups of classes that sketches can't tell to be unlike; classes alone have no row."""
     postings = save_shared(_postings(sketches, limits), "near-postings")
-    lists = postings.groupBy("value").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    lists = save_shared(lists.where((F.col("c") > 2) | ((F.col("c") == 2) & (F.col("least") * 100 >= F.col("most") * limits.percent))).select("value", "c"), "near-lists")
-    listed = salted_join(postings.select("value", "cid"), lists, ["value"], "c", "cid", "inner")
+    prints = save_shared(_fingerprints(sketches, limits.k), "near-prints")
+    rare = postings.where(F.col("seen") <= BLOCK).select(F.col("value").alias("g"), "cid", "n")
+    lists = save_shared(rare.repartition("g").sortWithinPartitions("g").mapInArrow(_lists(limits), "value long, a long, b long"), "near-lists")
+
+    met = lists.where("value is null").groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= MEETINGS).select("a", "b")
+    side = lambda c: prints.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("data").alias(f"data_{c}"))
+    pairs = save_shared(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "data_a", "data_b").mapInArrow(_good_pairs(limits), "a long, b long"), "near-pairs")
+
+    # a list's length, or for the frequent values how many sketches have it, says into how many blocks it goes
+    longer = lists.where("value is not null").select("value", F.col("a").alias("cid"))
+    length = save_shared(longer.groupBy("value").agg(F.count("*").alias("c")), "near-lengths")
+    known = postings.where(F.col("seen") > BLOCK).select("value", "cid", F.col("seen").alias("c"))
+    listed = salted_join(longer, length, ["value"], "c", "cid", "inner").select("value", "cid", "c").union(known)
     listed = save_shared(listed.select(F.col("value").alias("key"), "cid", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "near-listed")
-    links, component = _forest(listed, save_shared(_fingerprints(sketches, limits.k), "near-prints"), _may_link(limits), "near-candidates")
+    drop_shared(postings, lists, length)
+    links, component = _forest(listed, prints, _may_link(limits), "near-candidates", pairs)
     component = connected_components(links) if component is None else component
+    drop_shared(prints, listed)
     return component.select(F.col("id").alias("cid"), "component")
 
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, width: int, classes: DataFrame, candidates: DataFrame, limits: _Limits) -> DataFrame:
-    """(a, b): a forest of the exact links within candidate groups."""
+def _verified(docs: DataFrame, id_col: str, text_col: str, width: int, classes: DataFrame, candidates: DataFrame, limits: _Limits) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b): a forest of the exact links within candidate groups; and its components, if made."""
     members = save_shared(candidates.join(classes.select("cid", "rep", "digest", "n"), "cid"), "near-members")
     groups = members.groupBy("component").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int").alias("parts"))
     entries = salted_join(members.select("component", "cid"), save_shared(groups, "near-groups"), ["component"], "c", "cid", "inner")
@@ -351,7 +397,9 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, width: int, classes:
         wanted = wanted.union(rows.where("__id is null"))
     sets = shingle_sets(wanted, "__id", "text", width, None).join(members.select("digest", "cid"), "digest")
     once = save_shared(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("values").alias("data")), "near-sets")
-    return _forest(entries, once, _link(limits), "near-links")[0]
+    found = _forest(entries, once, _link(limits), "near-links")
+    drop_shared(once, entries, members)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = SKETCH, key_col: str | None = None) -> DataFrame:
@@ -376,15 +424,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = save_shared(shingle_sets(docs, id_col, text_col, width, k, key_col), "near-sketches")
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min(name).alias("name"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("values").alias("values"))
-    classes = save_shared(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "name", F.col("name.doc_id").alias("rep"), "copies", "n", "values"), "near-classes")
-    candidates = _candidates(classes, limits)
-    links = _verified(docs, id_col, text_col, width, classes, save_shared(candidates, "near-components"), limits)
+    sketches = save_shared(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "name", F.col("name.doc_id").alias("rep"), "copies", "n", "values"), "near-classes")
+    whole, sets = sets, save_shared(sets.drop("values"), "near-rows")
+    drop_shared(whole)
+    candidates = save_shared(_candidates(sketches, limits), "near-components")
+    whole, classes = sketches, save_shared(sketches.drop("values"), "near-classes")
+    drop_shared(whole)
+    links, joined = _verified(docs, id_col, text_col, width, classes, candidates, limits)
     if key_col is None:
         repeated = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
-        texts = sets.where("n > 0").join(repeated, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "cid"), "digest")
-        first = texts.groupBy("doc_id").agg(F.min("cid").alias("a"))
-        links = links.union(texts.join(first, "doc_id").where("a <> cid").select("a", F.col("cid").alias("b")))
-    joined = connected_components(save_shared(links, "near-all-links"))
+        repeated = save_shared(repeated, "near-repeated")
+        if not repeated.isEmpty():
+            texts = sets.where("n > 0").join(repeated, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "cid"), "digest")
+            first = texts.groupBy("doc_id").agg(F.min("cid").alias("a"))
+            links, joined = links.union(texts.join(first, "doc_id").where("a <> cid").select("a", F.col("cid").alias("b"))), None
+    joined = connected_components(links) if joined is None else joined
 
     labelled = save_shared(joined.join(classes.select(F.col("cid").alias("id"), "name"), "id"), "near-labelled")
     least = save_shared(labelled.groupBy("component").agg(F.min("name").alias("least"), F.count("*").alias("c")), "near-least")
