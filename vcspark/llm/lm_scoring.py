@@ -1,12 +1,13 @@
 """Stupid-backoff language-model scores of all documents against the rest of the corpus.
 
-Words and bigrams are relations: count tables of both, by hash, are made by grouped
-aggregation; the exploded bigrams of each document, with how often it has them, are
-joined to the counts, and scores are summed by document. Counts of the most frequent
-words, and of pairs of the very most frequent ones, come from broadcast tables of fixed
-size, so no word or bigram gathers in one task; the other bigrams meet their counts in
-a shuffled join, and only rare words then need one for the count of a context or of a
-backed-off word.
+Words and bigrams are relations: grouped aggregation makes count tables of both, by
+hash; the exploded n-grams of each document, with how often it has them, are joined to
+the counts, and scores are summed by document. First every word is scored as if its
+bigram were new, which takes word counts only. Bigrams that occur elsewhere then add
+the difference: those of two very frequent words from a broadcast table of fixed size,
+the others from a shuffled join with the bigrams that occur more than once, whose row
+also has both words' counts. So no frequent word or bigram gathers in one task, and a
+line of that shuffle is no more than a bigram's hash, a document and its own counts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from vcspark.sources.shared import save_shared
 
 BACKOFF = 0.4
 #: Words whose counts are broadcast, and of these the words whose pairs' counts are.
-FREQUENT, TOP = 20_000, 256
+FREQUENT, TOP = 200_000, 512
 MICRO = 1_000_000
 _U = np.uint64
 _BATCH = 4 << 20
@@ -58,12 +59,37 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return counted.where("count > 1 or w1 is null")
 
 
-def exploded(docs: DataFrame, top: np.ndarray, near: bool) -> DataFrame:
-    """(doc_id, w1, w2, tf, tf1, tf2, words): each row's distinct bigrams, how often it has them and their words.
+def _own_counts(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of a batch its row, how often the row has the word, and whether the row begins with it."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    _, inverse, tf = np.unique(combine([doc.astype(_U), words]), return_inverse=True, return_counts=True)
+    first = np.zeros(len(words), bool)
+    first[(np.cumsum(counts) - counts)[counts > 0]] = True
+    return doc, tf[inverse], first
 
-    ``near``: the bigrams of two words of ``top`` (sorted), and for each row one line for
-    its first word - w1 null and ``words`` its number of words; w2 null if it has none.
-    Otherwise the other bigrams, with ``words`` null.
+
+def exploded_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, tf, words): each row's distinct words, and one line with its number of ``words`` (word null)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for rows in batches(part, "text", _BATCH):
+                words, counts = word_hashes(rows.column("text"))
+                doc = np.repeat(np.arange(len(counts)), counts)
+                _, at, tf = np.unique(combine([doc.astype(_U), words]), return_index=True, return_counts=True)
+                at, tf = at[order := np.argsort(at)], tf[order]  # a row's lines side by side
+                line = np.arange(len(at) + len(counts)) >= len(at)
+                who = np.concatenate([doc[at], np.arange(len(counts))])
+                columns = [rows.column("doc_id").take(pa.array(who)), _longs(np.concatenate([words[at], np.zeros(len(counts), _U)]), line), _longs(np.concatenate([tf, counts])), _longs(np.concatenate([tf, counts]), ~line)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "word", "tf", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, word long, tf long, words long")
+
+
+def exploded_bigrams(docs: DataFrame, top: np.ndarray, near: bool) -> DataFrame:
+    """(doc_id, w1, w2, tf, tf1, tf2): each row's distinct bigrams, how often it has them and their words.
+
+    ``near``: those of two words of ``top`` (sorted), otherwise the others.
     """
     shared = docs.sparkSession.sparkContext.broadcast(top)
 
@@ -71,57 +97,38 @@ def exploded(docs: DataFrame, top: np.ndarray, near: bool) -> DataFrame:
         for part in parts:
             for rows in batches(part, "text", _BATCH):
                 words, counts = word_hashes(rows.column("text"))
-                doc = np.repeat(np.arange(len(counts)), counts)
-                starts = (np.cumsum(counts) - counts)[counts > 0]
-                _, inverse, tf = np.unique(combine([doc.astype(_U), words]), return_inverse=True, return_counts=True)
-                tf = tf[inverse]
+                doc, tf, first = _own_counts(words, counts)
                 common = np.isin(words, shared.value)
-                inner = np.ones(len(words), bool)
-                inner[starts] = False
-                second = np.flatnonzero(inner)
+                second = np.flatnonzero(~first)
                 second = second[(common[second] & common[second - 1]) == near]
                 _, at, tf12 = np.unique(combine([doc[second].astype(_U), words[second - 1], words[second]]), return_index=True, return_counts=True)
+                at, tf12 = at[order := np.argsort(at)], tf12[order]
                 second = second[at]
-                who, w1, w2, tf1, tf2 = doc[second], words[second - 1], words[second], tf[second - 1], tf[second]
-                total = np.zeros(len(who), np.int64)
-                null1, null2, counted = np.zeros(len(who), bool), np.zeros(len(who), bool), np.zeros(len(who), bool)
-                if near:
-                    none, some = np.flatnonzero(counts == 0), np.flatnonzero(counts)
-                    zero = np.zeros(len(counts), np.int64)
-                    who = np.concatenate([who, some, none])
-                    w1 = np.concatenate([w1, zero.astype(_U)])
-                    w2 = np.concatenate([w2, words[starts], np.zeros(len(none), _U)])
-                    tf12, tf1 = np.concatenate([tf12, np.ones(len(some), np.int64), zero[none]]), np.concatenate([tf1, zero])
-                    tf2 = np.concatenate([tf2, tf[starts], zero[none]])
-                    total = np.concatenate([total, counts[some], zero[none]])
-                    null1 = np.concatenate([null1, zero == 0])
-                    counted = null1
-                    null2 = np.concatenate([null2, np.zeros(len(some), bool), np.ones(len(none), bool)])
-                columns = [rows.column("doc_id").take(pa.array(who)), _longs(w1, null1), _longs(w2, null2), _longs(tf12), _longs(tf1), _longs(tf2), _longs(total, ~counted)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "w1", "w2", "tf", "tf1", "tf2", "words"])
-
-    return docs.mapInArrow(run, "doc_id long, w1 long, w2 long, tf long, tf1 long, tf2 long, words long")
-
-
-def _known(grams: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``grams`` with x1, x2: the counts of their words less the document's own; of a rare word, minus the own count, and r1, r2 name it."""
+                columns = [rows.column("doc_id").take(pa.array(doc[second])), _longs(words[second - 1]), _longs(words[second]), _longs(tf12), _longs(tf[second - 1]), _longs(tf[second])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "w1", "w2", "tf", "tf1", "tf2"])
+
+    return docs.mapInArrow(run, "doc_id long, w1 long, w2 long, tf long, tf1 long, tf2 long")
+
+
+def _backed_off(elsewhere: Column, penalty: int) -> Column:
+    return F.when(elsewhere > 0, micro_log(elsewhere)).otherwise(penalty)
+
+
+def _with_word_counts(bigrams: DataFrame, words: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(w1, w2, c12, c1, c2) from ``bigrams`` (w1, w2, count)."""
+    out = bigrams.withColumnRenamed("count", "c12")
     for end in "12":
-        side = frequent.select(F.col("word").alias("k"), F.col("count").alias("c"))
-        grams = grams.join(F.broadcast(side), F.col(f"w{end}") == F.col("k"), "left").drop("k")
-        grams = grams.withColumn(f"x{end}", F.coalesce("c", F.lit(0)) - F.col(f"tf{end}")).withColumn(f"r{end}", F.when(F.col("c").isNull(), F.col(f"w{end}"))).drop("c")
-    return grams
+        known = out.join(F.broadcast(frequent.select(F.col("word").alias(f"w{end}"), F.col("count").alias(f"c{end}"))), f"w{end}", "left")
+        rare = known.where(F.col(f"c{end}").isNull()).drop(f"c{end}").join(words.select(F.col("word").alias(f"w{end}"), F.col("count").alias(f"c{end}")), f"w{end}")
+        out = save_shared(known.where(F.col(f"c{end}").isNotNull()).unionByName(rare), "lm-bigrams")
+    return out.select("w1", "w2", "c12", "c1", "c2")
 
 
-def _parts(grams: DataFrame, penalty: int) -> DataFrame:
-    """(doc_id, word, own, weight, part, unseen, hits, words): what each bigram adds; if a rare ``word``'s count is still to come, ``weight`` times its logarithm is."""
-    first = F.col("words").isNotNull()
-    seen = ~first & (F.col("c12") > F.col("tf"))
-    word = F.when(seen, F.col("r1")).otherwise(F.col("r2"))
-    x = F.when(seen, F.col("x1")).otherwise(F.col("x2"))
-    weight = F.when(seen, -F.col("tf")).otherwise(F.col("tf"))
-    base = F.when(seen, micro_log(F.col("c12") - F.col("tf"))).when(first, 0).otherwise(penalty) * F.col("tf")
-    known = F.when(word.isNull(), F.when(x > 0, micro_log(x)).otherwise(penalty) * weight).otherwise(0)
-    return grams.select("doc_id", word.alias("word"), (-x).alias("own"), weight.alias("weight"), (base + known).alias("part"), F.when(seen, 0).otherwise(F.col("tf")).alias("unseen"), F.when(seen, F.col("tf")).otherwise(0).alias("hits"), "words")
+def _gains(grams: DataFrame, penalty: int) -> DataFrame:
+    """(doc_id, part, unseen, hits, words): what bigrams that occur elsewhere add to their words' backed-off scores."""
+    elsewhere = F.col("c12") - F.col("tf")
+    gain = micro_log(elsewhere) - micro_log(F.col("c1") - F.col("tf1")) - penalty - _backed_off(F.col("c2") - F.col("tf2"), penalty)
+    return grams.where(elsewhere > 0).select("doc_id", (gain * F.col("tf")).alias("part"), (-F.col("tf")).alias("unseen"), F.col("tf").alias("hits"), F.lit(None).cast("long").alias("words"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
@@ -141,30 +148,37 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ngrams = save_shared(ngram_counts(source), "lm-ngrams")
     words = ngrams.where("w1 is null").select(F.col("w2").alias("word"), "count")
-    bigrams = ngrams.where("w1 is not null")
     total = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first().n
     frequent = save_shared(most_frequent(words, FREQUENT), "lm-frequent")
     top = most_frequent(frequent, TOP)
     top_words = np.sort(top.select("word").toPandas()["word"].to_numpy(np.int64).view(_U))
-
+    bigrams = _with_word_counts(ngrams.where("w1 is not null"), words, frequent)
     in_top = lambda c: F.broadcast(top.select(F.col("word").alias(c)))
-    pairs = save_shared(bigrams.join(in_top("w1"), "w1", "left_semi").join(in_top("w2"), "w2", "left_semi"), "lm-pairs")
-    near = _known(exploded(source, top_words, True), frequent)
-    near = near.join(F.broadcast(pairs.select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.col("count").alias("c12"))), (F.col("w1") == F.col("k1")) & (F.col("w2") == F.col("k2")), "left")
-    gram = F.xxhash64("w1", "w2").alias("gram")
-    far = _known(exploded(source, top_words, False), frequent).select(gram, "doc_id", "tf", "x1", "r1", "x2", "r2", "words")
-    far = far.join(bigrams.select(gram, F.col("count").alias("c12")), "gram", "left")
-    parts = _parts(near.withColumn("c12", F.coalesce("c12", F.lit(0))), penalty).unionByName(_parts(far.withColumn("c12", F.coalesce("c12", F.lit(0))), penalty))
-    parts = save_shared(parts, "lm-parts")
+    pairs = bigrams.join(in_top("w1"), "w1", "left_semi").join(in_top("w2"), "w2", "left_semi")
+    pairs = save_shared(pairs, "lm-pairs")
 
+    # as if all bigrams were new; a rare word's count comes by a shuffled join
     sums = ["part", "unseen", "hits", "words"]
-    rare = parts.where("word is not null").join(words, "word")
-    x = F.col("count") - F.col("own")
-    rare = rare.withColumn("part", F.col("part") + F.col("weight") * F.when(x > 0, micro_log(x)).otherwise(penalty))
-    scored = parts.where("word is null").select("doc_id", *sums).unionByName(rare.select("doc_id", *sums))
-    # each row of the input has one line with its number of words
-    scored = scored.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count("words").alias("rows"))
+    known = exploded_words(source).join(F.broadcast(frequent), "word", "left")
+    line = F.col("words").isNotNull()
+    rare = F.col("count").isNull() & ~line
+    backed = F.when(line, F.greatest(F.col("words") - 1, F.lit(0)) * penalty).when(rare, 0).otherwise(F.col("tf") * _backed_off(F.col("count") - F.col("tf"), penalty))
+    lines = known.select("doc_id", F.when(rare, F.col("word")).alias("word"), F.when(rare, F.col("tf")).alias("tf"), backed.alias("part"), F.when(line, F.col("words")).otherwise(0).alias("unseen"), F.lit(0).cast("long").alias("hits"), "words")
+    lines = lines.groupBy("doc_id", "word", "tf").agg(*[F.sum(c).alias(c) for c in sums], F.count("words").alias("rows"), F.count("*").alias("n"))
+    lines = save_shared(lines, "lm-lines")
+    late = lines.where("word is not null").join(words, "word").withColumn("part", F.col("n") * F.col("tf") * _backed_off(F.col("count") - F.col("tf"), penalty))
+
+    near = exploded_bigrams(source, top_words, True).join(F.broadcast(pairs), ["w1", "w2"])
+    gram = F.xxhash64("w1", "w2").alias("gram")
+    far = exploded_bigrams(source, top_words, False).select(gram, "doc_id", "tf", "tf1", "tf2")
+    far = far.join(bigrams.select(gram, "c12", "c1", "c2"), "gram")
+    gains = _gains(near, penalty).unionByName(_gains(far, penalty)).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in sums])
+
+    zero = F.lit(0).cast("long").alias("rows")
+    scored = lines.where("word is null").select("doc_id", *sums, "rows").unionByName(late.select("doc_id", *sums, "rows")).unionByName(gains.select("doc_id", *sums, zero))
+    scored = scored.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*sums, "rows"]])
     rest = micro_log(F.greatest(F.lit(total) - F.col("words"), F.lit(1)))
     log_score = ((F.col("part") - F.col("unseen") * rest) / MICRO).alias("log_score")
+    # each row of the input has one line with its number of words
     out = scored.select("doc_id", "words", F.col("hits").alias("seen"), log_score, F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
     return out.withColumn("mean_log_score", F.when(F.col("words") > 0, F.col("log_score") / F.col("words")))
