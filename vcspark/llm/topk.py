@@ -151,7 +151,7 @@ def _blocked(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFram
     parts = rows.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     # at most CLUSTERS rows for each dimension
     rows = rows.join(F.broadcast(parts), ["dim", "cluster"])
-    rows = save_shared(rows.withColumn("block", F.xxhash64("dim", "cluster", F.pmod(F.xxhash64("vec_id", "v"), "parts"))).drop("parts", "cluster"), f"topk-{name}")
+    rows = save_shared(rows.withColumn("block", F.xxhash64("dim", "cluster", F.pmod(F.xxhash64("vec_id", "v"), "parts"))).drop("parts", "cluster"), f"topk-{name}-blocks")
     box = [f(F.col("stats")[i]) for i in range(1 + 2 * BOX_SEGMENTS) for f in (F.min, F.max)]
     boxes = rows.groupBy("dim", "block").agg(F.min("floor").alias("floor"), F.array(*box[::2]).alias("low"), F.array(*box[1::2]).alias("high"))
     return rows.drop("stats"), save_shared(boxes, f"topk-{name}-boxes")
