@@ -3,7 +3,7 @@
 Text likelihoods come from byte trigrams; to them are added the declared markup
 language, the address suffix and a host prior, whose tables are grouped aggregations
 over all rows. The host prior is smoothed hierarchically: host, registered domain, all.
-One more class, ``und``, has all trigrams equally likely: what fits no language.
+A text's evidence is bounded, so that a weak text yields to them. One more class, ``und``, has all trigrams equally likely: what fits no language.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ LEAST_ROWS = 5
 #: Training rows of each language where an equal share of ``max_rows`` would be less.
 LABEL_ROWS = 100
 SMOOTHING = 10.0
-#: Trigrams overlap, so each counts for a part of one; evidence of a text is bounded.
+#: Trigrams overlap, so each counts for a part of one, and a text counts for at most so many
+#: independent ones, however long: what a page quotes or repeats isn't new evidence.
 TRIGRAM_WEIGHT = 1 / 3
+MOST_TRIGRAMS = 24.0
 _ADDED = 0.05
 
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -54,7 +56,11 @@ def _trigrams(text: str) -> np.ndarray:
     return (grams * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
-def train(rows: DataFrame, key: str, label: str, raw: str, max_rows: int = TRAINING_ROWS, parse: Callable[[str], Column] = F.col) -> Model:
+def visible_text(page: str) -> str:
+    return "\n".join(b.text for b in blocks_of(page))
+
+
+def train(rows: DataFrame, key: str, label: str, raw: str, max_rows: int = TRAINING_ROWS, parse: Callable[[str], str] = str) -> Model:
     """A model of every label that ``LEAST_ROWS`` rows or more have; ``parse`` makes the text from column ``raw``.
 
     Labels are primary subtags, counted over all rows, so which languages exist doesn't
@@ -67,11 +73,11 @@ def train(rows: DataFrame, key: str, label: str, raw: str, max_rows: int = TRAIN
     stated = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(raw).alias("raw")).where("label is not null and raw is not null")
     labels = save_shared(stated.groupBy("label").agg(F.count("*").alias("rows_n")).where(F.col("rows_n") >= LEAST_ROWS), "lang-labels")
     wanted = max(LABEL_ROWS, max_rows // max(1, labels.count()))
-    order, part = Window.partitionBy("label").orderBy(F.xxhash64("label", "text")), 2.0
+    order, part = Window.partitionBy("label").orderBy(F.xxhash64("label", "raw")), 2.0
     while True:
         bounds = labels.select("label", "rows_n", (F.least(F.lit(1.0), F.lit(part * wanted) / F.col("rows_n")) * 2.0**40).cast("long").alias("bound"))
         near = stated.join(F.broadcast(bounds), "label").where(F.pmod(F.xxhash64("key"), F.lit(2**40)) < F.col("bound"))
-        sample = save_shared(near.select("label", parse("raw").alias("text")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted), "lang-sample")
+        sample = save_shared(near.select("label", "raw").withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted), "lang-sample")
         sampled = sample.groupBy("label").agg(F.count("*").alias("n"))
         short = bounds.join(sampled, "label", "left").where((F.col("bound") < 2**40) & (F.coalesce("n", F.lit(0)) < F.least("rows_n", F.lit(wanted))))
         if short.isEmpty():
@@ -80,8 +86,8 @@ def train(rows: DataFrame, key: str, label: str, raw: str, max_rows: int = TRAIN
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         counts = np.full(BUCKETS, _ADDED)
-        for t in group.text:
-            counts += np.bincount(_trigrams(t), minlength=BUCKETS)
+        for raw in group.raw:
+            counts += np.bincount(_trigrams(parse(raw)), minlength=BUCKETS)
         return pd.DataFrame({"label": [group.label.iloc[0]], "logs": [np.log(counts / counts.sum()).astype(np.float32)]})
 
     found = sample.groupBy("label").applyInPandas(learn, "label string, logs array<float>").toPandas().sort_values("label")
@@ -107,9 +113,9 @@ def text_evidence(rows: DataFrame, model: Model, keep: list[str], text: str, fro
                     t = t or ""
                     if from_html:
                         declared.append(declared_language(t))
-                        t = "\n".join(b.text for b in blocks_of(t))
+                        t = visible_text(t)
                     grams = _trigrams(t)
-                    s = logs[grams].sum(axis=0, dtype=np.float64) * TRIGRAM_WEIGHT if len(grams) else np.zeros(len(names))
+                    s = logs[grams].sum(axis=0, dtype=np.float64) * min(TRIGRAM_WEIGHT, MOST_TRIGRAMS / len(grams)) if len(grams) else np.zeros(len(names))
                     n.append(len(grams))
                     scores.append(s)
                     best.append(names[int(s.argmax())] if len(grams) else None)
@@ -144,7 +150,8 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     A null or unknown declared language, an empty suffix and an empty host say nothing.
     Equal probabilities: the smaller language name, ``und`` last. A text without
     letters is ``und`` with probability 1. If no language has been learned, any other
-    text has a null ``lang``: nothing speaks for or against it.
+    text has a null ``lang``: nothing speaks for or against it. A text that fits none
+    and declares a language with too few rows to be learned has that language.
     """
     classes = [*languages, UND]
     known = F.when(F.col("declared").isin(*languages), F.col("declared")).when(F.col("declared").isNotNull(), "other")
@@ -176,7 +183,8 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     out = out.withColumn("__e", evidence).withColumn("__max", F.array_max("__e"))
     place = (F.array_position(F.col("__e"), F.col("__max")) - 1).cast("int")
     total = F.aggregate("__e", F.lit(0.0), lambda a, e: a + F.exp(e - F.col("__max")))
-    lang = F.when(F.col("grams") == 0, UND).otherwise(F.array(*map(F.lit, classes))[place] if languages else F.lit(None).cast("string"))
+    best = F.array(*map(F.lit, classes))[place] if languages else F.lit(None).cast("string")
+    lang = F.when(F.col("grams") == 0, UND).when((best == UND) & (F.col("declared_class") == "other"), F.col("declared")).otherwise(best)
     return out.withColumn("lang", lang).withColumn("prob", F.when(F.col("grams") == 0, 1.0).otherwise(F.round(1 / total, 6))).drop("__e", "__max", "declared_class", "prior", "by_suffix", "by_declared")
 
 
@@ -189,8 +197,7 @@ def identify_pages(pages: DataFrame, max_rows: int = TRAINING_ROWS) -> DataFrame
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     stated = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,8})", 1))
-    visible = lambda html: F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>|&[a-z]+;", " ")
-    model = train(source.select("page_id", F.when(stated != "", stated).alias("label"), "html"), "page_id", "label", "html", max_rows, visible)
+    model = train(source.select("page_id", F.when(stated != "", stated).alias("label"), "html"), "page_id", "label", "html", max_rows, visible_text)
     host = host_of("url")
     addressed = source.select("page_id", host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)(?::\d+)?$", 1).alias("suffix"), "html", F.xxhash64("page_id", "url").alias("__spread"))
     seen = save_shared(text_evidence(addressed, model, ["page_id", "host", "suffix", "__spread"], "html", from_html=True), "lang-pages")
