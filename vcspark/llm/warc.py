@@ -1,8 +1,9 @@
 """WARC archives compressed record by record with a Zstandard dictionary.
 
 An archive file starts with a skippable frame that holds the dictionary, built from
-the first records it archives; then each record is a frame of its own. Of records with
-equal payloads one is a response and the others revisit it.
+the first records it archives; then each record is a frame of its own, the first of
+them a warcinfo. Of records with equal payloads one is a response and the others
+revisit it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
+from typing import BinaryIO
 from urllib.parse import quote, unquote
 
 import pandas as pd
@@ -19,37 +23,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vcspark.operators.skew import salted_join
-from vcspark.sources.shared import save_shared
+from vcspark.sources.shared import new_shared_path, save_shared
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20
 ARCHIVE_BYTES = 64 << 20
-DATE = "2025-01-01T00:00:00Z"
+_READ = 1 << 20
 _RESPONSE = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+_REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Printable ASCII but %, space and what would end a header line.
+_SAFE = "".join(map(chr, range(33, 127))).replace("%", "")
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One WARC record: a response with its payload, or a revisit of another page's record."""
-    block = b"" if payload is None else _RESPONSE % len(payload) + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=_SAFE)}")
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
-    if payload is None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    else:
-        head.append("Content-Type: application/http; msgtype=response")
-    head.append(f"Content-Length: {len(block)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+def record_id(page_id: int | None, sha256: bytes, copy: int = 0) -> str:
+    """A record's id, the same in every run: from its page, the SHA-256 of its payload and, of rows that repeat both, a number."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha256.hex()}:{copy}')}>"
 
 
-#: Printable ASCII but %, space and what would end a header line.
-_SAFE = "".join(map(chr, range(33, 127))).replace("%", "")
+def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
+    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def info_bytes(name: str, date: str) -> bytes:
+    block = b"software: vcspark\r\nformat: WARC File Format 1.1\r\n"
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, sha1: str, sha256: bytes, size: int, refers_to: int | None, date: str, copy: int = 0) -> bytes:
+    """One WARC record: a response with its payload, or (payload None) a revisit of another page's record."""
+    fields = [("WARC-Type", "revisit" if payload is None else "response"), ("WARC-Record-ID", record_id(page_id, sha256, copy)), ("WARC-Date", date)]
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
+    if url is not None:
+        fields.append(("WARC-Target-URI", quote(url, safe=_SAFE)))
+    fields += [("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", str(size))]
+    if payload is None:
+        fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id(refers_to, sha256)), ("X-Refers-To-Page-ID", str(refers_to))]
+        return _record(fields, b"")
+    return _record([*fields, ("Content-Type", "application/http; msgtype=response")], _RESPONSE % len(payload) + payload)
 
 
 def parse_record(data: bytes) -> dict[str, object]:
@@ -58,11 +75,13 @@ def parse_record(data: bytes) -> dict[str, object]:
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record")
     fields = dict(line.split(": ", 1) for line in lines[1:])
+    if fields["WARC-Type"] == "warcinfo":
+        return {"record_type": "warcinfo"}
     block = rest[: int(fields["Content-Length"])]
-    number = lambda name: (lambda v: int(v) if v else None)(fields.get(name, "<urn:page:>")[len("<urn:page:") : -1])
+    number = lambda name: int(fields[name]) if name in fields else None
     payload = block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None
     url = fields.get("WARC-Target-URI")
-    return {"page_id": number("WARC-Record-ID"), "url": None if url is None else unquote(url), "record_type": fields["WARC-Type"], "payload": payload, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(fields["X-Payload-Length"]), "refers_to": number("WARC-Refers-To")}
+    return {"page_id": number("X-Page-ID"), "record_id": fields["WARC-Record-ID"], "url": None if url is None else unquote(url), "record_type": fields["WARC-Type"], "payload": payload, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(fields["X-Payload-Length"]), "refers_to": number("X-Refers-To-Page-ID")}
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -73,159 +92,210 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b""
 
 
-def write_archive(records: Iterable[bytes], limit: int = ARCHIVE_BYTES) -> Iterator[tuple[bytes, int]]:
-    """Archive files as (bytes, number of records), each of about ``limit`` bytes at most and one record at least."""
-    out, n = bytearray(), 0
-    packer: zstandard.ZstdCompressor | None = None
-    held: list[bytes] = []
-    size = 0
+class ArchiveWriter:
+    """Writes one archive file: records are held until there are ``SAMPLE_BYTES`` for the dictionary, then each goes out at once."""
 
-    def open_file() -> None:
-        nonlocal packer
-        trained = _dictionary(held)
-        if trained:
-            out.extend(struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained)
-        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-        for record in held:
-            out.extend(packer.compress(record))
-        held.clear()
+    def __init__(self, out: BinaryIO) -> None:
+        self.out, self.records, self.written = out, 0, 0
+        self._held: list[bytes] = []
+        self._size = 0
+        self._packer: zstandard.ZstdCompressor | None = None
 
-    for record in records:
-        n += 1
-        if packer is None:
-            held.append(record)
-            size += len(record)
-            if size >= SAMPLE_BYTES:
-                open_file()
+    def add(self, record: bytes) -> None:
+        self.records += 1
+        if self._packer is None:
+            self._held.append(record)
+            self._size += len(record)
+            if self._size >= SAMPLE_BYTES:
+                self._open()
         else:
-            out.extend(packer.compress(record))
-        if packer is not None and len(out) >= limit:
-            yield bytes(out), n
-            out.clear()
-            packer, size, n = None, 0, 0
-    if n:
-        if packer is None:
-            open_file()
-        yield bytes(out), n
-
-
-def read_archive(data: bytes) -> Iterator[dict[str, object]]:
-    """The records of one archive file; frames that are skippable and no dictionary are passed over."""
-    view, at, trained = memoryview(data), 0, None
-    while at < len(data):
-        magic = struct.unpack_from("<I", data, at)[0]
+            self._write(self._packer.compress(record))
+
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.written += len(data)
+
+    def _open(self) -> None:
+        trained = _dictionary(self._held)
+        if trained:
+            self._write(struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained)
+        self._packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        for record in self._held:
+            self._write(self._packer.compress(record))
+        self._held.clear()
+
+    def finish(self) -> None:
+        if self._packer is None:
+            self._open()
+
+
+def read_archive(stream: BinaryIO) -> Iterator[dict[str, object]]:
+    """The records of one archive file, a buffer at a time; frames that are skippable and no dictionary are passed over."""
+    data, trained, ended = b"", None, False
+
+    def fill(least: int) -> bool:
+        nonlocal data, ended
+        while len(data) < least and not ended:
+            more = stream.read(_READ)
+            ended = not more
+            data += more
+        return len(data) >= least
+
+    while fill(4):
+        magic = struct.unpack_from("<I", data)[0]
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            size = struct.unpack_from("<I", data, at + 4)[0]
+            fill(8)
+            size = struct.unpack_from("<I", data, 4)[0]
             if magic == DICTIONARY_MAGIC:
-                trained = zstandard.ZstdCompressionDict(data[at + 8 : at + 8 + size])
-            at += 8 + size
+                fill(8 + size)
+                trained = zstandard.ZstdCompressionDict(data[8 : 8 + size])
+                data = data[8 + size :]
+            else:
+                left, data = 8 + size - len(data), data[8 + size :]
+                while left > 0:
+                    left -= len(stream.read(min(left, _READ))) or left
             continue
         reader = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
-        while at < len(data) and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 != 0x184D2A50:
-            frame = reader.decompressobj()
-            record = frame.decompress(view[at : at + 65536])
-            taken = min(at + 65536, len(data))
-            while not frame.eof:
-                record += frame.decompress(view[taken : taken + 1048576])
-                taken = min(taken + 1048576, len(data))
-            at = taken - len(frame.unused_data)
-            yield parse_record(record)
+        at = 0
+        while len(data) - at >= 4 and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 != 0x184D2A50:
+            frame, record = reader.decompressobj(), []
+            piece, at = data[at : at + (1 << 16)], at + (1 << 16)
+            while True:
+                record.append(frame.decompress(piece))
+                if frame.eof:
+                    break
+                piece, at = data[at : at + _READ], at + _READ
+                if not piece:
+                    data, at = stream.read(_READ), 0
+                    if not data:
+                        raise ValueError("archive ends within a record")
+                    piece, at = data, len(data)
+            at = min(at, len(data)) - len(frame.unused_data)
+            yield parse_record(b"".join(record))
+        data = data[at:]
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, size, refers_to): what each page's record is to be.
+    """(page_id, url, html, sha1, sha256, size, refers_to, copies): what each page's record is to be.
 
-    Of equal payloads of at least ``least_bytes`` bytes, that with the largest page_id
-    (null is the smallest) is the response, refers_to null; others revisit it.
+    Payloads are equal if length, SHA-1 and SHA-256 are. Of equal payloads of at least
+    ``least_bytes`` bytes, that with the largest page_id (null is the smallest) is the
+    response, refers_to null; others revisit it. ``copies`` counts the rows that share
+    page_id and payload.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    digests = save_shared(pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).cast("long").alias("size")), "warc-digests")
-    groups = save_shared(digests.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")), "warc-groups")
-    planned = salted_join(digests, groups, ["digest"], "n", "page_id")
+    sha = F.unhex(F.sha2(payload, 256))
+    digests = save_shared(pages.select("page_id", sha.alias("sha256"), F.unhex(F.sha1(payload)).alias("sha1"), F.length(payload).cast("long").alias("size")), "warc-digests")
+    equal = ["sha256", "sha1", "size"]
+    groups = save_shared(digests.groupBy(*equal).agg(F.max("page_id").alias("response"), F.count("*").alias("n")), "warc-groups")
+    same = digests.groupBy("page_id", *equal).agg(F.count("*").alias("copies"))
+    planned = salted_join(same, groups, equal, "n", "page_id")
     refers = F.when((F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    planned = planned.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), refers.alias("refers_to")).distinct()
-    hashed = pages.withColumn("digest", F.unhex(F.sha1(payload))).withColumn("size", F.length(payload).cast("long"))
-    return hashed.join(planned, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))).drop("__id", "__digest")
+    planned = planned.select(F.col("page_id").alias("__id"), F.col("sha256").alias("__sha"), "sha1", "size", "copies", refers.alias("refers_to"))
+    hashed = pages.withColumn("sha256", sha)
+    return hashed.join(planned, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("sha256") == F.col("__sha"))).drop("__id", "__sha")
 
 
-def write_warc(planned: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
-    """A saved table (records, archive): each row's ``archive`` is the bytes of one archive file.
+def _store(folder: str) -> tuple[object, str]:
+    """pyarrow's file system and the path in it of a folder's URI or path."""
+    from pyarrow import fs
 
-    The table is written by Spark's own committer, so a lost or repeated task leaves no
-    half archive and no copy; ``export_archives`` turns rows into files.
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def write_warc(planned: DataFrame, folder: str | None = None, limit: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
+    """Write archive files under ``folder``, a URI that all executors reach; (path, records), a saved table that lists them.
+
+    A file is closed once it has ``limit`` bytes. Its name is new for every attempt of
+    a task, so a lost or repeated attempt leaves a file that the table doesn't list,
+    and never a record twice. Without ``folder``, one is made in the shared folder.
     """
+    folder = folder or new_shared_path(planned.sparkSession, "warc")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _store(folder)
+        store.create_dir(root)
+
         def records() -> Iterator[bytes]:
             for part in parts:
-                for page_id, url, html, digest, size, refers_to in zip(part.page_id, part.url, part.html, part.digest, part["size"], part.refers_to):
-                    refers_to = None if pd.isna(refers_to) else int(refers_to)
+                for page_id, url, html, sha1, sha256, size, refers_to, copy in zip(part.page_id, part.url, part.html, part.sha1, part.sha256, part["size"], part.refers_to, part["copy"]):
+                    page_id, refers_to = (None if pd.isna(i) else int(i) for i in (page_id, refers_to))
                     payload = (html or "").encode() if refers_to is None else None
-                    yield record_bytes(None if pd.isna(page_id) else int(page_id), url, payload, base64.b32encode(digest).decode(), int(size), refers_to)
+                    yield record_bytes(page_id, url, payload, base64.b32encode(sha1).decode(), sha256, int(size), refers_to, date, int(copy))
 
-        for data, n in write_archive(records(), limit):
-            yield pd.DataFrame({"records": [n], "archive": [data]})
+        for name, n in write_archives(records(), store, root, limit, date):
+            yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n]})
 
-    rows = planned.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", "size", F.col("refers_to").cast("string").alias("refers_to"))
-    return save_shared(rows.mapInPandas(run, "records long, archive binary"), "warc-archives")
+    copy = F.when(F.col("copies") > 1, F.monotonically_increasing_id() + 1).otherwise(0)
+    rows = planned.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "sha1", "sha256", "size", F.col("refers_to").cast("string").alias("refers_to"), copy.alias("copy"))
+    return save_shared(rows.mapInPandas(run, "path string, records long"), "warc-files")
 
 
-def read_warc(archives: DataFrame, column: str = "archive") -> DataFrame:
-    """The records of all archives: page_id, url, record_type, payload, payload_digest, payload_bytes, refers_to.
-
-    ``archives`` has archive files' bytes in ``column``: rows of ``write_warc``, or
-    files read with ``spark.read.format("binaryFile")`` (column ``content``). A
-    response's digest and size are taken from the payload that was read and must
-    agree with its header.
+def write_archives(records: Iterable[bytes], store: object, root: str, limit: int, date: str) -> Iterator[tuple[str, int]]:
+    """Archive files of about ``limit`` bytes at most, one record at least: name and number of records of each, warcinfo left out."""
+    writer = out = None
+    name = ""
+    for record in records:
+        if writer is None:
+            name = f"{uuid.uuid4().hex}.warc.zst"
+            out = store.open_output_stream(f"{root}/{name}", compression=None)  # the archive is compressed already
+            writer = ArchiveWriter(out)
+            writer.add(info_bytes(name, date))
+        writer.add(record)
+        if writer.written >= limit:
+            writer.finish()
+            out.close()
+            yield name, writer.records - 1
+            writer = None
+    if writer is not None:
+        writer.finish()
+        out.close()
+        yield name, writer.records - 1
+
+
+def read_warc(files: DataFrame) -> DataFrame:
+    """The records of all archives but warcinfo: page_id, record_id, url, record_type, payload, payload_digest, payload_bytes, refers_to.
+
+    ``files`` lists archive files in a column ``path``, as ``write_warc`` returns them.
+    A file is read a buffer at a time. A response's digest and size are taken from the
+    payload that was read and must agree with its header.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for data in part[column]:
+            for path in part.path:
+                store, name = _store(path)
                 rows: list[dict[str, object]] = []
                 held = 0
-                for record in read_archive(data):
-                    payload = record["payload"]
-                    if payload is not None and (payload_digest(payload), len(payload)) != (record["payload_digest"], record["payload_bytes"]):
-                        raise ValueError(f"payload of page {record['page_id']} differs from its digest")
-                    rows.append(record)
-                    held += len(payload or b"")
-                    if held > 4 << 20 or len(rows) >= 5000:
-                        yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
-                        rows, held = [], 0
+                with store.open_input_stream(name, compression=None) as stream:
+                    for record in read_archive(stream):
+                        if record["record_type"] == "warcinfo":
+                            continue
+                        payload = record["payload"]
+                        if payload is not None and (payload_digest(payload), len(payload)) != (record["payload_digest"], record["payload_bytes"]):
+                            raise ValueError(f"payload of page {record['page_id']} differs from its digest")
+                        rows.append(record)
+                        held += len(payload or b"")
+                        if held > 4 << 20 or len(rows) >= 5000:
+                            yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            rows, held = [], 0
                 if rows:
                     yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return archives.select(column).mapInPandas(run, "page_id long, url string, record_type string, payload binary, payload_digest string, payload_bytes long, refers_to long")
-
-
-def export_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Write each archive of a saved table as a file ``warc-<sha1>.warc.zst`` under ``folder``, a URI that all executors reach; (path, records).
-
-    Names come from the content, so a repeated task writes the same file again.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root)
-        for part in parts:
-            for data, n in zip(part.archive, part.records):
-                path = f"{root}/warc-{hashlib.sha1(data).hexdigest()}.warc.zst"
-                with store.open_output_stream(path, compression=None) as out:  # the archive is compressed already
-                    out.write(data)
-                yield pd.DataFrame({"path": [path], "records": [n]})
-
-    return save_shared(archives.mapInPandas(run, "path string, records long"), "warc-files")
+    spread = files.select("path").repartition(F.col("path"))
+    return spread.mapInPandas(run, "page_id long, record_id string, url string, record_type string, payload binary, payload_digest string, payload_bytes long, refers_to long")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write every row's record (page_id, url, html), read the archives back: page_id, url, record_type, payload_digest, payload_bytes, refers_to.
 
     Null html is an empty payload, a null url is left out of the header. Rows that
-    share page_id and payload are one page: each is written, with the same decision.
-    Other columns are not read.
+    share page_id and payload are one page: each is written, with the same decision
+    and an id of its own; revisits then name the page of their response, but an id
+    that none of its copies has. Other columns are not read.
     """
     planned = plan_records(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), least_bytes)
-    return read_warc(write_warc(planned)).drop("payload")
+    return read_warc(write_warc(planned)).drop("payload", "record_id")
