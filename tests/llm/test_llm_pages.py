@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import math
+import random
+import re
 import struct
 from collections import Counter
 
@@ -14,11 +17,11 @@ import pytest
 
 import corpus_pipeline
 from test_queries import comparable
-from vcspark.llm import queries
-from vcspark.llm.extraction import classify, extract_pages, grow, labelled_table, main_text
+from vcspark.llm import queries, topk, url_filter
+from vcspark.llm.extraction import _PROSE, classify, extract_pages, grow, labelled_table, main_text
 from vcspark.llm.topk import search_block, top_k, usable_vectors
-from vcspark.llm.url_filter import default_rules, filter_urls, host_rule, index_rules, rules_table, token_rule
-from vcspark.llm.warc import DICTIONARY_MAGIC, archive_pages, export_archives, plan_records, read_archive, read_warc, record_bytes, write_archive, write_warc
+from vcspark.llm.url_filter import default_rules, filter_urls, host_rule, index_rules, list_rule, rules_table, token_rule
+from vcspark.llm.warc import DICTIONARY_MAGIC, ArchiveWriter, archive_pages, plan_records, read_archive, read_warc, record_bytes, write_warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,20 +38,43 @@ def test_query_equals_sql(spark, name):
 # top-k
 
 
-def test_top_k_equals_brute_force_with_ties_and_odd_vectors(spark):
+@pytest.mark.parametrize("block", [8192, 16])
+def test_top_k_equals_brute_force_with_ties_and_odd_vectors(spark, monkeypatch, block):
+    """Rows that repeat an id are candidates each for itself, for other queries than their own."""
+    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", max(2, block // 16))
     rng = np.random.default_rng(5)
-    rows = [(i, [float(np.float32(x)) for x in (rng.integers(-2, 3, 8) / 4 if i % 3 else rng.normal(size=8))], 0) for i in range(300)]
-    rows += [(300, None, 0), (301, [1.0] * 7 + [None], 0), (302, [math.nan] * 8, 0), (303, [math.inf] * 8, 0), (304, [0.0] * 8, 0), (None, [1.0] * 8, 0), (305, [1.0, 2.0], 0), (5, rows[5][1], 0)]
+    rows = [(i, [float(np.float32(x)) for x in (rng.integers(-2, 3, 8) / 4 if i % 3 else rng.normal(size=8) + 10 * (i % 5))], 0) for i in range(300)]
+    rows += [(300, None, 0), (301, [1.0] * 7 + [None], 0), (302, [math.nan] * 8, 0), (303, [math.inf] * 8, 0), (304, [0.0] * 8, 0), (None, [1.0] * 8, 0), (305, [1.0, 2.0], 0), *[(5, rows[i][1], 0) for i in (5, 9, 9)]]
     vectors = usable_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim int"), "vec_id", "embedding")
     got = sorted(map(tuple, top_k(vectors, vectors.where("vec_id % 100 = 0 or vec_id = 305"), 10).collect()))
-    whole = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q in (0, 100, 200):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == 8)[:10]
+        own = next(v for i, v in whole if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q and len(v) == 8)[:10]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     assert got == want
 
 
+def test_blocks_that_cannot_reach_a_floor_stay_apart(spark, monkeypatch):
+    saved = {}
+    keep = topk.save_shared
+    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 4)
+    monkeypatch.setattr(topk, "save_shared", lambda df, name: saved.setdefault(name, keep(df, name)))
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(10, 32)) * 4
+    rows = [(i, (centres[i % 10] + rng.normal(size=32) / 10).tolist()) for i in range(3000)]
+    vectors = usable_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(vectors, vectors.where("vec_id % 100 = 0"), 10).collect()}
+    x = np.floor(np.array([v for _, v in rows]) * 1024)
+    for q in range(0, 3000, 100):
+        scored = sorted((-int(s), j) for j, s in enumerate(x @ x[q]) if j != q)[:10]
+        assert [got[(q, n + 1)] for n in range(10)] == [(j, -s) for s, j in scored]
+    assert saved["topk-pairs"].count() < saved["topk-rows-boxes"].count() * saved["topk-queries-boxes"].count() / 3
+
+
 def test_top_k_of_nothing(spark):
     vectors = usable_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert top_k(vectors, vectors).collect() == []
@@ -57,10 +83,10 @@ def test_top_k_of_nothing(spark):
 def test_bounds_never_lose_a_row():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(500, 64)) * 1024)
-    for i, ids, scores in search_block(np.arange(20), x[:20], np.full(20, -np.inf), np.arange(500), x, 5):
-        all_scores = x @ x[i]
-        want = sorted(((-s, j) for j, s in enumerate(all_scores) if j != i))[:5]
-        assert list(zip((-scores).tolist(), ids.tolist())) == want
+    queries_of, rows, scores = search_block(np.arange(200), x[:200], np.full(200, -np.inf), np.arange(500), x, 5)
+    for i in range(200):
+        want = sorted(((-s, j) for j, s in enumerate(x @ x[i]) if j != i))[:5]
+        assert list(zip((-scores[queries_of == i]).tolist(), rows[queries_of == i].tolist())) == want
 
 
 # URL filters
@@ -85,6 +111,44 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert {(r.rule, r.token) for r in index_rules(rules, addresses).collect()} == {("shop.com/ads/x", "ads"), ("*spam*", "spam")}
 
 
+def list_lines(pick):
+    word = lambda: "".join(pick.choice("abcde") for _ in range(pick.randint(1, 3)))
+    shapes = [lambda: f"||{word()}.com^", lambda: f"||{word()}.{word()}.org/{word()}", lambda: f"/{word()}/*{word()}.", lambda: f"^{word()}^", lambda: f"|{word()}.com/{word()}|", lambda: word() + word(), lambda: f"@@||{word()}.com/{word()}^", lambda: f".{word()}/{word()}|"]
+    return [pick.choice(shapes)() for _ in range(1500)]
+
+
+def list_verdict(lines, address):
+    """By trying every line."""
+    best = "allow"
+    for line in lines:
+        body = line.removeprefix("@@")
+        pattern = re.escape(body.strip("|")).replace(r"\*", ".*").replace(r"\^", r"(?:[^A-Za-z0-9_.%-]|$)")
+        start = r"^(?:[^/]*\.)?" if body.startswith("||") else "^" if body.startswith("|") else ""
+        if re.search(f"(?i){start}{pattern}{'$' if body.endswith('|') else ''}", address):
+            if line.startswith("@@"):
+                return "allow"
+            best = "block"
+    return best
+
+
+@pytest.mark.parametrize("limit", [200_000, 10])
+def test_filter_list_equals_trying_every_rule(spark, monkeypatch, limit):
+    """With the index broadcast, and joined by token."""
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+    pick = random.Random(4)
+    lines = [x for x in dict.fromkeys(list_lines(pick)) if len(x) > 4]
+    word = lambda: "".join(pick.choice("abcdeXY9-_.") for _ in range(pick.randint(1, 4)))
+    urls = [f"http://{word()}{pick.choice(['.com', '.org', ''])}/{word()}/{word()}" for _ in range(400)] + ["http://a.com/" + "b/" * 300, None]
+    rules = rules_table(spark, [r for r in map(list_rule, lines) if r])
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    want = [list_verdict(lines, got[i].host + got[i].path) for i in range(len(urls))]
+    assert [got[i].verdict for i in range(len(urls))] == want and 50 < want.count("block") < 380
+
+
+def test_lines_that_are_no_address_rules():
+    assert [list_rule(x) for x in ("", "! note", "[Adblock]", "a.com##.ad", "ads$script")] == [None] * 5
+
+
 def test_url_plan_has_no_python(spark, capsys):
     filter_urls(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string"), default_rules(spark)).explain()
     assert "Python" not in capsys.readouterr().out
@@ -96,17 +160,18 @@ PAGES = [(1, "http://a.org/é %", "<p>á"), (2, None, "<p>á"), (3, "x\r\nInject
 
 
 def test_archives_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(*p, "mine") for p in PAGES], "page_id long, url string, html string, digest string").drop("digest")
-    archives = write_warc(plan_records(pages))
-    got = {(r.page_id, r.record_type): r for r in read_warc(archives).collect()}
-    assert read_warc(archives).count() == len(PAGES)
+    pages = spark.createDataFrame([(*p, "mine") for p in PAGES], "page_id long, url string, html string, sha1 string").drop("sha1")
+    files = write_warc(plan_records(pages), f"file://{tmp_path}/out", date="2025-01-01T00:00:00Z")
+    records = read_warc(files).collect()
+    got = {(r.page_id, r.record_type): r for r in records}
+    assert len(records) == len({r.record_id for r in records}) == len(PAGES) == sum(r.records for r in files.collect())
     assert got[(2, "response")].payload == "<p>á".encode() and got[(1, "revisit")].refers_to == 2 and got[(None, "revisit")].refers_to == 2
     assert got[(4, "response")].payload == b"" and got[(3, "revisit")].refers_to == 4 and got[(3, "revisit")].url == "x\r\nInjected: 1"
     assert got[(5, "response")].payload == "<p>other\r\n\r\nline".encode() and len(got[(6, "response")].payload) == 3_000_000
     assert got[(1, "revisit")].payload_digest == base64.b32encode(hashlib.sha1("<p>á".encode()).digest()).decode() and got[(1, "revisit")].url == "http://a.org/é %"
-    files = export_archives(archives, f"file://{tmp_path}/out")
-    assert sum(r.records for r in files.collect()) == len(PAGES)
-    assert read_warc(spark.read.format("binaryFile").load(f"{tmp_path}/out/*.zst"), "content").count() == len(PAGES)
+    for path in (tmp_path / "out").glob("*.warc.zst"):
+        first = next(read_archive(path.open("rb")))
+        assert first["record_type"] == "warcinfo"
 
 
 def test_no_pages(spark):
@@ -119,12 +184,22 @@ def test_small_payloads_can_all_be_responses(spark):
 
 
 def test_dictionary_leads_and_helps():
-    records = [record_bytes(i, f"http://e.org/{i}", (f"<html><head><title>Page {i}</title></head><body class=x>" + "<p>shared text of many pages</p>" * 3 + f"{i * 7919}").encode(), "D", 1, None) for i in range(3000)]
-    archives = list(write_archive(records, limit=1 << 30))
-    assert len(archives) == 1 and struct.unpack_from("<I", archives[0][0])[0] == DICTIONARY_MAGIC == 0x184D2A5D
-    assert [r["page_id"] for r in read_archive(archives[0][0])] == list(range(3000))
-    assert len(archives[0][0]) < sum(map(len, records)) / 3
-    assert sum(n for _, n in write_archive(records, limit=20_000)) == 3000
+    records = [record_bytes(i, f"http://e.org/{i}", (f"<html><head><title>Page {i}</title></head><body class=x>" + "<p>shared text of many pages</p>" * 3 + f"{i * 7919}").encode(), "D", b"x", 1, None, "2025-01-01T00:00:00Z") for i in range(3000)]
+    records.insert(100, record_bytes(9999, None, random.Random(1).randbytes(5_000_000), "D", b"x", 1, None, "2025-01-01T00:00:00Z"))
+    out = io.BytesIO()
+    writer = ArchiveWriter(out)
+    for r in records:
+        writer.add(r)
+    writer.finish()
+    data = out.getvalue()
+    assert struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC == 0x184D2A5D
+    skipped = struct.pack("<II", 0x184D2A50, 3_000_000) + bytes(3_000_000)
+    want = [*range(100), 9999, *range(100, 3000)]
+    assert [r["page_id"] for r in read_archive(io.BytesIO(data))] == want
+    assert [r["page_id"] for r in read_archive(io.BytesIO(skipped + data + skipped + data))] == want + want
+    assert len(data) - 5_000_000 < (sum(map(len, records)) - 5_000_000) / 3
+    with pytest.raises(ValueError, match="ends within"):
+        list(read_archive(io.BytesIO(data[:-5])))
 
 
 # extraction
@@ -140,6 +215,24 @@ def test_main_text():
     assert main_text(None) == main_text("") == main_text("<p>") == ""
 
 
+def test_wrappers_with_odd_names_keep_their_text():
+    body = f"<h1>A title</h1><p>{_PROSE[3]}</p><p>Short end.</p>"
+    want = f"A title\n{_PROSE[3]}\nShort end."
+    assert main_text(f"<nav><a href=/>Home</a></nav><div class='post tags-a'><article>{body}</article></div>") == want
+    assert main_text(f"<article><div class='notice-of-meeting'>{body}</div></article><footer>(c)</footer>") == want
+    assert main_text(f"<body><div id=newsletter-page>{body}</div></body>") == want
+
+
+def test_menus_at_any_depth_are_left_out():
+    for depth in (10, 520, 50_000):
+        assert main_text("<div>" * depth + "<nav><p>Menu of the page</p></nav><article><p>Text of it.</p></article>") == "Text of it."
+
+
+def test_pages_without_an_article():
+    page = f"<div><a href=1>Home</a> <a href=2>Sport</a></div><div class=cookies><p>{_PROSE[0]}</p></div><div><h1>On wells</h1><p>{_PROSE[7]}</p><p>{_PROSE[1]}</p></div><div class='reader-comments'><p>{_PROSE[2]}</p></div><div><a href=3>Terms of use</a></div>"
+    assert main_text(page) == f"On wells\n{_PROSE[7]}\n{_PROSE[1]}"
+
+
 def test_extraction_of_pages_keeps_articles_only(spark):
     import html
     import re
