@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_query_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).columns
+    assert plans.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

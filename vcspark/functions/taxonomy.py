@@ -9,93 +9,93 @@ from vcspark.functions.text import norm_strict
 
 # Each canonical colour with the words for it.
 COLOURS = {
-    "black": "negro, black",
-    "white": "blanco, white, off white, crudo, ecru",
-    "red": "rojo, red",
-    "burgundy": "burdeos, burgundy, granate",
-    "blue": "azul, blue",
-    "navy": "marino, navy, azul marino",
-    "light blue": "celeste, light blue",
-    "green": "verde, green",
-    "khaki": "caqui, khaki",
-    "olive": "oliva, olive",
-    "yellow": "amarillo, yellow",
-    "mustard": "mostaza, mustard",
-    "orange": "naranja, orange",
-    "pink": "rosa, pink",
-    "fuchsia": "fucsia, fuchsia",
-    "purple": "morado, purple, violeta",
-    "lilac": "lila, lilac",
-    "brown": "marron, brown",
-    "camel": "camel",
-    "beige": "beige, arena",
-    "taupe": "taupe",
-    "grey": "gris, grey, gray",
-    "anthracite": "antracita, anthracite",
-    "silver": "plata, silver",
-    "gold": "dorado, gold",
-    "cream": "crema, cream",
-    "multicolor": "multicolor",
+    "black": ["negro", "black"],
+    "white": ["blanco", "white", "off white", "crudo", "ecru"],
+    "red": ["rojo", "red"],
+    "burgundy": ["burdeos", "burgundy", "granate"],
+    "blue": ["azul", "blue"],
+    "navy": ["marino", "navy", "azul marino"],
+    "light blue": ["celeste", "light blue"],
+    "green": ["verde", "green"],
+    "khaki": ["caqui", "khaki"],
+    "olive": ["oliva", "olive"],
+    "yellow": ["amarillo", "yellow"],
+    "mustard": ["mostaza", "mustard"],
+    "orange": ["naranja", "orange"],
+    "pink": ["rosa", "pink"],
+    "fuchsia": ["fucsia", "fuchsia"],
+    "purple": ["morado", "purple", "violeta"],
+    "lilac": ["lila", "lilac"],
+    "brown": ["marron", "brown"],
+    "camel": ["camel"],
+    "beige": ["beige", "arena"],
+    "taupe": ["taupe"],
+    "grey": ["gris", "grey", "gray"],
+    "anthracite": ["antracita", "anthracite"],
+    "silver": ["plata", "silver"],
+    "gold": ["dorado", "gold"],
+    "cream": ["crema", "cream"],
+    "multicolor": ["multicolor"],
 }
 
 # Families, their canonical categories, and the words for each category.
 CATEGORIES = {
     "clothing": {
-        "clothing": "prenda, prendas, ropa, prenda superior, prenda inferior, parte superior, parte inferior, clothing, apparel, garment",
-        "dress": "vestido, vestidos, dress, dresses, saree, sarees, sari",
-        "t-shirt": "camiseta, camisetas, t shirt, tshirt, tee",
-        "shirt": "camisa, camisas, shirt",
-        "blouse": "blusa, blouse",
-        "trousers": "pantalon, pantalones, trousers, pants, capri, capris, leggings, jeggings",
-        "jeans": "vaquero, vaqueros, jeans, denim",
-        "skirt": "falda, faldas, skirt",
-        "jacket": "chaqueta, chaquetas, jacket, cazadora",
-        "blazer": "blazer, americana",
-        "coat": "abrigo, abrigos, coat, parka, trench, gabardina",
-        "sweater": "jersey, jerseis, sweater, punto, knitwear",
-        "sweatshirt": "sudadera, sweatshirt, hoodie",
-        "cardigan": "cardigan",
-        "shorts": "short, shorts, bermuda",
-        "top": "top, tops, tunic, tunics, kurta, kurtas, kurtis",
-        "bodysuit": "body, bodysuit",
-        "jumpsuit": "mono, jumpsuit",
-        "socks": "sock, socks, calcetines",
+        "clothing": ["prenda", "prendas", "ropa", "prenda superior", "prenda inferior", "parte superior", "parte inferior", "clothing", "apparel", "garment"],
+        "dress": ["vestido", "vestidos", "dress", "dresses", "saree", "sarees", "sari"],
+        "t-shirt": ["camiseta", "camisetas", "t shirt", "tshirt", "tee"],
+        "shirt": ["camisa", "camisas", "shirt"],
+        "blouse": ["blusa", "blouse"],
+        "trousers": ["pantalon", "pantalones", "trousers", "pants", "capri", "capris", "leggings", "jeggings"],
+        "jeans": ["vaquero", "vaqueros", "jeans", "denim"],
+        "skirt": ["falda", "faldas", "skirt"],
+        "jacket": ["chaqueta", "chaquetas", "jacket", "cazadora"],
+        "blazer": ["blazer", "americana"],
+        "coat": ["abrigo", "abrigos", "coat", "parka", "trench", "gabardina"],
+        "sweater": ["jersey", "jerseis", "sweater", "punto", "knitwear"],
+        "sweatshirt": ["sudadera", "sweatshirt", "hoodie"],
+        "cardigan": ["cardigan"],
+        "shorts": ["short", "shorts", "bermuda"],
+        "top": ["top", "tops", "tunic", "tunics", "kurta", "kurtas", "kurtis"],
+        "bodysuit": ["body", "bodysuit"],
+        "jumpsuit": ["mono", "jumpsuit"],
+        "socks": ["sock", "socks", "calcetines"],
     },
     "footwear": {
-        "footwear": "calzado, footwear",
-        "shoes": "zapato, zapatos, shoes, flat, flats, mocasin, loafers",
-        "sneakers": "zapatilla, zapatillas, sneakers, trainers",
-        "boots": "bota, botas, boots",
-        "sandals": "sandalia, sandalias, sandals, flip flop, flip flops, chanclas",
-        "heels": "tacon, heels",
+        "footwear": ["calzado", "footwear"],
+        "shoes": ["zapato", "zapatos", "shoes", "flat", "flats", "mocasin", "loafers"],
+        "sneakers": ["zapatilla", "zapatillas", "sneakers", "trainers"],
+        "boots": ["bota", "botas", "boots"],
+        "sandals": ["sandalia", "sandalias", "sandals", "flip flop", "flip flops", "chanclas"],
+        "heels": ["tacon", "heels"],
     },
     "bags_accessories": {
-        "bags_accessories": "accesorio, accesorios, complemento, complementos, accessory, accessories",
-        "bag": "bolso, bolsos, bag, bags, handbag, handbags, clutch, clutches",
-        "backpack": "mochila, backpack",
-        "belt": "cinturon, belt",
-        "scarf": "bufanda, scarf, scarves",
-        "cap": "gorra, cap",
-        "hat": "sombrero, hat",
-        "sunglasses": "gafas, sunglasses",
-        "wallet": "wallet, wallets, cartera",
+        "bags_accessories": ["accesorio", "accesorios", "complemento", "complementos", "accessory", "accessories"],
+        "bag": ["bolso", "bolsos", "bag", "bags", "handbag", "handbags", "clutch", "clutches"],
+        "backpack": ["mochila", "backpack"],
+        "belt": ["cinturon", "belt"],
+        "scarf": ["bufanda", "scarf", "scarves"],
+        "cap": ["gorra", "cap"],
+        "hat": ["sombrero", "hat"],
+        "sunglasses": ["gafas", "sunglasses"],
+        "wallet": ["wallet", "wallets", "cartera"],
     },
     "watches_jewelry": {
-        "watches_jewelry": "joyeria, jewellery",
-        "watch": "reloj, watch",
-        "jewelry": "earring, earrings, pendientes, necklace, collar, bracelet, pulsera, ring, anillo, pendant",
+        "watches_jewelry": ["joyeria", "jewellery"],
+        "watch": ["reloj", "watch"],
+        "jewelry": ["earring", "earrings", "pendientes", "necklace", "collar", "bracelet", "pulsera", "ring", "anillo", "pendant"],
     },
     "beauty": {
-        "fragrance": "perfume, fragrance, colonia, perfumes, deodorant, desodorante",
-        "makeup": "lipstick, makeup, maquillaje, nail polish, lip gloss, mascara, foundation, kajal, eyeshadow",
+        "fragrance": ["perfume", "fragrance", "colonia", "perfumes", "deodorant", "desodorante"],
+        "makeup": ["lipstick", "makeup", "maquillaje", "nail polish", "lip gloss", "mascara", "foundation", "kajal", "eyeshadow"],
     },
 }
 # Brand spellings that mean another brand, and genders that suit everyone.
 BRAND_ALIASES = {"h m": "hm", "h and m": "hm", "hennes mauritz": "hm", "zara home": "zara", "mango outlet": "mango"}
 UNISEX = ["unisex", "unisexo", "all", "todos", "mixto", "kids", "nino", "nina"]
 
-COLOUR_WORDS = {word: colour for colour, words in COLOURS.items() for word in words.split(", ")}
-CATEGORY_WORDS = {word: category for group in CATEGORIES.values() for category, words in group.items() for word in words.split(", ")}
+COLOUR_WORDS = {word: colour for colour, words in COLOURS.items() for word in words}
+CATEGORY_WORDS = {word: category for group in CATEGORIES.values() for category, words in group.items() for word in words}
 FAMILIES = {category: family for family, group in CATEGORIES.items() for category in group if category != family}
 
 

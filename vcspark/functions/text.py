@@ -125,3 +125,22 @@ def ordered_distinct(items: Column, limit: int) -> Column:
     lowered = F.transform(items, lambda x: F.lower(x))
     first = F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
     return F.slice(first, 1, limit)
+
+
+def timestamp(seconds: Column | str) -> Column:
+    """Seconds as m:ss, from an hour on as h:mm:ss; negatives are 0."""
+    s = F.greatest(F.lit(0), F.floor(seconds))
+    hours, minutes = F.floor(s / 3600).cast("int"), F.floor((s % 3600) / 60).cast("int")
+    short = F.format_string("%d:%02d", minutes, (s % 60).cast("int"))
+    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, (s % 60).cast("int"))).otherwise(short)
+
+
+def section_price(x: Column | str) -> Column:
+    """The first number of a result section's price: dots before three digits are thousands, a comma is the decimal sign."""
+    number = F.regexp_extract(x, r"([\d.,]+)", 1)
+    return F.regexp_replace(F.regexp_replace(number, r"\.(?=\d{3})", ""), "^([^,]*),", "$1.").try_cast("double")
+
+
+def section_currency(x: Column | str) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.contains(x, F.lit("€")), "EUR").when(F.contains(x, F.lit("$")), "USD")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from vcspark.sources.shared import save_shared
 # Levels from strong to weak, largest hash distance, least vector similarity.
 LEVELS = ["source_product_id", "canonical_url", "exact_image_hash", "sku_gtin", "perceptual_hash", "embedding", "brand_title_color"]
 HASH_DISTANCE, VECTOR_SIMILARITY = 6, 0.96
+VECTOR_BLOCK = 4096
 
 
 def near_hash_pairs(left: DataFrame, right: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
@@ -51,6 +55,57 @@ def near_hash_groups(rows: DataFrame, distance: int = HASH_DISTANCE) -> DataFram
     return members.select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(0).alias("distance")).unionByName(pairs)
 
 
+def near_vector_pairs(left: DataFrame, right: DataFrame, least: float = VECTOR_SIMILARITY) -> DataFrame:
+    """(left_id, right_id, similarity) of vectors (id, v) of one length whose cosine is at least ``least``, exactly.
+
+    Two unit vectors that close differ in their angle to any third by no more than the
+    angle of ``least``; so vectors are dealt by the angle to two fixed directions, in
+    steps of that angle, and meet only those of the same and the neighbouring steps.
+    Those of one step meet in blocks of about ``VECTOR_BLOCK``: a task multiplies two
+    blocks and returns the pairs found. Null and zero vectors have none.
+    """
+    step = float(np.arccos(least))
+
+    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for dim, group in part.groupby("dim"):
+                v = np.array(group.v.tolist(), dtype=float).reshape(len(group), dim)
+                length = np.sqrt((v * v).sum(axis=1))
+                good = np.isfinite(length) & (length > 0)
+                v = v[good] / length[good, None]
+                axes = np.stack([np.ones(dim), np.where(np.arange(dim) % 2, -1.0, 1.0)]) / np.sqrt(dim)
+                steps = np.floor(np.arccos(np.clip(v @ axes.T, -1, 1)) / step).astype(int)
+                yield pd.DataFrame({"id": group.id[good], "dim": dim, "v": list(v), "s0": steps[:, 0], "s1": steps[:, 1]})
+
+    def side(t: DataFrame) -> DataFrame:
+        rows = t.where("v is not null and size(v) > 0 and not exists(v, x -> x is null)").select("id", F.size("v").alias("dim"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+        rows = rows.mapInPandas(placed, "id long, dim int, v array<double>, s0 int, s1 int")
+        return save_shared(rows, "vector-steps")
+
+    def blocks(t: DataFrame, n: str) -> DataFrame:
+        return t.groupBy("dim", "s0", "s1").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias(n))
+
+    a, b = side(left), side(right)
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    # the right side's rows go to the steps around their own, if the left side has such a step
+    b = b.withColumn("d0", near).withColumn("d1", near).withColumn("s0", F.col("s0") + F.col("d0")).withColumn("s1", F.col("s1") + F.col("d1")).drop("d0", "d1")
+    sizes = save_shared(blocks(a, "na").join(blocks(b, "nb"), ["dim", "s0", "s1"]), "vector-blocks")
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["dim", "s0", "s1", "ba", "bb"]
+    a = a.join(sizes, ["dim", "s0", "s1"]).withColumn("ba", number("na")).withColumn("bb", every("nb")).select(*keys, "id", "v")
+    b = b.join(sizes, ["dim", "s0", "s1"]).withColumn("bb", number("nb")).withColumn("ba", every("na")).select(*keys, "id", "v")
+
+    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
+        cosine = np.stack(x.v.to_numpy()) @ np.stack(y.v.to_numpy()).T
+        i, j = np.nonzero(cosine >= least)
+        return pd.DataFrame({"left_id": x.id.to_numpy()[i], "right_id": y.id.to_numpy()[j], "similarity": cosine[i, j]})
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(multiply, "left_id long, right_id long, similarity double")
+
+
 def _different_product() -> Column:
     """Same source but another product id and no common sku or gtin: the shop says they differ."""
     col = F.col
@@ -62,9 +117,9 @@ def find_duplicates(candidates: DataFrame, catalogue: DataFrame, exact_only: boo
     """(candidate_id, product_id, level): the strongest level at which each candidate has a product.
 
     Both have id, source, source_product_id, canonical_url, image_sha256, sku, gtin,
-    brand, title, color, perceptual_hash. Each level is an equi-join (hash distance by
-    blocks); of equal levels the smallest product id counts, and candidates without a
-    product don't appear. Null keys match nothing.
+    brand, title, color, perceptual_hash, and may have embedding. Each level is an
+    equi-join (hash distance and cosine by blocks); of equal levels the smallest product
+    id counts, and candidates without a product don't appear. Null keys match nothing.
     """
     col = F.col
     c, p = (t.select(*[col(x).alias(f"{s}_{x}") for x in t.columns], identity_key("brand", "title", "color").alias(f"{s}_key")) for s, t in (("c", candidates), ("p", catalogue)))
@@ -79,6 +134,10 @@ def find_duplicates(candidates: DataFrame, catalogue: DataFrame, exact_only: boo
         near = near_hash_pairs(candidates.select("id", col("perceptual_hash").alias("hash")), catalogue.select("id", col("perceptual_hash").alias("hash")))
         pairs = near.join(c, col("left_id") == col("c_id")).join(p, col("right_id") == col("p_id")).where(~_different_product())
         found.append(pairs.select(col("c_id").alias("candidate_id"), col("p_id").alias("product_id"), F.lit(4).alias("n")))
+        if "embedding" in candidates.columns and "embedding" in catalogue.columns:
+            alike = near_vector_pairs(candidates.select("id", col("embedding").alias("v")), catalogue.select("id", col("embedding").alias("v")))
+            pairs = alike.join(c.drop("c_embedding"), col("left_id") == col("c_id")).join(p.drop("p_embedding"), col("right_id") == col("p_id")).where(~_different_product())
+            found.append(pairs.select(col("c_id").alias("candidate_id"), col("p_id").alias("product_id"), F.lit(5).alias("n")))
         found.append(level(6, "key", guard=True))
     every = reduce(DataFrame.unionByName, found)
     best = every.groupBy("candidate_id").agg(F.min(F.struct("n", "product_id")).alias("b"))

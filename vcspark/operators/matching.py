@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vcspark.functions.hashing import hamming
-from vcspark.functions.taxonomy import canonical_brand, canonical_colour, categories_match
-from vcspark.functions.text import norm_strict, tokens
+from vcspark.functions.taxonomy import canonical_brand, canonical_category, canonical_colour, categories_match, category_family, gender_conflict
+from vcspark.functions.text import norm_strict, text_overlap, tokens
 from vcspark.functions.vectors import cosine_raw
 
 # Weights of picture, text and attributes, by what the query has; defaults of the result.
@@ -76,6 +76,56 @@ def rank_matches(scored: DataFrame, query: str, item: str, k: int = TOP_K, least
     return scored.where(F.col("final_score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(k, MOST_K))
 
 
+def match_products(queries: DataFrame, products: DataFrame, k: int = TOP_K, least: float = MIN_IMAGE_SCORE, digits: int = 4) -> DataFrame:
+    """(query_id, product_id, visual_score, text_score, attribute_score, stage, final_score, image_quality, rank): the full product match.
+
+    ``queries``: query_id, image_sha256, perceptual_hash, embedding, query_text,
+    text_embedding, category, brand, color, type, gender, material, pattern,
+    require_image (null: a query with a picture wants products with one).
+    ``products``: product_id, is_active, images (url, sha256, width, height),
+    primary_image, perceptual_hash, embedding, text_embedding, brand, title, category,
+    subcategory, style, color, secondary_colors, gender, material, pattern.
+
+    Category and brand filter as well as score; gender filters where both state it. A
+    query's picture compares by equal file, near hash or vector, and products that
+    can't be compared drop out. Queries are counted and taken in blocks of
+    ``BLOCK_QUERIES``, each broadcast to the products, which stay where they are read.
+    """
+    col = F.col
+    said = lambda x: F.coalesce(x, F.lit("")) != ""
+    q = queries.select(*[col(c).alias(f"q_{c}") for c in queries.columns])
+    has_image = said(col("q_image_sha256")) | said(col("q_perceptual_hash")) | col("q_embedding").isNotNull()
+    q = q.withColumn("has_image", has_image).withColumn("has_text", said(F.trim("q_query_text")))
+    q = q.withColumn("cat", canonical_category("q_category")).withColumn("fam", category_family(canonical_category("q_category"))).withColumn("canon", canonical_brand("q_brand"))
+    some = F.exists("images", lambda i: F.coalesce(i["url"], F.lit("")) != "")
+    p = products.where("is_active").withColumn("shown", said(col("primary_image")) | F.coalesce(some, F.lit(False)))
+    p = p.withColumn("p_cat", canonical_category("category")).withColumn("p_fam", category_family(canonical_category("category"))).withColumn("p_canon", canonical_brand("brand"))
+    free = col("cat").isNull() | col("p_cat").isNull() | (col("cat") == "all") | (col("p_cat") == "all")
+    fits = free | (col("cat") == col("p_cat")) | col("p_fam").eqNullSafe(col("cat")) | col("fam").eqNullSafe(col("p_cat"))
+    fits = fits & (col("canon").isNull() | (col("canon") == col("p_canon"))) & (~F.coalesce("q_require_image", "has_image") | col("shown"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    part = F.pmod(F.xxhash64("q_query_id"), F.lit(blocks))
+
+    def block(number: int) -> DataFrame:
+        pairs = p.join(F.broadcast(q.where(part == number) if blocks > 1 else q), fits).where(~gender_conflict("gender", "q_gender"))
+        alike = F.when(F.size("embedding") == F.size("q_embedding"), cosine_raw("embedding", "q_embedding"))
+        visual = visual_score(col("q_image_sha256"), F.transform("images", lambda i: i["sha256"]), col("q_perceptual_hash"), col("perceptual_hash"), alike)
+        pairs = pairs.withColumn("visual", F.when(col("has_image"), visual)).where(~col("has_image") | col("visual").isNotNull())
+        meaning = F.when(F.size("text_embedding") == F.size("q_text_embedding"), F.greatest(F.lit(0.0), cosine_raw("text_embedding", "q_text_embedding")))
+        overlap = text_overlap("q_query_text", "brand", "title", "category", "color")
+        text = F.when(col("has_text"), F.greatest(overlap, F.coalesce(meaning, F.lit(0.0)))).otherwise(0.0)
+        asked = {c: col(f"q_{c}") for c in ("category", "brand", "color", "type", "material", "pattern")}
+        had = {c: col(c) for c in ("category", "brand", "color", "secondary_colors", "subcategory", "style", "title", "material", "pattern")}
+        attribute = attribute_score(attribute_checks(had, asked))
+        pairs = pairs.select(col("q_query_id").alias("query_id"), "product_id", F.coalesce(col("visual.score"), F.lit(0.0)).alias("v"), text.alias("t"), attribute.alias("a"), col("visual.stage").alias("stage"), "has_image", "has_text", image_quality(col("images")).alias("image_quality"))
+        rounded = lambda x, n: F.round(x, digits).alias(n)
+        final = combine_scores(col("v"), col("t"), col("a"), col("has_image"), col("has_text"))
+        scored = pairs.select("query_id", "product_id", rounded("v", "visual_score"), rounded("t", "text_score"), rounded("a", "attribute_score"), "stage", rounded(final, "final_score"), rounded("image_quality", "image_quality"))
+        return rank_matches(scored, "query_id", "product_id", k, least)
+
+    return reduce(DataFrame.unionByName, [block(n) for n in range(blocks)])
+
+
 def match_vectors(queries: DataFrame, products: DataFrame, k: int = TOP_K, least: float = MIN_IMAGE_SCORE, digits: int = 4) -> DataFrame:
     """(query_id, product_id, visual_score, final_score, rank) by picture vectors within compatible categories.
 

@@ -53,9 +53,10 @@ def index_percentiles(rows: DataFrame, keys: list[str], value: str, tie: str, pa
 def longest_prefix_rate(rows: DataFrame, name: str, rates: DataFrame) -> DataFrame:
     """``rows`` with the rate of the longest prefix (prefix, rate) of ``name``; those without one go.
 
-    Prefixes are joined by equality on each of their lengths: no row meets all rates.
+    Rates (a price list, some hundreds at most) become one map, in one broadcast row;
+    a name looks up its prefixes in it, longest first. Rows neither move nor collapse.
     """
-    lengths = sorted(r[0] for r in rates.select(F.length("prefix")).distinct().collect())  # a handful: lengths of names
-    cut = rows.withColumn("__l", F.explode(F.array(*map(F.lit, lengths)))).where(F.length(name) >= F.col("__l")).withColumn("prefix", F.substring(F.col(name), F.lit(1), F.col("__l")))
-    met = cut.join(rates, "prefix")
-    return met.groupBy(*rows.columns).agg(F.max_by("rate", "__l").alias("rate"))
+    table = rates.agg(F.map_from_entries(F.collect_list(F.struct("prefix", "rate"))).alias("__rates"))
+    lengths = F.sequence(F.length(name), F.least(F.length(name), F.lit(1)), F.lit(-1))
+    found = F.filter(F.transform(lengths, lambda n: F.try_element_at("__rates", F.substring(F.col(name), F.lit(1), n))), lambda r: r.isNotNull())
+    return rows.join(F.broadcast(table)).withColumn("rate", F.get(found, F.lit(0))).drop("__rates").where("rate is not null")

@@ -34,7 +34,7 @@ def _products(spark: SparkSession, d: str) -> DataFrame:
 
 _MATCH = """
 WITH p AS (SELECT p_partkey, p_type, embedding AS v, label FROM part JOIN embeddings ON vec_id = p_partkey),
-q AS (SELECT p_partkey AS query_id, p_type AS qc, v AS qv FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY p_partkey) = 1),
+q AS (SELECT p_partkey AS query_id, p_type AS qc, v AS qv FROM p WHERE p_partkey % 50 = 0),
 s AS (
   SELECT query_id, p_partkey AS product_id,
     greatest(0, list_sum(list_transform(list_zip(qv, v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
@@ -48,16 +48,12 @@ FROM f WHERE final_score >= 0.2 QUALIFY rank <= {k}
 
 
 def _match(spark: SparkSession, d: str, k: int, filtered: bool) -> DataFrame:
+    """Every product whose id is divisible by 50 as a query, in blocks, against all products."""
     products = _products(spark, d)
-    first = Window.partitionBy("label").orderBy("p_partkey")
-    queries = products.withColumn("n", F.row_number().over(first)).where("n = 1")
     kind = F.col("p_type") if filtered else F.lit(None).cast("string")
-    return matching.match_vectors(
-        queries.select(F.col("p_partkey").alias("query_id"), F.col("embedding").alias("vector"), kind.alias("category")),
-        products.select(F.col("p_partkey").alias("product_id"), F.col("embedding").alias("vector"), kind.alias("category")),
-        k=k,
-        least=0.2,
-    )
+    asked = products.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("embedding").alias("vector"), kind.alias("category"))
+    searched = products.select(F.col("p_partkey").alias("product_id"), F.col("embedding").alias("vector"), kind.alias("category"))
+    return matching.match_vectors_in_blocks(asked, searched, k=k, least=0.2)
 
 
 @query(_MATCH.format(on="true", k=10))
@@ -70,25 +66,6 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _match(spark, d, 5, True)
 
 
-def _match_all(spark: SparkSession, d: str, k: int, filtered: bool) -> DataFrame:
-    """Every product whose id is divisible by 50 as a query, in blocks, against all products."""
-    products = _products(spark, d)
-    kind = F.col("p_type") if filtered else F.lit(None).cast("string")
-    asked = products.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("embedding").alias("vector"), kind.alias("category"))
-    searched = products.select(F.col("p_partkey").alias("product_id"), F.col("embedding").alias("vector"), kind.alias("category"))
-    return matching.match_vectors_in_blocks(asked, searched, k=k, least=0.2)
-
-
-@query()
-def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
-    return _match_all(spark, d, 10, False)
-
-
-@query()
-def vector_topk_filtered_all(spark: SparkSession, d: str) -> DataFrame:
-    return _match_all(spark, d, 5, True)
-
-
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 42")
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where("p_partkey = 42").select("p_partkey", "p_name", "p_brand")
@@ -212,15 +189,16 @@ def page_title_meta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT l_orderkey * 8 + l_linenumber AS id, md5(l_shipdate::DATE::VARCHAR) AS m, l_returnflag FROM lineitem),
-k AS (SELECT id, min(substr(m, 1, 13) || '00' || CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '3' ELSE '7' END) AS hash FROM h WHERE id % 97 = 0 GROUP BY id),
-n AS (SELECT id, hash, ('0x' || substr(hash, 1, 8))::BIGINT AS a, ('0x' || substr(hash, 9, 8))::BIGINT AS b FROM k)
-SELECT x.id AS left_id, y.id AS right_id, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INTEGER AS distance
-FROM n x JOIN n y ON x.id < y.id AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6
+k AS (SELECT id, min(substr(m, 1, 13) || '00' || CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '3' ELSE '7' END) AS hash FROM h GROUP BY id),
+c AS (SELECT hash, min(id) AS rep, ('0x' || substr(hash, 1, 8))::BIGINT AS a, ('0x' || substr(hash, 9, 8))::BIGINT AS b FROM k GROUP BY hash)
+SELECT rep AS left_id, id AS right_id, 0 AS distance FROM k JOIN c USING (hash) WHERE id <> rep
+UNION ALL SELECT x.rep, y.rep, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INTEGER
+FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6
 """)
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Near pairs among perceptual-like hashes of every 97th sighting, as its SQL has it; ``hamming_groups`` takes all."""
-    hashes = _sighting_hashes(spark, d).where("id % 97 = 0").groupBy("id").agg(F.min("hash").alias("hash"))
-    return dedup.near_hash_pairs(hashes, hashes).where("left_id < right_id")
+    """Near pairs among the hashes of all sightings: membership of classes, and pairs of their representatives."""
+    hashes = _sighting_hashes(spark, d).groupBy("id").agg(F.min("hash").alias("hash"))
+    return dedup.near_hash_groups(save_shared(hashes, "sighting-hashes"))
 
 
 def _sighting_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -230,13 +208,6 @@ def _sighting_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat(F.substring(digest, 1, 13), F.lit("00"), end).alias("hash"))
 
 
-@query()
-def hamming_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Near pairs among the hashes of all sightings: membership of classes, and pairs of their representatives."""
-    hashes = _sighting_hashes(spark, d).groupBy("id").agg(F.min("hash").alias("hash"))
-    return dedup.near_hash_groups(save_shared(hashes, "sighting-hashes"))
-
-
 @query(
     """
 SELECT h AS text_hash, min(doc_id) AS keep_id, count(*) AS copies FROM (SELECT doc_id, sha256(text) AS h FROM documents) GROUP BY h HAVING count(*) > 1
@@ -253,47 +224,82 @@ def identity_key_dedup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", key.alias("identity")).groupBy("identity").agg(F.min("p_partkey").alias("keep_id"), F.count("*").alias("n"))
 
 
-_LADDER = ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]
-
-
 @query(
     """
-WITH p AS (SELECT p_partkey AS id, 's' || p_partkey % 3 AS source, p_partkey // 3 AS spid, 'http://x/' || p_partkey // 2 AS url, md5(p_name || p_size) AS sha, 'k' || p_retailprice AS sku, p_brand, p_name FROM part),
+WITH p AS (SELECT p_partkey AS id, 's' || p_partkey % 3 AS source, p_partkey // 3 AS spid, 'http://x/' || p_partkey // 2 AS url, md5(p_name || p_size) AS sha, 'k' || p_retailprice AS sku, p_brand, p_name,
+    md5(p_brand) AS h, ('0x' || substr(md5(p_brand), 1, 8))::BIGINT AS h1, ('0x' || substr(md5(p_brand), 9, 7) || (p_size % 8))::BIGINT AS h2, embedding AS e FROM part LEFT JOIN embeddings ON vec_id = p_partkey),
 c AS (SELECT * FROM p WHERE id % 5 = 1), b AS (SELECT * FROM p WHERE id % 5 <> 1),
+g AS (SELECT c.id AS ci, b.id AS bi, c.h1 AS ch1, c.h2 AS ch2, b.h1 AS bh1, b.h2 AS bh2, c.e AS ce, b.e AS be, c.p_brand = b.p_brand AND c.p_name = b.p_name AS same FROM c JOIN b ON NOT (c.source = b.source AND c.spid <> b.spid AND c.sku <> b.sku)),
 m AS (
   SELECT c.id AS candidate_id, b.id AS product_id, 0 AS n FROM c JOIN b ON c.source = b.source AND c.spid = b.spid
   UNION ALL SELECT c.id, b.id, 1 FROM c JOIN b ON c.url = b.url UNION ALL SELECT c.id, b.id, 2 FROM c JOIN b ON c.sha = b.sha
   UNION ALL SELECT c.id, b.id, 3 FROM c JOIN b ON c.sku = b.sku
-  UNION ALL SELECT c.id, b.id, 6 FROM c JOIN b ON c.p_brand = b.p_brand AND c.p_name = b.p_name AND NOT (c.source = b.source AND c.spid <> b.spid AND c.sku <> b.sku)
+  UNION ALL SELECT ci, bi, 4 FROM g WHERE bit_count(xor(ch1, bh1)) + bit_count(xor(ch2, bh2)) <= 6 AND ci % 4 = 0 AND bi % 4 = 0
+  UNION ALL SELECT ci, bi, 5 FROM g WHERE ce IS NOT NULL AND be IS NOT NULL AND list_sum(list_transform(list_zip(ce, be), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
+      / (sqrt(list_sum(list_transform(ce, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(be, lambda x: x::DOUBLE * x::DOUBLE)))) >= 0.96
+  UNION ALL SELECT ci, bi, 6 FROM g WHERE same
 )
 SELECT candidate_id, arg_min(product_id, n * 1000000000::BIGINT + product_id) AS product_id,
   ['source_product_id', 'canonical_url', 'exact_image_hash', 'sku_gtin', 'perceptual_hash', 'embedding', 'brand_title_color'][min(n) + 1] AS level FROM m GROUP BY candidate_id
 """
 )
 def dedup_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """All levels: a quarter of the products has a perceptual hash, those with a vector of their number have an embedding."""
     k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    near = F.concat(F.substring(F.md5("p_brand"), 1, 15), (F.col("p_size") % 8).cast("string"))
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     products = table(spark, d, "part").select(
         k.alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.floor(k / 3).cast("string").alias("source_product_id"), F.concat(F.lit("http://x/"), F.floor(k / 2).cast("string")).alias("canonical_url"),
-        F.md5(F.concat("p_name", F.col("p_size").cast("string"))).alias("image_sha256"), F.concat(F.lit("k"), F.col("p_retailprice").cast("string")).alias("sku"), none.alias("gtin"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), none.alias("color"), none.alias("perceptual_hash"),
-    )
+        F.md5(F.concat("p_name", F.col("p_size").cast("string"))).alias("image_sha256"), F.concat(F.lit("k"), F.col("p_retailprice").cast("string")).alias("sku"), none.alias("gtin"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), none.alias("color"), F.when(k % 4 == 0, near).alias("perceptual_hash"),
+    ).join(vec, "id", "left")
     return dedup.find_duplicates(products.where("id % 5 = 1"), products.where("id % 5 <> 1"))
 
 
+_COS = "list_sum(list_transform(list_zip(qv, v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(qv, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))))"
+
+
 @query(
     f"""
-WITH q AS (SELECT item_id, list_distinct(list_filter(string_split({_strict("text")}, ' '), lambda t: t <> '')) AS qt FROM benchmark),
-p AS (SELECT doc_id, list_distinct(list_filter(string_split({_strict("text")}, ' '), lambda t: t <> '')) AS pt FROM documents WHERE source = 'src1'),
-s AS (SELECT item_id, doc_id, round(len(list_intersect(qt, pt)) / len(qt), 4) AS overlap FROM q, p WHERE len(list_intersect(qt, pt)) > 0)
-SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 3
+WITH p AS (SELECT p_partkey AS id, p_name, p_brand, lower(p_type) AS kind, p_size, md5(p_name || p_size) AS sha, ('0x' || substr(md5(p_name), 1, 8))::BIGINT AS h1, ('0x' || substr(md5(p_name), 9, 7) || (p_size % 8))::BIGINT AS h2, embedding AS v,
+    CASE p_size % 3 WHEN 0 THEN 'women' WHEN 1 THEN 'men' END AS sex FROM part JOIN embeddings ON vec_id = p_partkey),
+q AS (SELECT id AS query_id, sha AS qsha, h1 AS q1, h2 AS q2, v AS qv, CASE WHEN id % 3 > 0 THEN p_name END AS words, CASE WHEN id % 4 > 0 THEN kind END AS qkind, CASE WHEN id % 350 = 0 THEN p_brand END AS qbrand, sex AS qsex, split_part(p_name, ' ', 2) AS qtype FROM p WHERE id % 50 = 0),
+g AS (SELECT * FROM p JOIN q ON (qkind IS NULL OR kind = qkind) AND (qbrand IS NULL OR p_brand = qbrand) AND p_size % 7 > 0 AND NOT coalesce(sex <> qsex, false)),
+s AS (SELECT query_id, id AS product_id, CASE WHEN sha = qsha THEN 1.0 WHEN bit_count(xor(h1, q1)) + bit_count(xor(h2, q2)) <= 6 THEN 1 - (bit_count(xor(h1, q1)) + bit_count(xor(h2, q2))) / 64 ELSE greatest(0, {_COS}) END::DOUBLE AS vs,
+    CASE WHEN sha = qsha THEN 'exact_hash' WHEN bit_count(xor(h1, q1)) + bit_count(xor(h2, q2)) <= 6 THEN 'perceptual_hash' ELSE 'embedding' END AS stage, words IS NOT NULL AS has_text,
+    CASE WHEN words IS NULL THEN 0 ELSE len(list_filter(string_split(words, ' '), lambda t: list_contains(string_split(lower(replace(p_brand, '#', ' ')) || ' ' || p_name || ' ' || kind, ' '), t))) / len(string_split(words, ' ')) END AS ts,
+    ((qkind IS NOT NULL)::INT + (qbrand IS NOT NULL)::INT + contains(p_name, qtype)::INT) / ((qkind IS NOT NULL)::INT + (qbrand IS NOT NULL)::INT + 1) AS attr, greatest(0, least(1, (p_size * 20 - 200) / 600)) AS quality FROM g),
+f AS (SELECT query_id, product_id, round(vs, 4) AS visual_score, round(ts, 4) AS text_score, round(attr, 4) AS attribute_score, stage, round(CASE WHEN has_text THEN 0.6::DOUBLE * vs + 0.25::DOUBLE * ts + 0.15::DOUBLE * attr ELSE 0.85::DOUBLE * vs + 0.15::DOUBLE * attr END, 4) AS final_score, round(quality, 4) AS image_quality FROM s)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(final_score / 0.005) DESC, image_quality DESC, final_score DESC, product_id)::INTEGER AS rank FROM f WHERE final_score >= 0.35 QUALIFY rank <= 10
 """
 )
-def text_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The three documents of a shop that hold most of each query text's words; ``text_overlap_topk_all`` searches all shops."""
-    return _text_overlap(spark, d, table(spark, d, "documents").where("source = 'src1'"))
+def full_product_match(spark: SparkSession, d: str) -> DataFrame:
+    """The whole match: picture cascade, words, attributes, filters, quality and tie band; every product whose id is divisible by 50 is a query."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    near = F.concat(F.substring(F.md5("p_name"), 1, 15), (F.col("p_size") % 8).cast("string"))
+    sha, sex = F.md5(F.concat("p_name", F.col("p_size").cast("string"))), F.when(F.col("p_size") % 3 == 0, "women").when(F.col("p_size") % 3 == 1, "men")
+    picture = F.struct(F.when(F.col("p_size") % 7 > 0, F.concat(F.lit("http://i/"), k)).alias("url"), sha.alias("sha256"), (F.col("p_size") * 20).alias("width"), (F.col("p_size") * 30).alias("height"))
+    rows = _products(spark, d)
+    products = rows.select(
+        k.alias("product_id"), F.lit(True).alias("is_active"), F.array(picture).alias("images"), none.alias("primary_image"), near.alias("perceptual_hash"), "embedding", F.lit(None).cast("array<float>").alias("text_embedding"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"),
+        F.lower("p_type").alias("category"), none.alias("subcategory"), none.alias("style"), none.alias("color"), F.lit(None).cast("array<string>").alias("secondary_colors"), sex.alias("gender"), none.alias("material"), none.alias("pattern"),
+    )
+    queries = rows.where("p_partkey % 50 = 0").select(
+        k.alias("query_id"), sha.alias("image_sha256"), near.alias("perceptual_hash"), "embedding", F.when(k % 3 > 0, F.col("p_name")).alias("query_text"), F.lit(None).cast("array<float>").alias("text_embedding"), F.when(k % 4 > 0, F.lower("p_type")).alias("category"),
+        F.when(k % 350 == 0, F.col("p_brand")).alias("brand"), none.alias("color"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("type"), sex.alias("gender"), none.alias("material"), none.alias("pattern"), F.lit(None).cast("boolean").alias("require_image"),
+    )
+    return matching.match_products(queries, products, least=matching.MIN_TEXT_SCORE)
 
 
-@query()
-def text_overlap_topk_all(spark: SparkSession, d: str) -> DataFrame:
+@query(
+    f"""
+WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split({_strict("text")}, ' '), lambda t: t <> ''))) AS w FROM benchmark),
+n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+p AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split({_strict("text")}, ' '), lambda t: t <> ''))) AS w FROM documents),
+s AS (SELECT item_id, doc_id, round(count(*) / any_value(n), 4) AS overlap FROM q JOIN p USING (w) JOIN n USING (item_id) GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 3
+"""
+)
+def text_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
     return _text_overlap(spark, d, table(spark, d, "documents"))
 
 
@@ -482,27 +488,15 @@ def html_layers(spark: SparkSession, d: str) -> DataFrame:
     return page_layers(table(spark, d, "pages"))
 
 
-@query(
-    """
-WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id < 500)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
-  / (sqrt(list_sum(list_transform(a.e, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.e, lambda x: x::DOUBLE * x::DOUBLE)))), 4) AS cosine
-FROM v a JOIN v b ON a.label = b.label AND a.vec_id + 10 = b.vec_id
-"""
-)
+@query("""
+WITH v AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+s AS (SELECT x.vec_id AS left_id, y.vec_id AS right_id, list_sum(list_transform(list_zip(x.e, y.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (x.n * y.n) AS c FROM v x JOIN v y ON x.vec_id < y.vec_id)
+SELECT left_id, right_id, round(c, 4) AS cosine FROM s WHERE c >= 0.7
+""")
 def cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _cosine_neighbours(table(spark, d, "embeddings").where("vec_id < 500"))
-
-
-@query()
-def cosine_neighbours_all(spark: SparkSession, d: str) -> DataFrame:
-    return _cosine_neighbours(table(spark, d, "embeddings"))
-
-
-def _cosine_neighbours(v: DataFrame) -> DataFrame:
-    """Cosine of each vector and the one ten ids on, if both have one label."""
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("ea")), v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("eb"), (F.col("vec_id") - 10).alias("a"))
-    return a.join(b, ["a", "label"]).select("a", "b", F.round(vectors.cosine_raw("ea", "eb"), 4).alias("cosine"))
+    """All pairs of vectors whose cosine is at least 0.7."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return dedup.near_vector_pairs(v, v, 0.7).where("left_id < right_id").select("left_id", "right_id", F.round("similarity", 4).alias("cosine"))
 
 
 @query("SELECT doc_id, bit_count(xor(('0x' || substr(md5(text), 1, 8))::BIGINT, ('0x' || substr(sha256(text), 1, 8))::BIGINT))::INTEGER + bit_count(xor(('0x' || substr(md5(text), 9, 8))::BIGINT, ('0x' || substr(sha256(text), 9, 8))::BIGINT))::INTEGER AS distance FROM documents")

@@ -36,7 +36,7 @@ def time_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SCENES = """
-WITH s AS (SELECT user_id AS job_id, event_id % 500 / 10.0 AS start_seconds, event_id % 500 / 10.0 + value / 100 AS end_seconds, CASE WHEN event_type = 'error' THEN 0 ELSE 2 END AS frames FROM events WHERE event_id % 3 = 0),
+WITH s AS (SELECT user_id AS job_id, event_id % 500 / 10.0 AS start_seconds, event_id % 500 / 10.0 + value / 100 AS end_seconds, CASE WHEN event_type = 'error' THEN 0 ELSE 2 END AS frames FROM events),
 ms AS (SELECT job_id, floor(start_seconds * 1000 + 0.5)::BIGINT AS s, floor(end_seconds * 1000 + 0.5)::BIGINT AS e, start_seconds AS o, frames FROM s),
 w AS (SELECT *, lag(e) OVER k AS before, lead(s) OVER k IS NULL AS last FROM ms WINDOW k AS (PARTITION BY job_id ORDER BY o, e)),
 u AS (SELECT DISTINCT user_id AS job_id FROM events),
@@ -53,7 +53,7 @@ r AS (
 def _scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, d, "events")
     start = F.col("event_id") % 500 / 10.0
-    scenes = events.where("event_id % 3 = 0").select(F.col("user_id").alias("job_id"), start.alias("start_seconds"), (start + F.col("value") / 100).alias("end_seconds"), F.when(F.col("event_type") == "error", 0).otherwise(2).alias("analyzed_frame_count"))
+    scenes = events.select(F.col("user_id").alias("job_id"), start.alias("start_seconds"), (start + F.col("value") / 100).alias("end_seconds"), F.when(F.col("event_type") == "error", 0).otherwise(2).alias("analyzed_frame_count"))
     return scenes, events.select(F.col("user_id").alias("job_id")).distinct().withColumn("duration_ms", F.lit(60000).cast("long"))
 
 
@@ -123,7 +123,7 @@ def tracker_assign(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nms_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return tracking.suppress_boxes(_boxes(spark, d), ["job_id"]).select("job_id", "detection_id")
+    return tracking.suppress_boxes(_boxes(spark, d), ["job_id", "at"]).select("job_id", "detection_id")
 
 
 @query()
@@ -178,20 +178,20 @@ def product_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-WITH j AS (SELECT DISTINCT user_id AS job_id, 40000 AS duration_ms FROM events), s AS (SELECT user_id AS job_id, event_id % 500 / 10.0 AS st, event_id % 500 / 10.0 + value / 100 - 0.1 AS en FROM events WHERE event_id % 30 = 0),
+WITH j AS (SELECT DISTINCT user_id AS job_id, 40000 AS duration_ms FROM events), s AS (SELECT user_id AS job_id, event_id % 500 / 10.0 AS st, event_id % 500 / 10.0 + value / 100 - 0.1 AS en FROM events),
 w AS (SELECT *, max(en) OVER (PARTITION BY job_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
 SELECT job_id, 'scene_reversed' AS rule, count(*) AS n FROM w WHERE en < st GROUP BY job_id
 UNION ALL SELECT job_id, 'scene_overlap', count(*) FROM w WHERE before > st GROUP BY job_id
 UNION ALL SELECT job_id, 'scene_beyond_video', count(*) FROM w WHERE en * 1000 > 40001 GROUP BY job_id
-UNION ALL SELECT user_id, 'product_outside_video', count(*) FROM events WHERE event_id % 30 = 1 AND value * 1000 > 40001 GROUP BY user_id
-UNION ALL SELECT user_id, 'product_without_tracks', count(*) FROM events WHERE event_id % 30 = 1 AND event_type = 'error' GROUP BY user_id
+UNION ALL SELECT user_id, 'product_outside_video', count(*) FROM events WHERE value * 1000 > 40001 GROUP BY user_id
+UNION ALL SELECT user_id, 'product_without_tracks', count(*) FROM events WHERE event_type = 'error' GROUP BY user_id
 """
 )
 def integrity_rules(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").withColumnRenamed("user_id", "job_id")
     start = F.col("event_id") % 500 / 10.0
-    scenes = events.where("event_id % 30 = 0").select("job_id", start.alias("start_seconds"), (start + F.col("value") / 100 - 0.1).alias("end_seconds"))
-    products = events.where("event_id % 30 = 1").select("job_id", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("track_count"), F.lit(0.0).alias("first_seen"), F.col("value").alias("last_seen"))
+    scenes = events.select("job_id", start.alias("start_seconds"), (start + F.col("value") / 100 - 0.1).alias("end_seconds"))
+    products = events.select("job_id", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("track_count"), F.lit(0.0).alias("first_seen"), F.col("value").alias("last_seen"))
     return timeline.integrity_report(events.select("job_id", F.lit(40000).alias("duration_ms")).distinct(), scenes, products)
 
 

@@ -25,6 +25,7 @@ class Sampling:
     most: int = 8
     distance: int = 6
     interval: float = 1.0
+    hashed: bool = True
 
 
 def _bits(a: str | None, b: str | None) -> int:
@@ -33,17 +34,21 @@ def _bits(a: str | None, b: str | None) -> int:
     return (int(a, 16) ^ int(b, 16)).bit_count()
 
 
-def step(state: dict[str, Any], at: float, picture: str | None, scene_changed: bool, rules: Sampling) -> tuple[bool, str]:
-    """Decide one frame and move the state on."""
+def step(state: dict[str, Any], at: float, picture: str | None, scene_changed: bool, rules: Sampling, local_change: bool = False) -> tuple[bool, str]:
+    """Decide one frame by the first rule that applies, and move the state on."""
     count = 0 if scene_changed or not state else state["in_scene"]
     near = bool(state) and state["kept_hash"] is not None and picture is not None and _bits(picture, state["kept_hash"]) <= rules.distance
     since = None if not state or state["kept_at"] is None else at - state["kept_at"]
-    if scene_changed or not state:
+    if not rules.hashed:
+        keep, reason = True, "kept:hash_disabled"
+    elif scene_changed or not state:
         keep, reason = True, "kept:scene_first"
     elif count >= rules.most:
         keep, reason = False, "discarded:max_frames_cap"
     elif not near:
         keep, reason = True, "kept:visual_change"
+    elif local_change:
+        keep, reason = True, "kept:local_change"
     elif count < rules.least:
         keep, reason = True, "kept:min_frames_quota"
     elif since is not None and since >= rules.interval:
@@ -62,14 +67,17 @@ def _decide(job: str, rows: pd.DataFrame, state: dict[str, Any], rules: Sampling
             state["late"] += 1
             out.append((job, row.frame_id, row.at, False, "discarded:late"))
         else:
-            out.append((job, row.frame_id, row.at, *step(state, row.at, row.hash, bool(row.scene_changed), rules)))
+            out.append((job, row.frame_id, row.at, *step(state, row.at, row.hash, bool(row.scene_changed), rules, bool(getattr(row, "local_change", False)))))
     return pd.DataFrame(out, columns=["job_id", "frame_id", "at", "keep", "reason"])
 
 
 def sample_frames(frames: DataFrame, rules: Sampling | None = None) -> DataFrame:
     """Decisions for a batch of frames (job_id, frame_id, at, hash, scene_changed), each job's in order of time, then id.
 
-    A frame not after the last one of its job is late: dropped and reported.
+    A column local_change, if there is one, says that the picture inside an active box
+    changed since the last frame (``functions.hashing.hamming`` of the box's hashes). A
+    frame not after the last one of its job is late: dropped and reported. A job is a
+    video, some thousands of frames.
     """
     rules = rules or Sampling()
     return frames.groupBy("job_id").applyInPandas(lambda key, rows: _decide(key[0], rows, {}, rules), OUTPUT)
