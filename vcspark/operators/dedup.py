@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vcspark.functions.hashing import bands, hamming
+from vcspark.functions.hashing import bands, hex_half
 from vcspark.functions.taxonomy import identity_key
 from vcspark.operators.skew import salted_join
 from vcspark.sources.shared import save_shared
@@ -27,10 +27,12 @@ def near_hash_pairs(left: DataFrame, right: DataFrame, distance: int = HASH_DIST
     Within that distance, one of distance + 1 blocks is equal, so blocks are joined
     and the candidates counted; each pair comes once, from its first common block.
     """
-    side = lambda t, n: t.where(F.length("hash") == 16).select(F.col("id").alias(f"{n}_id"), F.col("hash").alias(f"{n}_hash"), bands("hash", distance).alias(f"{n}_bands")).withColumn("band", F.explode(f"{n}_bands"))
-    met = side(left, "left").join(side(right, "right"), "band")
+    halves = lambda n: [hex_half("hash", i).alias(f"{n}_{i}") for i in (1, 9)]
+    side = lambda t, n: t.where(F.length("hash") == 16).select(F.col("id").alias(f"{n}_id"), *halves(n), bands("hash", distance).alias(f"{n}_bands")).withColumn("band", F.explode(f"{n}_bands"))
+    apart = F.bit_count(F.col("left_1").bitwiseXOR(F.col("right_1"))) + F.bit_count(F.col("left_9").bitwiseXOR(F.col("right_9")))
+    met = side(left, "left").join(side(right, "right"), "band").withColumn("distance", apart).where(F.col("distance") <= distance)
     first = F.get(F.filter(F.zip_with("left_bands", "right_bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()), F.lit(0))
-    return met.where(F.col("band") == first).withColumn("distance", hamming("left_hash", "right_hash")).where(F.col("distance") <= distance).select("left_id", "right_id", "distance")
+    return met.where(F.col("band") == first).select("left_id", "right_id", "distance")
 
 
 def hash_classes(rows: DataFrame) -> DataFrame:

@@ -239,10 +239,10 @@ def top_stores(spark: SparkSession, d: str) -> DataFrame:
     return det.top_per_group(best, ["query_id"], order, 4, "place").select("query_id", "store", "link", "place")
 
 
-@query(sql("SELECT query_id, pos, score, price, row_number() OVER (PARTITION BY query_id ORDER BY price DESC NULLS LAST, pos, product_id)::INTEGER AS place FROM candidates", "candidates"))
+@query(sql("SELECT query_id, pos, score, price, row_number() OVER (PARTITION BY query_id ORDER BY price DESC NULLS LAST, pos, product_id, score)::INTEGER AS place FROM candidates", "candidates"))
 def order_nulls_last(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "candidates").select("query_id", "pos", "score", "price", "product_id")
-    return det.top_per_group(rows, ["query_id"], [F.desc_nulls_last("price"), c("pos"), c("product_id")], 1 << 30, "place").drop("product_id")
+    return det.top_per_group(rows, ["query_id"], [F.desc_nulls_last("price"), c("pos"), c("product_id"), c("score")], 1 << 30, "place").drop("product_id")
 
 
 @query(
