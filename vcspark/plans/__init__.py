@@ -1,6 +1,6 @@
 """Named queries over the tables of a data directory, each with the SQL that says the same."""
 
-from vcspark.plans import catalogue, detections, media, reports, texts, video
+from vcspark.plans import catalogue, coercions, detections, media, reports, texts, video
 from vcspark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalogue", "detections", "media", "reports", "texts", "video"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogue", "coercions", "detections", "media", "reports", "texts", "video"]
