@@ -43,6 +43,14 @@ def padded(b: Column, part: float) -> Column:
     return clamped(box(b["x"] - b["width"] * part, b["y"] - b["height"] * part, b["width"] * (1 + 2 * part), b["height"] * (1 + 2 * part)))
 
 
+def fitted(b: Column, frame_width: int, frame_height: int, width: int, height: int, cover: Column) -> Column:
+    """A box of a frame in pixels of an element that shows it whole, or (``cover``) fills itself with it."""
+    across, down = width / frame_width, height / frame_height
+    scale = F.when(cover, max(across, down)).otherwise(min(across, down))
+    w, h = frame_width * scale, frame_height * scale
+    return box((width - w) / 2 + b["x"] * w, (height - h) / 2 + b["y"] * h, b["width"] * w, b["height"] * h)
+
+
 def searchable(b: Column, least_side: float, least_area: float) -> Column:
     return valid_box(b) & (F.least(b["width"], b["height"]) >= least_side) & (area(b) >= least_area)
 

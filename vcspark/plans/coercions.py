@@ -79,3 +79,65 @@ def best_crop_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     tracks = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     best = tracks.select("user_id", "event_type", coercion.best_by_hysteresis(c("e")).alias("b"))
     return best.select("user_id", "event_type", c("b.id").alias("event_id"), c("b.quality").alias("quality"))
+
+
+@query(
+    sql(
+        """SELECT query_id, pos, product_id, price, CASE WHEN score * 500 > price THEN score * 500 END AS original_price, upper(coalesce(currency, 'eur')) AS currency,
+  len(list_distinct(list_filter([store, brand, store], lambda x: x IS NOT NULL)))::INTEGER AS sizes FROM candidates""",
+        "candidates",
+    )
+)
+def extraction_projection(spark: SparkSession, d: str) -> DataFrame:
+    """A product's row from an extraction: a former price only if it is a discount, sizes trimmed and distinct."""
+    sizes = F.array_distinct(F.filter(F.transform(F.array("store", "brand", "store"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    return view(spark, d, "candidates").select(
+        "query_id", "pos", "product_id", "price", F.when(c("score") * 500 > c("price"), c("score") * 500).alias("original_price"), F.upper(F.coalesce("currency", F.lit("eur"))).alias("currency"),
+        F.size(sizes).alias("sizes"),
+    )
+
+
+@query(
+    sql(
+        """SELECT job_id, item_no, trim(name) AS name, coalesce(nullif(lower(trim(category)), ''), 'general') AS category, least(1, greatest(0, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) AS confidence,
+  (floor(item_no * 2.6::DOUBLE / 5) * 5)::BIGINT AS bucket, array_to_string(list_filter([name, pattern, visible_brand], lambda x: x IS NOT NULL), ' ') AS query FROM items""",
+        "items",
+    )
+)
+def item_projection(spark: SparkSession, d: str) -> DataFrame:
+    """A detected item's row from a model's output: trimmed, within its scale, with its time bucket and query."""
+    from vcspark.functions.links import unit_scale
+    from vcspark.functions.text import time_bucket
+
+    category = F.coalesce(F.nullif(F.lower(F.trim("category")), F.lit("")), F.lit("general"))
+    return view(spark, d, "items").select("job_id", "item_no", F.trim("name").alias("name"), category.alias("category"), unit_scale(c("confidence")).alias("confidence"), time_bucket(c("item_no") * 2.6).alias("bucket"), F.concat_ws(" ", "name", "pattern", "visible_brand").alias("query"))
+
+
+@query(
+    """WITH b AS (SELECT event_id, event_id % 11 / 10.0::DOUBLE AS x, value / 200 AS w, CASE WHEN event_id % 2 = 0 THEN least(640 / 1280.0::DOUBLE, 480 / 720.0::DOUBLE) ELSE greatest(640 / 1280.0::DOUBLE, 480 / 720.0::DOUBLE) END AS s FROM events)
+SELECT event_id, round((640 - 1280 * s) / 2 + x * 1280 * s, 4) AS left_px, round(w * 1280 * s, 4) AS width_px FROM b"""
+)
+def fitted_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a frame as pixels of an element of another shape: contained in it (bars) or covering it (cut)."""
+    from vcspark.functions import geometry
+
+    k = c("event_id")
+    b = geometry.box(k % 11 / 10.0, F.lit(0.0), c("value") / 200, F.lit(1.0))
+    shown = geometry.fitted(b, 1280, 720, 640, 480, k % 2 == 1)
+    return table(spark, d, "events").select("event_id", F.round(shown["x"], 4).alias("left_px"), F.round(shown["width"], 4).alias("width_px"))
+
+
+@query(
+    """WITH f AS (SELECT user_id, event_id, ts, CASE WHEN p IS NULL OR abs(value - p) / 1000 >= 0.08::DOUBLE THEN 1 ELSE 0 END AS changed FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)),
+g AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f)
+SELECT event_id, changed = 1 OR (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) % 4 = 0 AS sent FROM g"""
+)
+def frame_skip(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that a client sends: those that differ by 0.08 or more from the one before, and every fourth of a run that doesn't."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = F.lag("value").over(order)
+    frames = table(spark, d, "events").withColumn("changed", (before.isNull() | (F.abs(c("value") - before) / 1000 >= 0.08)).cast("int")).withColumn("run", F.sum("changed").over(order))
+    place = F.row_number().over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id")) - 1
+    return frames.select("event_id", ((c("changed") == 1) | (place % 4 == 0)).alias("sent"))
