@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import comparable
 from vcspark import plans
-from vcspark.operators import dedup, matching, reports
+from vcspark.operators import dedup, matching, reports, tracking
+from vcspark.plans import video
+from vcspark.plans.entities import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,6 +74,38 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert got == want and len(want) > 100
 
 
+def test_either_key_query_equals_a_plain_fold(spark):
+    got = sorted((r.query_id, r.place, r.link) for r in plans.QUERIES["either_key_dedup"](spark, SF).collect())
+    groups = {}
+    for r in view(spark, SF, "candidates").collect():
+        groups.setdefault(r.query_id, []).append((r.pos * 1_000_000 + r.product_id, r.link, (r.domain, r.title.lower())))
+    want = []
+    for q, rows in groups.items():
+        links, titles = set(), set()
+        for place, link, title in sorted(rows, key=lambda x: x[0]):
+            if link not in links and title not in titles:
+                links.add(link)
+                titles.add(title)
+                want.append((q, place, link))
+    assert got == sorted(want) and len(got) < sum(map(len, groups.values()))
+
+
+def test_boxes_query_equals_brute_force(spark):
+    """Within a frame and category, a box stays if no better one that stays covers it by 0.65."""
+    got = sorted((r.job_id, r.detection_id) for r in plans.QUERIES["nms_boxes"](spark, SF).collect())
+    frames = {}
+    for r in video._boxes(spark, SF).collect():
+        frames.setdefault((r.job_id, r.at), []).append(r)
+    want = []
+    for (job, _), rows in frames.items():
+        held = []
+        for r in sorted(rows, key=lambda r: (-r.confidence, r.detection_id)):
+            if all(h.category != r.category or tracking.box_iou(*[(x.x, x.y, x.width, x.height) for x in (h, r)]) < 0.65 for h in held):
+                held.append(r)
+        want += [(job, r.detection_id) for r in held]
+    assert got == sorted(want) and len(got) < sum(map(len, frames.values()))
+
+
 def test_repeated_rows_keep_their_rate(spark):
     rates = spark.createDataFrame([("a", 1.0), ("ab", 2.0)], "prefix string, rate double")
     rows = spark.createDataFrame([("abc",), ("abc",), ("ax",), ("b",), ("",), (None,)], "name string")

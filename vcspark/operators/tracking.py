@@ -153,9 +153,10 @@ def identity_groups(tracks: DataFrame, job: str = "job_id") -> DataFrame:
     """(job, track_id, product_index, possible_duplicate_of): tracks in order join the group of their best unblocked partner from 0.84 on.
 
     Greedy and in order of first_seen, then track_id; from 0.76 on the best group is
-    noted as a possible duplicate. The pairs come from a join, the fold is by job.
+    noted as a possible duplicate. The pairs come from a join, of which those from 0.76
+    on go into the fold; it is by job - a video, some hundreds of tracks.
     """
-    pairs = identity_pairs(tracks, job).where("not blocked").groupBy(job, F.col("b").alias("track_id")).agg(F.collect_list(F.struct("a", "score")).alias("before"))
+    pairs = identity_pairs(tracks, job).where(~F.col("blocked") & (F.col("score") >= POSSIBLE)).groupBy(job, F.col("b").alias("track_id")).agg(F.collect_list(F.struct("a", "score")).alias("before"))
     rows = tracks.select(job, "track_id", "first_seen").join(pairs, [job, "track_id"], "left")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vcspark.functions import taxonomy, text, vectors
 from vcspark.functions.hashing import hamming, hash_embedding, sha256_key
 from vcspark.operators import dedup, matching, ranking, upserts
+from vcspark.plans.entities import view
 from vcspark.plans.registry import query, table
 from vcspark.sources.shared import save_shared
 
@@ -372,8 +373,9 @@ def verified_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def either_key_dedup(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select(text.url_domain("url").alias("domain"), text.canonical_url("url").alias("link"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), "page_id")
-    return ranking.drop_repeats(pages, "domain", "page_id")
+    """Each search's candidates without those whose link, or domain with title, an earlier kept one has."""
+    rows = view(spark, d, "candidates").withColumn("place", F.col("pos") * 1_000_000 + F.col("product_id"))
+    return ranking.drop_repeats(rows.select("query_id", "place", "link", "domain", "title"), "query_id", "place")
 
 
 @query(

@@ -131,7 +131,7 @@ def identity_groups(spark: SparkSession, d: str) -> DataFrame:
     vec = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     none = F.lit(None)
     tracks = vec.select(
-        F.col("label").alias("job_id"), F.col("vec_id").cast("string").alias("track_id"), (F.col("vec_id") % 60).cast("double").alias("first_seen"), (F.col("vec_id") % 60 + 2).cast("double").alias("last_seen"), none.cast("string").alias("slot"),
+        F.floor(F.col("vec_id") / 25).alias("job_id"), F.col("vec_id").cast("string").alias("track_id"), (F.col("vec_id") % 60).cast("double").alias("first_seen"), (F.col("vec_id") % 60 + 2).cast("double").alias("last_seen"), none.cast("string").alias("slot"),
         F.lit("dress").alias("category"), F.lit("clothing").alias("family"), none.cast("int").alias("person_index"), F.when(F.col("vec_id") % 2 == 0, "red").otherwise("blue").alias("color"), F.col("embedding").cast("array<double>").alias("visual"), F.lit(60.0).alias("duration"),
     )
     return tracking.identity_groups(tracks)
