@@ -13,7 +13,10 @@ from vcspark.llm.lm_scoring import score_documents
 from vcspark.llm.mixing import mix_sources
 from vcspark.llm.near_dedup import near_duplicates
 from vcspark.llm.packing import pack_documents
+from vcspark.llm.prefix_trie import conversation_trie
+from vcspark.llm.tandem import periodic_runs
 from vcspark.llm.topk import top_k, usable_vectors
+from vcspark.llm.toxicity import score_toxicity
 from vcspark.llm.url_filter import filter_urls
 from vcspark.llm.warc import archive_pages
 
@@ -63,6 +66,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_extract_html": op9_extract_html,
     "op10_near_dedup": op10_near_dedup,
+    "op11_toxicity": op11_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
@@ -132,5 +150,39 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
 FROM d WINDOW w AS (PARTITION BY html)
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+    struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS item
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT DISTINCT c, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + length(c::VARCHAR)), lambda i: ascii(substr(c::VARCHAR, i::INTEGER, 1))::BIGINT)),
+    lambda r, byte: list_reduce(list_prepend(xor(r, byte), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) % 4 AS h
+  FROM t
+), rebuilt AS (
+  SELECT crc.c, t.pos, t.item FROM crc JOIN t ON t.c = crc.c - crc.c % 20 WHERE t.pos < crc.h
+  UNION ALL SELECT crc.c, t.pos, t.item FROM crc JOIN t ON t.c = crc.c WHERE t.pos >= crc.h
+), sequences AS (
+  SELECT crc.c, coalesce(list(item ORDER BY pos) FILTER (pos IS NOT NULL), []) AS seq FROM crc LEFT JOIN rebuilt USING (c) GROUP BY crc.c
+), prefixes AS (
+  SELECT c, len(seq) AS total, d, seq[1:d] AS path FROM sequences, unnest(range(0, len(seq) + 1)) AS u(d)
+), nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(path[d].text), '[^\x20\x09-\x0D]+')) END AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (total = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, d
+), children AS (
+  SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+), shown AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (path, d)
+), sums AS (
+  SELECT s.path[1:k] AS path, k AS d, sum((n_convs - 1) * words) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM shown s, unnest(range(0, s.d + 1)) AS u(k) GROUP BY 1, 2
+)
+SELECT s.conv_id::BIGINT AS conv_id, s.d::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, s.n_convs, s.n_children,
+  sums.leaves AS n_leaves, sums.saved::BIGINT AS saved_tokens, s.ends_sha256
+FROM shown s JOIN sums USING (path, d) LEFT JOIN nodes p ON s.d > 0 AND p.d = s.d - 1 AND p.path = s.path[1:s.d - 1]
 """,
 }
