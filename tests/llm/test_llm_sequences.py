@@ -201,7 +201,7 @@ def test_toxicity_tolerates_inserted_and_spelled_insults(model):
     for insult in ("glorkwump", "GLORKWUMP", "g.l.o.r.k.w.u.m.p", "g l o r k w u m p", "glorkwuump"):
         assert (fitted.scores([text([insult, insult]) for _ in range(40)]) >= 0.7).mean() >= 0.9, insult
     for insult in ("glorkxwump", "glork-wump", "gl*orkwump", "fizzybratch"):  # nearer the line, but clear of clean texts
-        assert (fitted.scores([text([insult, insult]) for _ in range(40)]) > np.quantile(clean, 0.99)).mean() >= 0.9, insult
+        assert (fitted.scores([text([insult, insult]) for _ in range(40)])[:, None] > clean[None, :]).mean() >= 0.97, insult
 
 
 def test_toxicity_scores_whole_texts_and_edges(model):
