@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vcspark.llm.exact_dedup import exact_dedup, normalised
-from vcspark.llm.langid import UND, identify_documents
+from vcspark.llm.langid import UND, exact_name, identify_documents
 from vcspark.llm.mixing import mix_sources, row_hash
 from vcspark.llm.near_dedup import near_duplicates
 from vcspark.llm.packing import pack_documents
@@ -24,7 +24,7 @@ BROADCAST_ROWS = 200_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose evidence fits one of the corpus's languages better than none (null and letterless texts go; where no language has been learned, all others stay)."""
-    return identify_documents(docs).where(~F.col("detected_lang").eqNullSafe(UND)).select(*docs.columns)
+    return identify_documents(docs).where(~F.col("detected_lang").eqNullSafe(UND)).select(*map(exact_name, docs.columns))
 
 
 def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
 
 def _marked(docs: DataFrame, **marks: Column) -> DataFrame:
     """``docs`` with columns ``_0``, ``_1``, ... and the marks, so that no name clashes."""
-    return docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], *[m.alias(k) for k, m in marks.items()])
+    return docs.select(*[exact_name(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], *[m.alias(k) for k, m in marks.items()])
 
 
 def _unmarked(marked: DataFrame, columns: list[str]) -> DataFrame:
