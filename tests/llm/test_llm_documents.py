@@ -400,3 +400,13 @@ def test_pack_edges_and_padding(edges):
     assert all(r.length == r.doc_tokens == 1 for r in rows if r.doc_id in (1, 2))
     made = assemble(pack(cut_pieces(edges, keep_ids=True))).collect()
     assert all(len(r.ids) == (r.used if r.used.bit_count() == 1 else 1024) for r in made)
+
+
+def test_pack_keeps_large_ids_beside_null_ones(spark):
+    ids = [None, 2**53 + 1, 2**60 + 7, 5, None]
+    docs = spark.createDataFrame([(i, "some words here", "x") for i in ids], "doc_id long, text string, `my col` string")
+    got = pack_documents(docs).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted(ids, key=repr)
+    used = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(b[1] == a[1] + a[2] for a, b in zip(used, used[1:]))
+    assert pack(cut_pieces(docs, keep_ids=True).withColumn("my col", F.lit(1)), 1024).count() == 5

@@ -291,3 +291,11 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
     frame.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_with_odd_column_names(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = docs.withColumn("my col", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("rule", F.lit("x")).withColumn("tick`s", F.lit(3))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, "")
+        assert kept.columns == odd.columns and kept.count() > 0

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vcspark.llm.blocks import blocks_of, declared_language
 from vcspark.llm.textops import batches
@@ -124,10 +125,17 @@ def text_evidence(rows: DataFrame, model: Model, keep: list[str], text: str, fro
                 columns = [*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(best, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(declared, pa.string())] if from_html else []), names=[*keep, "grams", "scores", "text_lang", *(["declared"] if from_html else [])])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "grams long, scores array<double>, text_lang string", *(["declared string"] if from_html else [])])
+    schema = T.StructType([*fields, T.StructField("grams", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("text_lang", T.StringType())])
+    if from_html:
+        schema.add("declared", T.StringType())
     return rows.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def exact_name(column: str) -> Column:
+    """The column of just this name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _counts(rows: DataFrame, key: str, classes: list[str]) -> DataFrame:
     """(key, rows_n, votes): rows of each key, and how many of them the text puts in each class."""
     votes = F.array(*[F.sum((F.col("text_lang") == c).cast("long") * F.col("n")) for c in classes])
@@ -215,7 +223,7 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stated = F.lower(F.regexp_extract(F.col(lang_col).cast("string"), r"^\s*([a-zA-Z]{2,8})", 1))
     stated = F.when(stated != "", stated)
     model = train(docs.select(F.col(id_col).alias("key"), stated.alias("label"), F.col(text_col).cast("string").alias("text")), "key", "label", "text", max_rows)
-    rows = docs.select(F.struct(*carried).alias("__row"), F.col(text_col).alias("__t"), stated.alias("declared"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("host"), F.lit("").alias("suffix"), F.xxhash64(id_col).alias("__spread"))
+    rows = docs.select(F.struct(*map(exact_name, carried)).alias("__row"), F.col(text_col).alias("__t"), stated.alias("declared"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("host"), F.lit("").alias("suffix"), F.xxhash64(id_col).alias("__spread"))
     seen = save_shared(text_evidence(rows, model, ["__row", "declared", "host", "suffix", "__spread"], "__t"), "lang-documents")
     fused = fuse(seen, model.languages)
     return fused.select("__row.*", F.col("lang").alias("detected_lang"), F.col("prob").alias("detected_prob"))

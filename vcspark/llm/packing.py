@@ -11,10 +11,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vcspark.llm.textops import batches
 from vcspark.llm.tokens import encoder
@@ -112,13 +113,15 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     shards = max(1, -(-pieces.count() // PIECES_PER_SHARD))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        number, offset = best_fit(part["length"].tolist(), window)
-        return part.assign(sequence_id=part["shard"].astype("int64") * 2**32 + np.array(number, dtype=np.int64), offset=np.array(offset, dtype=np.int64)).drop(columns="shard")
+    def run(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
+        shard = part.column("shard")[0].as_py() * 2**32
+        number, offset = best_fit(part.column("length").to_pylist(), window)
+        placed = part.append_column("sequence_id", pa.array([shard + n for n in number], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        return placed.drop_columns(["shard"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards))).groupBy("shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: Callable[[], str] = byte_bpe_path) -> DataFrame:

@@ -38,7 +38,7 @@ ROUNDS = 2
 #: Bounds of the labelled sample: documents of each class, characters of one, and of all.
 SAMPLE_DOCS = 1500
 SAMPLE_DOC_CHARS = 65_536
-SAMPLE_CHARS = 8_000_000
+SAMPLE_CHARS = 6_000_000
 THRESHOLD = 0.7
 
 _PATTERNS = [(p, DECAY ** (p[-1] + 1 - ORDER)) for p in combinations(range(1, SPAN), ORDER - 1)]
@@ -77,12 +77,11 @@ def symbols_of(texts: list[str | None]) -> Symbols:
     joined = "\n".join(t.replace("\n", "\r") if t else "" for t in texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(points < 0x3000, _TABLE[np.minimum(points, 0x2FFF)], 26 + (points % 5)).astype(np.uint8)
-    text = np.cumsum(points == 10)
-    text = np.append(0, text[:-1])
+    text = np.append(0, np.cumsum(points == 10, dtype=np.int32)[:-1]).astype(np.int32)
     blank = (points == 10) | (points == 13) | (points == 32) | (points == 9)
     mark = np.isin(points, np.array([33, 46, 63], np.uint32))
     stop = (points == 10) | (points == 13) | (mark & np.append(blank[1:], True))
-    sentence = np.append(0, np.cumsum(stop)[:-1])
+    sentence = np.append(0, np.cumsum(stop, dtype=np.int32)[:-1]).astype(np.int32)
     other = code == _OTHER
     edge = np.append(True, sentence[1:] != sentence[:-1])
     first = other & (edge | np.append(True, ~other[:-1]))  # of a run of no letters
@@ -94,14 +93,14 @@ def symbols_of(texts: list[str | None]) -> Symbols:
     spelled = np.zeros(len(code), bool)
     spelled[1:-1] = other[1:-1] & alone[:-2] & alone[2:] & ~last[1:-1]
     keep = ~spelled
-    return Symbols(code[keep], text[keep].astype(np.int64), sentence[keep].astype(np.int64))
+    return Symbols(code[keep], text[keep], sentence[keep])
 
 
 def _features(code: np.ndarray, sentence: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each gap pattern: the subsequence at every symbol, whether it lies in one sentence, its weight."""
     n = len(code)
     padded = np.append(code, np.full(SPAN, _OTHER, np.uint8)).astype(np.int32)
-    of = np.append(sentence, np.full(SPAN, -1))
+    of = np.append(sentence, np.full(SPAN, -1, np.int32))
     inside = [of[d : d + n] == sentence for d in range(SPAN)]
     for offsets, weight in _PATTERNS:
         key = padded[:n]
@@ -213,7 +212,7 @@ def _first_weights(symbols: Symbols, toxic: np.ndarray) -> np.ndarray:
     """Log odds of unbroken subsequences that more toxic than clean documents hold."""
     size = SYMBOLS**ORDER
     key, inside, _ = next(f for f in _features(symbols.code, symbols.sentence))
-    pair = np.unique(symbols.text[inside] * size + key[inside])
+    pair = np.unique(symbols.text[inside].astype(np.int64) * size + key[inside])
     of, key = pair // size, pair % size
     held = [np.bincount(key[toxic[of] == side], minlength=size) for side in (True, False)]
     yes, no = max(1, toxic.sum()), max(1, (~toxic).sum())
