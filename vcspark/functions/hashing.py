@@ -1,4 +1,4 @@
-"""64-bit perceptual hashes as hex text, and hashes of pixels (pandas UDFs)."""
+"""64-bit perceptual hashes as hex text, hashes of texts, and a text embedding by hashes."""
 
 from __future__ import annotations
 
@@ -29,46 +29,16 @@ def bands(x: Column | str, distance: int = 6) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.substring(binary, cut[i] + 1, cut[i + 1] - cut[i]).alias("digits")) for i in range(n)])
 
 
-def _shrunk(rgb: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Mean luminance of ``rows`` x ``columns`` cells."""
-    grey = rgb @ np.array([0.299, 0.587, 0.114])
-    r = np.linspace(0, grey.shape[0], rows + 1).astype(int)
-    c = np.linspace(0, grey.shape[1], columns + 1).astype(int)
-    return np.array([[grey[r[i] : max(r[i] + 1, r[i + 1]), c[j] : max(c[j] + 1, c[j + 1])].mean() for j in range(columns)] for i in range(rows)])
-
-
-def _hex(bits: np.ndarray) -> str:
-    return f"{int(''.join('1' if b else '0' for b in bits.ravel()), 2):016x}"
-
-
-@F.pandas_udf(T.StringType())
-def difference_hash(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    """dHash: is each of 8 x 8 cells brighter than its right neighbour; null for missing pixels."""
-    return pd.Series([None if p is None else _hex((g := _shrunk(np.frombuffer(p, np.uint8).reshape(h, w, 3), 8, 9))[:, :-1] > g[:, 1:]) for p, w, h in zip(rgb, width, height)])
-
-
-@F.pandas_udf(T.StringType())
-def average_hash(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    """aHash: is each of 8 x 8 cells at least as bright as the mean; null for missing pixels."""
-    return pd.Series([None if p is None else _hex((g := _shrunk(np.frombuffer(p, np.uint8).reshape(h, w, 3), 8, 8)) >= g.mean()) for p, w, h in zip(rgb, width, height)])
-
-
-@F.pandas_udf(T.DoubleType())
-def pixel_difference(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean absolute difference of two equally large pictures, 0..1; null where they can't be compared."""
-    return pd.Series([None if x is None or y is None or len(x) != len(y) or not len(x) else float(np.abs(np.frombuffer(x, np.uint8).astype(int) - np.frombuffer(y, np.uint8)).mean() / 255) for x, y in zip(a, b)])
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(text: pd.Series) -> pd.Series:
-    """64 dimensions of signed word hashes, scaled to length 1, of texts that are already normalised."""
+    """64 dimensions of signed FNV-1a hashes of words, scaled to length 1, of texts that are already normalised."""
     out = []
     for t in text:
         v = np.zeros(64)
         for word in (t or "").split():
-            h = 0
-            for ch in word:
-                h = (h * 31 + ord(ch)) & 0xFFFFFFFF
+            h = 2166136261
+            for unit in np.frombuffer(word.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
+                h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
             h = h - (1 << 32) if h >= 1 << 31 else h
             v[abs(h) % 64] += 1.0 if h % 2 == 0 else -1.0
         length = np.sqrt((v * v).sum())
