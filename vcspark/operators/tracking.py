@@ -1,4 +1,4 @@
-"""Order-dependent steps of video analysis, by job in grouped pandas: tracks, suppression of boxes, identity groups.
+"""Order-dependent steps of video analysis, by job in grouped Arrow and pandas: tracks, suppression of boxes, identity groups.
 
 A job is one video: its detections are bounded by the video, so a group fits a task.
 """
@@ -6,11 +6,16 @@ A job is one video: its detections are bounded by the video, so a group fits a t
 from __future__ import annotations
 
 import unicodedata
+from itertools import groupby
+from types import SimpleNamespace
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # When a track is lost, least overlap of the same thing, bonus of the same name, overlap of duplicates.
 LOST_AFTER, MATCH_IOU, NAME_BONUS, DUPLICATE_IOU = 6.0, 0.3, 0.5, 0.65
@@ -78,22 +83,31 @@ class Tracker:
         return ids
 
 
+def _in_order(rows: pa.Table, keys: list[tuple[str, str]]) -> tuple[pa.Table, list[SimpleNamespace]]:
+    """The rows sorted, nulls last, as they are (numbers beside nulls stay exact) and what the rules look at."""
+    rows = rows.take(pc.sort_indices(rows, keys))
+    looked = [c for c in ("at", "detection_id", "name", "category", "x", "y", "width", "height") if c in rows.column_names]
+    return rows, [SimpleNamespace(**r) for r in rows.select(looked).to_pylist()]
+
+
 def assign_tracks(detections: DataFrame, job: str = "job_id") -> DataFrame:
     """``detections`` (job, at, detection_id, name, category, x, y, width, height, ...) with track_id: t1, t2, ... by job.
 
     Instants in order; within one, detections by id claim the live track of their
     category with the best overlap (half a point more for the same first three words).
+    Detections without a time get no track.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "detection_id"], kind="stable")
+    def run(rows: pa.Table) -> pa.Table:
+        rows, seen = _in_order(rows, [("at", "ascending"), ("detection_id", "ascending")])
         tracker, ids = Tracker(), []
-        for now, group in rows.groupby("at", sort=True):
-            ids += tracker.step(float(now), list(group.itertuples()))
-        return rows.assign(track_id=ids)
+        for now, group in groupby(seen, lambda r: r.at):
+            found = list(group)
+            ids += tracker.step(float(now), found) if now is not None else [None] * len(found)
+        return rows.append_column("track_id", pa.array(ids, pa.string()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema.fields)
-    return detections.groupBy(job).applyInPandas(run, f"{schema}, track_id string")
+    schema = T.StructType([*detections.schema.fields, T.StructField("track_id", T.StringType())])
+    return detections.groupBy(job).applyInArrow(run, schema)
 
 
 def suppress_boxes(detections: DataFrame, frame: list[str], least: float = DUPLICATE_IOU) -> DataFrame:
@@ -102,19 +116,19 @@ def suppress_boxes(detections: DataFrame, frame: list[str], least: float = DUPLI
     Equal confidence: the smaller detection_id counts as the more confident.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["confidence", "detection_id"], ascending=[False, True], kind="stable")
+    def run(rows: pa.Table) -> pa.Table:
+        rows, seen = _in_order(rows, [("confidence", "descending"), ("detection_id", "ascending")])
         kept: list[tuple[str, Box]] = []
         keep = []
-        for row in rows.itertuples():
+        for row in seen:
             box, kind = _box(row), str(row.category or "").lower().strip()
             good = box is None or not any(k == kind and box_iou(b, box) >= least for k, b in kept)
             keep.append(good)
             if good and box is not None:
                 kept.append((kind, box))
-        return rows[keep]
+        return rows.filter(pa.array(keep))
 
-    return detections.groupBy(*frame).applyInPandas(run, detections.schema)
+    return detections.groupBy(*frame).applyInArrow(run, detections.schema)
 
 
 def identity_pairs(tracks: DataFrame, job: str = "job_id") -> DataFrame:

@@ -202,3 +202,25 @@ def stream_sampling(spark: SparkSession, d: str) -> DataFrame:
 
     frames = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("frame_id"), F.substring(F.md5(F.floor(F.col("value") / 10).cast("string")), 1, 16).alias("hash"), (F.col("event_type") == "signup").alias("scene_changed"))
     return sample_frames(frames)
+
+
+def video_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames made of events: uploads of 30 events by number, a scene change at a signup, up to two detections each."""
+    k = F.col("event_id")
+    detection = lambda i: F.struct(
+        (k * 4 + i).alias("detection_id"), F.concat(F.lit("item "), F.col("event_type")).alias("name"), F.col("event_type").alias("category"),
+        (k % (3 + i) / 10.0).alias("x"), (k % 2 / 10.0).alias("y"), F.lit(0.4).alias("width"), F.lit(0.3).alias("height"),
+    )
+    return table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.floor(k / 30).alias("request"), k.alias("frame_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"),
+        F.substring(F.md5(F.floor(F.col("value") / 60).cast("string")), 1, 16).alias("hash"), F.when(F.col("event_type") == "signup", 0.4).otherwise(F.col("value") % 10 / 200).alias("difference"),
+        (F.col("value") % 7 < 0.5).alias("local_change"), F.lit(False).alias("last"), F.slice(F.array(detection(0), detection(1)), 1, (1 + k % 2).cast("int")).alias("detections"), F.col("ts").cast("timestamp").alias("received_at"),
+    )
+
+
+@query()
+def scene_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions, tracks and scenes of every video, with the flush of scenes below their quota; the batch form of the streaming operator."""
+    from vcspark.streaming.scenes import scene_events
+
+    return scene_events(video_frames(spark, d))
