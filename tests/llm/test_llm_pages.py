@@ -16,6 +16,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_queries import comparable
 from vcspark.llm import queries, topk, url_filter
 from vcspark.llm.extraction import _PROSE, classify, extract_pages, grow, labelled_table, main_text
@@ -299,3 +300,35 @@ def test_pipeline_with_odd_column_names(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, odd, "")
         assert kept.columns == odd.columns and kept.count() > 0
+
+
+#: Pages unlike the labelled ones in words and number of blocks; all of their text is main text.
+SHORT_PAGES = [
+    ("<p>One short para.</p>", "One short para."), ("<div><h1>Q</h1><p>Yes.</p><p>It works if you try it on another day.</p></div>", "Q\nYes.\nIt works if you try it on another day."),
+    ("<html><body>plain</body></html>", "plain"), ("<h1>Title</h1>", "Title"), ("<div><div><p>Two of them</p></div><p>here.</p></div>", "Two of them\nhere."),
+    ("<h1>Sold out</h1><p>We are sorry.</p><p>New tickets come in May.</p>", "Sold out\nWe are sorry.\nNew tickets come in May."), ("<p>a<p>b<p>c<p>d", "a\nb\nc\nd"),
+    ("<table><tr><td>one</td><td>two</td></tr></table>", "one\ntwo"), ("<p>See <a href=x>this</a> for all of the details on it.</p>", "See this for all of the details on it."),
+    ("<nav><a href=1>Home</a></nav><p>Back soon.</p>", "Back soon."), ("<h2>Hours</h2><ul><li>Monday: nine to five<li>Sunday: closed</ul>", "Hours\nMonday: nine to five\nSunday: closed"),
+    ("<p>It rained all day.</p><footer>Imprint</footer>", "It rained all day."), ("<article><p>Ok.</p></article>", "Ok."), ("<main>Nothing here</main><aside>Ads</aside>", "Nothing here"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHORT_PAGES)
+def test_short_pages_stay_whole(page, text):
+    assert main_text(page) == text
+
+
+def test_tree_fits_unseen_pages():
+    """Trees grown without a fifth of the labelled pages, on the blocks of those pages."""
+    from vcspark.llm.blocks import blocks_of
+    from vcspark.llm.extraction import LABELLED, features
+
+    good = total = 0
+    for part in range(5):
+        tables = [(features(b), np.array([x.text[0] == "+" for x in b])) for b in map(blocks_of, LABELLED)]
+        seen = [t for i, t in enumerate(tables) if i % 5 != part]
+        tree = grow(np.concatenate([x for x, _ in seen]), np.concatenate([y for _, y in seen]))
+        for x, y in tables[part::5]:
+            good += (classify(tree, x) == y).sum()
+            total += len(y)
+    assert good / total > 0.85

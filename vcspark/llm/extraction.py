@@ -4,7 +4,9 @@ Each block is described by its words and link density and those of its neighbour
 by the elements around it: inside an article or main element (1), outside of it on a
 page that has one (-1), or on a page without (0); in an element that holds other things
 than main text; in one whose class or id hints at that, and how small a part of the
-page it is; heading; list or table item. The tree is grown here from a small labelled
+page it is; heading; list or table item. The first question is whether the page is short
+and has no article element: what is short elsewhere is all that such a page has, so its
+branch is grown from labelled short pages. The rest of the tree is grown here from a small labelled
 table.
 """
 
@@ -97,6 +99,30 @@ LABELLED = [
     f"<div class=banner>-{_ADVERTS[2]}</div><div><h2>+Boats and lamps</h2>{_main(0, 7, 3)}</div><div class=newsletter>-{_NOTICES[1]}</div>",
 ]
 
+#: Words of a page without an article element up to which it counts as short.
+SHORT_PAGE = 100
+#: Labelled short pages.
+LABELLED_SHORT = [
+    "<p>+One short line.</p>",
+    "<body><p>+Yes.</p></body>",
+    "<div>+Closed today.</div>",
+    "<div><h1>+Is it open?</h1><p>+Yes.</p><p>+It opens at nine if the weather is fine.</p></div>",
+    "<h1>+Moved</h1><p>+We are next door now.</p>",
+    "<p>+First line.</p><p>+Second line.</p>",
+    f"<h2>+Answer</h2><p>+No.</p>{_main(0)}",
+    "<div><a href=1>-Home</a> <a href=2>-News</a></div><p>+Nothing to see here yet.</p>",
+    "<ul><li><a href=1>-Start</a><li><a href=2>-Contact</a></ul><h1>+Not found</h1><p>+There is no such page.</p>",
+    "<p>+Hello.</p><footer>-Imprint</footer>",
+    f"<h1>+Lamps</h1><p>+Two.</p>{_main(3)}",
+    "<table><tr><td>+oil<td>+three spoons</table>",
+    "<div><p>+A</p><p>+B</p><p>+C</p></div>",
+    f"<div class=cookie>{_other(_NOTICES, 0)}</div><p>+A single line.</p>",
+    f"<nav><a href=1>-Home</a></nav>{_main(2)}<aside>-Old news</aside>",
+    f"<div><a href=1>-one</a> <a href=2>-two</a></div>{_main(0, 1)}<div class=comments>{_other(_REMARKS, 1)}</div>",
+    "<h2>+Times</h2><ul><li>+Monday: noon<li>+Tuesday: never</ul><div><a href=1>-Imprint</a></div>",
+    f"<p>+See <a href=x>this</a> for more of it.</p><form><p>-{_NOTICES[1]}</p></form>",
+]
+
 
 def features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
@@ -111,10 +137,10 @@ def features(blocks: list[Block]) -> np.ndarray:
     return out
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks in ``LABELLED``."""
+def labelled_table(pages: list[str] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the pages' blocks."""
     x, y = [], []
-    for page in LABELLED:
+    for page in pages:
         blocks = blocks_of(page)
         x.append(features(blocks))
         y += [b.text[0] == "+" for b in blocks]
@@ -157,10 +183,17 @@ def default_tree() -> Tree:
     return grow(*labelled_table())
 
 
+@lru_cache(maxsize=1)
+def short_tree() -> Tree:
+    return grow(*labelled_table(LABELLED_SHORT))
+
+
 def main_text(page: str | None, tree: Tree | None = None) -> str:
     """The blocks of main text in page order, joined by newlines."""
     blocks = blocks_of(page or "")
-    good = classify(default_tree() if tree is None else tree, features(blocks)) if blocks else []
+    short = not any(b.inside for b in blocks) and sum(b.words for b in blocks) <= SHORT_PAGE
+    chosen = tree if tree is not None else short_tree() if short else default_tree()
+    good = classify(chosen, features(blocks)) if blocks else []
     return "\n".join(b.text for b, g in zip(blocks, good) if g)
 
 
@@ -170,7 +203,6 @@ def extract_pages(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     Null html gives an empty text. Pages are read whole. Repeated rows come back as
     often as they came; other columns are not read. ``n_chars`` counts code points.
     """
-    tree = default_tree() if tree is None else tree
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
