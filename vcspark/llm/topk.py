@@ -24,7 +24,9 @@ SCALE = 1024
 ROWS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 2048
 SEED_ROWS = 2048
+#: Centres by which rows are placed; a table has no more than it has full blocks.
 CLUSTERS = 128
+BOXES_PER_PART = 1024
 BOX_SEGMENTS = 8
 QUERIES_AT_ONCE, PAIRS_AT_ONCE = 128, 1 << 16
 _EXACT = 2.0**53
@@ -121,8 +123,8 @@ def _matrix(v: pd.Series, dim: int) -> np.ndarray:
     return np.array(v.tolist(), dtype=float).reshape(len(v), dim)
 
 
-def _placed(rows: DataFrame, seeds: object, k: int | None) -> DataFrame:
-    """``rows`` with cluster (the nearest of the seed's first rows), stats (squared norm and the summary at the box's resolution) and, for queries (``k``), floor."""
+def _placed(rows: DataFrame, seeds: object, clusters: int, k: int | None) -> DataFrame:
+    """``rows`` with cluster (the nearest of the seed's first ``clusters`` rows), stats (squared norm and the summary at the box's resolution) and, for queries (``k``), floor."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -130,7 +132,7 @@ def _placed(rows: DataFrame, seeds: object, k: int | None) -> DataFrame:
                 v, floor, cluster = _matrix(group.v, dim), np.full(len(group), -np.inf), np.zeros(len(group), np.int64)
                 if dim in seeds.value:
                     ids, x = seeds.value[dim]
-                    centres = x[:CLUSTERS]
+                    centres = x[:clusters]
                     cluster = ((centres * centres).sum(axis=1)[None, :] - 2 * (v @ centres.T)).argmin(axis=1)
                     if k is not None:
                         i, _, scores = search_block(group.vec_id.to_numpy(), v, floor, ids, x, k)
@@ -176,19 +178,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = rows.sparkSession
     rows = save_shared(rows.select("vec_id", "dim", "v"), "topk-rows")
     part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30))
-    fit = min(1.0, 4 * SEED_ROWS / max(1, rows.count()))
+    count = rows.count()
+    clusters = max(1, min(CLUSTERS, -(-count // ROWS_PER_BLOCK)))
+    fit = min(1.0, 4 * SEED_ROWS / max(1, count))
     seed = rows.where(part < int(fit * (1 << 30))).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SEED_ROWS).toPandas()
     seeds = spark.sparkContext.broadcast({d: (g.vec_id.to_numpy(), _matrix(g.v, d)) for d, g in seed.groupby("dim")})
     once = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    left, boxes = _blocked(_placed(rows, seeds, None), ROWS_PER_BLOCK, "rows")
-    right, asked = _blocked(_placed(once, seeds, k), QUERIES_PER_BLOCK, "queries")
+    left, boxes = _blocked(_placed(rows, seeds, clusters, None), ROWS_PER_BLOCK, "rows")
+    right, asked = _blocked(_placed(once, seeds, clusters, k), QUERIES_PER_BLOCK, "queries")
 
     # the ranges of two blocks' summaries are at least this far apart, so no score is higher than the bound
     boxes = boxes.select("dim", F.col("block").alias("rb"), F.col("low").alias("rl"), F.col("high").alias("rh"))
     asked = asked.select("dim", F.col("block").alias("qb"), "floor", F.col("low").alias("ql"), F.col("high").alias("qh"))
     gap = F.aggregate(F.sequence(F.lit(1), F.lit(2 * BOX_SEGMENTS)), F.lit(0.0), lambda s, i: s + F.pow(F.greatest(F.lit(0.0), F.get("ql", i) - F.get("rh", i), F.get("rl", i) - F.get("qh", i)), F.lit(2.0)))
     norms = F.get("qh", F.lit(0)) + F.get("rh", F.lit(0))
-    met = boxes.join(asked, "dim").where((norms - gap) / 2 + 1e-6 + norms * 1e-9 >= F.col("floor")).select("rb", "qb")
+    # the blocks' boxes, few beside their rows, meet in parts, each with all boxes of queries
+    parts = max(1, -(-boxes.count() // BOXES_PER_PART))
+    boxes = boxes.withColumn("part", F.pmod(F.xxhash64("rb"), F.lit(parts)))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = boxes.join(asked, ["dim", "part"]).where((norms - gap) / 2 + 1e-6 + norms * 1e-9 >= F.col("floor")).select("rb", "qb")
     met = save_shared(met, "topk-pairs")
 
     def search(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
