@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,19 +30,41 @@ def _given(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def once(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """``use`` of the values as fields of one struct, which is evaluated once however often they are used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), F.lit(0))
+
+
 def translated(text: Column, terms: dict[str, str]) -> Column:
     """The whole text's term, else the first term it contains, else the text itself; null for null and empty."""
     key = F.trim(F.lower(text))
-    whole = F.try_element_at(F.create_map(*[F.lit(x) for pair in terms.items() for x in pair]), key)
-    pairs = F.array(*[F.struct(F.lit(k).alias("term"), F.lit(v).alias("word")) for k, v in terms.items()])
-    held = F.get(F.filter(pairs, lambda p: F.contains(key, p["term"])), F.lit(0))["word"]
+    whole = reduce(lambda chain, t: chain.when(key == t[0], t[1]), terms.items(), F)
+    held = reduce(lambda chain, t: chain.when(F.contains(key, F.lit(t[0])), t[1]), terms.items(), F)
     return F.when(_given(text).isNotNull(), F.coalesce(whole, held, text))
 
 
 def _phrase(*parts: Column) -> Column:
     """Parts that aren't blank, single spaces between words."""
-    kept = F.filter(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda p: F.trim(p) != "")
-    return F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.concat_ws(" ", *[F.when(F.trim(p) != "", p) for p in parts]), r"\s+", " "))
+
+
+def _texts(i: Column) -> list[Column]:
+    brand, text, color, category, gender = i["brand"], i["text"], i["color"], i["category"], i["gender"]
+    quoted = F.concat(F.lit('"'), text, F.lit('"'))
+    logo = F.when(F.regexp_like(i["described"], F.lit("(?i)manga|sleeve")), "logo sleeve").when(F.regexp_like(i["described"], F.lit("(?i)pecho|chest")), "chest logo").otherwise("logo")
+    return [
+        F.when(brand.isNotNull() & (F.lower(text) != F.lower(brand)), _phrase(brand, quoted, category, color)),
+        F.when(brand.isNotNull(), _phrase(brand, color, category, gender)),
+        F.when(brand.isNotNull() & i["logo_visible"] & i["described"].isNotNull(), _phrase(brand, color, category, logo)),
+        F.when(brand.isNull() & text.isNotNull(), _phrase(quoted, category, color)),
+        i["stated"],
+        _phrase(color, category, i["pattern"], gender),
+    ]
+
+
+def _first_of_each(i: Column, most: int) -> Column:
+    first = F.filter(i["texts"], lambda q, n: (F.array_position(i["plain"], F.get(i["plain"], n)) == n + 1) & F.contains(F.get(i["plain"], n), F.lit(" ")))
+    return F.slice(first, 1, most)
 
 
 def search_queries(item: dict[str, Column], most: int = MOST_QUERIES) -> Column:
@@ -49,25 +74,12 @@ def search_queries(item: dict[str, Column], most: int = MOST_QUERIES) -> Column:
     gender_fit, logo_visible, logo_description, pattern, search_query_es and
     alternative_queries (array). All may be null. Brands are taken as stated, never guessed.
     """
-    brand = F.coalesce(_given(item["visible_brand"]), _given(item["brand_guess"]))
-    category = translated(F.coalesce(_given(item["subcategory"]), _given(item["category"])), CATEGORIES)
-    color = translated(item["color"], COLORS)
-    text = _given(F.trim(item["visible_text"]))
-    quoted = F.concat(F.lit('"'), text, F.lit('"'))
-    gender = F.try_element_at(F.create_map(*[F.lit(x) for pair in GENDERS.items() for x in pair]), item["gender_fit"])
-    described = _given(item["logo_description"])
-    logo = F.when(F.regexp_like(described, F.lit("(?i)manga|sleeve")), "logo sleeve").when(F.regexp_like(described, F.lit("(?i)pecho|chest")), "chest logo").otherwise("logo")
-    pattern = F.when(item["pattern"] != PLAIN_PATTERN, item["pattern"])
-    texts = [
-        F.when(brand.isNotNull() & (F.lower(text) != F.lower(brand)), _phrase(brand, quoted, category, color)),
-        F.when(brand.isNotNull(), _phrase(brand, color, category, gender)),
-        F.when(brand.isNotNull() & item["logo_visible"] & described.isNotNull(), _phrase(brand, color, category, logo)),
-        F.when(brand.isNull() & text.isNotNull(), _phrase(quoted, category, color)),
-        _given(item["search_query_es"]),
-        _phrase(color, category, pattern, gender),
-    ]
-    every = F.concat(F.array(*texts), F.coalesce(item["alternative_queries"], F.array().cast("array<string>")))
-    trimmed = F.filter(F.transform(every, F.trim), lambda q: q.isNotNull())
-    plain = F.transform(trimmed, lambda q: F.lower(F.regexp_replace(q, r"\s+", " ")))
-    first = F.filter(trimmed, lambda q, i: (F.array_position(plain, F.get(plain, i)) == i + 1) & F.contains(F.get(plain, i), F.lit(" ")))
-    return F.slice(first, 1, most)
+    parts = {
+        "brand": F.coalesce(_given(item["visible_brand"]), _given(item["brand_guess"])), "text": _given(F.trim(item["visible_text"])),
+        "category": translated(F.coalesce(_given(item["subcategory"]), _given(item["category"])), CATEGORIES), "color": translated(item["color"], COLORS),
+        "gender": reduce(lambda chain, t: chain.when(item["gender_fit"] == t[0], t[1]), GENDERS.items(), F), "logo_visible": item["logo_visible"], "described": _given(item["logo_description"]),
+        "pattern": F.when(item["pattern"] != PLAIN_PATTERN, item["pattern"]), "stated": _given(item["search_query_es"]), "more": F.coalesce(item["alternative_queries"], F.array().cast("array<string>")),
+    }
+    every = once(parts, lambda i: F.array_compact(F.transform(F.concat(F.array(*_texts(i)), i["more"]), F.trim)))
+    both = once({"texts": every}, lambda i: F.struct(i["texts"].alias("texts"), F.transform(i["texts"], lambda q: F.lower(F.regexp_replace(q, r"\s+", " "))).alias("plain")))
+    return once({"both": both}, lambda i: _first_of_each(i["both"], most))
