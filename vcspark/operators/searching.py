@@ -80,6 +80,6 @@ def search_queries(item: dict[str, Column], most: int = MOST_QUERIES) -> Column:
         "gender": reduce(lambda chain, t: chain.when(item["gender_fit"] == t[0], t[1]), GENDERS.items(), F), "logo_visible": item["logo_visible"], "described": _given(item["logo_description"]),
         "pattern": F.when(item["pattern"] != PLAIN_PATTERN, item["pattern"]), "stated": _given(item["search_query_es"]), "more": F.coalesce(item["alternative_queries"], F.array().cast("array<string>")),
     }
-    every = once(parts, lambda i: F.array_compact(F.transform(F.concat(F.array(*_texts(i)), i["more"]), F.trim)))
+    every = once(parts, lambda i: F.array_compact(F.transform(F.concat(F.array(*_texts(i)), i["more"]), lambda q: F.trim(q))))
     both = once({"texts": every}, lambda i: F.struct(i["texts"].alias("texts"), F.transform(i["texts"], lambda q: F.lower(F.regexp_replace(q, r"\s+", " "))).alias("plain")))
     return once({"both": both}, lambda i: _first_of_each(i["both"], most))
