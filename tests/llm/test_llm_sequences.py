@@ -210,7 +210,7 @@ def test_toxicity_scores_whole_texts_and_edges(model):
     low, high = fitted.scores([long, long + " glorkwump. fizzbratch. glorkwump."])
     assert low < 0.7 <= high
     edges = fitted.scores([None, "", "   ", "?!", "a", "\ud800"[:0] + "\U0001f600" * 50, "glorkwump"])
-    assert ((edges >= 0) & (edges <= 1)).all() and len(set(edges[:4])) == 1
+    assert ((edges >= 0) & (edges <= 1)).all() and len(set(edges[:3])) == 1
     one_by_one = [fitted.scores([t])[0] for t in [long, "glorkwump", None]]
     assert np.allclose(one_by_one, fitted.scores([long, "glorkwump", None]))
 
