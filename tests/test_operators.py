@@ -139,7 +139,7 @@ def test_layers(spark):
     best = extraction.strongest_layers(extraction.page_layers(pages), ["page_id"], "field", "value", "priority")
     assert {(r.field, r.layer, r.value) for r in best.collect()} == {("title", "json_ld", "LD"), ("price", "json_ld", "9.95"), ("currency", "json_ld", "EUR")}
     need = lambda *f: spark.range(1).select(extraction.needs_escalation(F.array(*map(F.lit, f)))).first()[0]
-    assert need("title") and not need("title", "price", "brand", "image", "description", "availability", "sku")
+    assert need("title") and need("title", "price", "currency", "image", "brand", "color") and not need("title", "price", "currency", "image", "brand", "color", "category")
 
 
 def test_readers(spark, tmp_path):
