@@ -1,4 +1,4 @@
-"""Queries over sets of tables: outputs replaced behind one pointer, copies with their comparison, pages merged with evidence."""
+"""Outputs replaced behind one pointer, copies with their comparison, layers merged with evidence, logs tailed, pages read by offset."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from vcspark.operators import extraction
 from vcspark.plans.entities import sql, view
 from vcspark.plans.registry import query, table
-from vcspark.sources import commits, copies
+from vcspark.sources import commits, copies, paged
 from vcspark.sources.shared import new_shared_path
+from vcspark.streaming import tail
 
 _STORED = "job_id, status, job_id % 2 AS revision"
 _FINISHED = "job_id, job_id % 3 AS revision"
@@ -96,3 +97,37 @@ def page_products(spark: SparkSession, d: str) -> DataFrame:
     """Each page's product: its layers merged, with evidence, confidence and whether stronger means are called for."""
     merged = extraction.merge_layers(extraction.page_layers(table(spark, d, "pages")), ["page_id", "url"])
     return merged.withColumn("escalate", extraction.needs_escalation(F.map_keys("fields")))
+
+
+_ENTRY = "user_id AS job_id, event_id AS seq, event_type AS body"
+
+
+@query("SELECT user_id AS job_id, event_id AS seq, event_type AS body, event_id > (SELECT max(event_id) FROM events) * 0.6 AS live FROM events WHERE event_id > 50 AND event_id % 5 <= 2")
+def tailed_logs(spark: SparkSession, d: str) -> DataFrame:
+    """A tail over the log: what is stored of each job, then the stream beyond it."""
+    events = table(spark, d, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    path = new_shared_path(spark, "tail")
+    entries = events.where("event_id % 5 <= 2").selectExpr(*_ENTRY.split(", "))
+    entries.write.parquet(f"{path}/log")
+    anchors = tail.open_tail(entries.where(F.col("seq") <= last * 0.6), path, after=50, limit=None)
+    live = spark.readStream.schema(entries.schema).parquet(f"{path}/log")
+    tail.follow(live, anchors, path, after=50, availableNow=True).awaitTermination()
+    return tail.read_tail(spark, path, entries)
+
+
+@query()
+def log_flushes(spark: SparkSession, d: str) -> DataFrame:
+    """The log's entries by type as jobs, with the flush that carries each."""
+    rows = table(spark, d, "events").select(F.col("event_type").alias("job"), F.col("event_id").alias("seq"), (F.col("event_id") * 7 + F.col("user_id") % 5).cast("long").alias("at_ms"), F.col("props").alias("body"))
+    return tail.flushes(rows).drop("body")
+
+
+@query("SELECT p_partkey, trim(p_name) AS p_name, p_size, p_retailprice FROM part")
+def paged_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Products written as numbered pages of JSON and read back by offset."""
+    spark.dataSource.register(paged.PagedRows)
+    folder = new_shared_path(spark, "pages-by-offset")
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    paged.write_pages(part, "p_partkey", 0, folder)
+    return spark.read.format("paged_rows").schema(part.schema).load(folder)
