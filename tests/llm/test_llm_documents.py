@@ -294,6 +294,37 @@ def test_scores_equal_brute_force(spark, documents):
         assert (got[i].words, got[i].seen) == (n, seen) and got[i].log_score == pytest.approx(score, abs=2e-6 * max(n, 1))
 
 
+@pytest.mark.parametrize("frequent,top,bucket,batch", [(60, 5, 500, 3000), (0, 0, 10**6, 1 << 20), (1 << 20, 2, 300, 1), (1, 1, 2000, 1 << 20)])
+def test_scores_are_the_same_by_every_path(spark, documents, monkeypatch, frequent, top, bucket, batch):
+    """Small tables, so that most words and bigrams come by shuffled rows, many buckets, small batches; null and repeated ids."""
+    from vcspark.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_scoring, "TOP", top)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", bucket)
+    monkeypatch.setattr(lm_scoring, "_BATCH", batch)
+    texts = [d[1] for d in documents[:60]] + [documents[3][1], documents[3][1], "a a a a b", "A b a  b", "once", "", None, "\u00a0 x", "a", "only here twice only here"]
+    ids = [None, 7, None, 7, 2**53 + 1, 2**53, -5, None]
+    rows = [(ids[i] if i < len(ids) else i + 100, t) for i, t in enumerate(texts)]
+    want: dict = {}
+    for (_, n, seen, score), (doc_id, _) in zip([(k, *v) for k, v in lm_rows([(i, t) for i, (_, t) in enumerate(rows)]).items()], rows):
+        a, b, c, m = want.get(doc_id, (0, 0, 0.0, 0))
+        want[doc_id] = (a + n, b + seen, c + score, m + 1)
+    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in got) == {k: v[3] for k, v in want.items()}
+    repeated = {7, None}
+    for r in got:
+        n, seen, score, _ = want[r.doc_id]
+        assert r.words == n and r.seen == seen
+        if r.doc_id not in repeated:  # a repeated id's words outside of it are taken for all its rows together
+            assert r.log_score == pytest.approx(score, abs=2e-6 * max(n, 1))
+        assert r.mean_log_score == (pytest.approx(r.log_score / n) if n else None)
+
+
+def test_score_of_no_rows(empty):
+    assert score_documents(empty).count() == 0
+
+
 def test_score_edges(edges):
     got = [r for r in score_documents(edges).collect()]
     assert all((r.words, r.log_score, r.mean_log_score) == (0, 0.0, None) for r in got if r.doc_id in (1, 2, 3))
