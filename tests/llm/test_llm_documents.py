@@ -294,8 +294,8 @@ def test_scores_equal_brute_force(spark, documents):
         assert (got[i].words, got[i].seen) == (n, seen) and got[i].log_score == pytest.approx(score, abs=2e-6 * max(n, 1))
 
 
-@pytest.mark.parametrize("frequent,top,bucket,batch", [(60, 5, 500, 3000), (0, 0, 10**6, 1 << 20), (1 << 20, 2, 300, 1), (1, 1, 2000, 1 << 20)])
-def test_scores_are_the_same_by_every_path(spark, documents, monkeypatch, frequent, top, bucket, batch):
+@pytest.mark.parametrize("frequent,top,bucket,batch,bits", [(60, 5, 500, 3000, 1 << 20), (0, 0, 10**6, 1 << 20, 1 << 12), (1 << 20, 2, 300, 1, 64), (40, 4, 2000, 1 << 20, 100)])
+def test_scores_are_the_same_by_every_path(spark, documents, monkeypatch, frequent, top, bucket, batch, bits):
     """Small tables, so that most words and bigrams come by shuffled rows, many buckets, small batches; null and repeated ids."""
     from vcspark.llm import lm_scoring
 
@@ -303,6 +303,7 @@ def test_scores_are_the_same_by_every_path(spark, documents, monkeypatch, freque
     monkeypatch.setattr(lm_scoring, "TOP", top)
     monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", bucket)
     monkeypatch.setattr(lm_scoring, "_BATCH", batch)
+    monkeypatch.setattr(lm_scoring, "FILTER_BITS", bits)
     texts = [d[1] for d in documents[:60]] + [documents[3][1], documents[3][1], "a a a a b", "A b a  b", "once", "", None, "\u00a0 x", "a", "only here twice only here"]
     ids = [None, 7, None, 7, 2**53 + 1, 2**53, -5, None]
     rows = [(ids[i] if i < len(ids) else i + 100, t) for i, t in enumerate(texts)]
@@ -321,6 +322,16 @@ def test_scores_are_the_same_by_every_path(spark, documents, monkeypatch, freque
         assert r.mean_log_score == (pytest.approx(r.log_score / n) if n else None)
 
 
+def test_the_filter_holds_its_words(spark):
+    from vcspark.llm import lm_scoring
+
+    words = np.random.default_rng(5).integers(-(2**63), 2**63, 3000)
+    filled = lm_scoring.word_filter(spark.createDataFrame([(int(w),) for w in words[:1000]], "word long").repartition(3))
+    found = lm_scoring._maybe(words.view(np.uint64), filled)
+    assert found[:1000].all() and found[1000:].sum() < 5
+    assert not lm_scoring.word_filter(spark.createDataFrame([], "word long")).any()
+
+
 def test_score_of_no_rows(empty):
     assert score_documents(empty).count() == 0
 

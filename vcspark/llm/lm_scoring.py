@@ -9,8 +9,8 @@ shuffled once: a block of lines (bigram, row, how often the row has it and its w
 each batch of texts and hash bucket. A bucket's task counts each bigram over all its lines
 and joins that count back to them in the same place, so bigrams that occur once go no
 further; the sums return to their documents in blocks too. Words beyond the bounded table,
-and bigrams with such a word, come by shuffled joins of rows, unless all of them occur once
-and so nowhere else.
+and bigrams with such a word, come by shuffled joins of rows; a filter of fixed size, of the
+words there that occur more than once, spares nearly all that occur nowhere else.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ from vcspark.sources.shared import save_shared
 
 BACKOFF = 0.4
 #: Words whose counts go to all tasks, and of these the words whose pairs' counts do.
-FREQUENT, TOP = 1 << 21, 1024
+FREQUENT, TOP = 1 << 21, 512
 #: Words of the corpus for each hash bucket.
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 1_000_000
+#: Bits of the filter of repeated words beyond the table.
+FILTER_BITS = 1 << 27
 MICRO = 1_000_000
 _U = np.uint64
-_BATCH = 8 << 20
+_BATCH = 2 << 20
 _PLACE = _U(32)
 _SUMS = ["part", "unseen", "hits", "words", "rows"]
 
@@ -95,6 +97,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def _positions(words: np.ndarray, slots: int) -> list[np.ndarray]:
+    return [mix(words + _U(seed)) % _U(64 * slots) for seed in (1, 2)]
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``word``; the parts are joined by grouping, what arrives is of fixed size."""
+
+    slots = -(-FILTER_BITS // 64)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at = np.unique(np.concatenate(_positions(part.column("word").to_numpy(zero_copy_only=False).view(_U), slots)))
+            slot = at >> _U(6)
+            first = np.flatnonzero(np.diff(slot, prepend=~slot[:1]))
+            bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([_longs(slot[first]), _longs(bits)], names=["slot", "bits"])
+
+    out = np.zeros(slots, _U)
+    found = words.select("word").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(_U)
+    return out
+
+
+def _maybe(words: np.ndarray, filled: np.ndarray | None) -> np.ndarray:
+    """Whether the filter may hold the words."""
+    if filled is None:
+        return np.zeros(len(words), bool)
+    a, b = ((filled[at >> _U(6)] >> (at & _U(63)) & _U(1)) > 0 for at in _positions(words, len(filled)))
+    return a & b
+
+
 class _Text:
     """A batch's words: ``row`` of each, ``place`` in the table (-1: not in it), ``tf`` in its row, and ``second``, where those begin that follow another."""
 
@@ -148,8 +181,8 @@ def top_pairs(docs: DataFrame, model) -> np.ndarray:
     tops = model.value["tops"]
     out = np.zeros((tops, tops), np.int64)
     if tops:
-        found = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # a row for each pair of top words at most
-        out.reshape(-1)[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+        found = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # a row for each pair of top words at most
+        out.reshape(-1)[found["pair"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -166,14 +199,16 @@ def text_blocks(docs: DataFrame, model, pairs, buckets: int, penalty: int) -> Da
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count, top, tops = (model.value[k] for k in ("words", "counts", "top", "tops"))
-        single, matrix = model.value["single"], pairs.value
+        matrix = pairs.value
         for part in parts:
             for rows in batches(part, "text", _BATCH):
                 text = _Text(rows, table)
                 ids, null = _ids(rows)
                 known = text.place >= 0
                 rest = np.where(known, count[text.place] - text.tf if len(count) else 0, 0)
-                base = np.where(known, _backed_off(rest, penalty), penalty if single else 0)
+                base = np.where(known, _backed_off(rest, penalty), penalty)
+                unknown = np.flatnonzero(~known)
+                base[unknown[_maybe(text.words[unknown], model.value["filter"])]] = 0  # by joined rows
                 every = np.arange(len(text.words))
                 part_sum = text.by_row(every, base) + np.maximum(text.counts - 1, 0) * penalty
                 gone, hits = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
@@ -272,7 +307,10 @@ def document_sums(blocks: DataFrame) -> DataFrame:
 
 
 def rare_lines(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, w1, w2, tf, tf1, tf2, c1, c2): each row's words beyond the table (w1 null) and its bigrams with one; counts are null where the word isn't in the table."""
+    """(doc_id, w1, w2, tf, tf1, tf2, c1, c2): each row's words beyond the table (w1 null) and its bigrams with one; counts are null where the word isn't in the table.
+
+    Words that the filter excludes, and words of the table that no other row has, are left out with their bigrams.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count = model.value["words"], model.value["counts"]
@@ -280,15 +318,19 @@ def rare_lines(docs: DataFrame, model) -> DataFrame:
             for rows in batches(part, "text", _BATCH):
                 text = _Text(rows, table)
                 rare = text.place < 0
+                counted = count[text.place] if len(count) else np.zeros(len(rare), np.int64)
+                useful = np.where(rare, False, counted > text.tf)
                 w = np.flatnonzero(rare)
+                useful[w] = _maybe(text.words[w], model.value["filter"])
+                w = w[useful[w]]
                 order, at, _ = _runs(text.words[w], text.row[w])
                 w = w[order[at]]
                 b = text.second[rare[text.second] | rare[text.second - 1]]
+                b = b[useful[b] & useful[b - 1]]
                 order, at, tf = _runs(text.words[b - 1], text.words[b], text.row[b])
                 b = b[order[at]]
                 one = np.arange(len(w) + len(b)) < len(w)
                 last, before = np.concatenate([w, b]), np.concatenate([w, b - 1])
-                counted = count[text.place] if len(count) else np.zeros(len(rare), np.int64)
                 arrays = [rows.column("doc_id").take(pa.array(text.row[last])), _longs(text.words[before], one), _longs(text.words[last]), _longs(np.concatenate([text.tf[w], tf])), _longs(text.tf[before]), _longs(text.tf[last])]
                 yield pa.RecordBatch.from_arrays([*arrays, _longs(counted[before], one | rare[before]), _longs(counted[last], rare[last])], names=["doc_id", "w1", "w2", "tf", "tf1", "tf2", "c1", "c2"])
 
@@ -334,23 +376,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = save_shared(word_counts(source), "lm-words")
     total = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first().n
-    frequent = most_frequent(words, FREQUENT)
-    common = frequent.toPandas()  # FREQUENT rows at most
-    table, counts = common["word"].to_numpy(np.int64).view(_U), common["count"].to_numpy(np.int64)
+    repeated = words.where("count > 1")  # other words occur nowhere else
+    common = most_frequent(repeated, FREQUENT).select("word", "count").toArrow().combine_chunks()  # FREQUENT rows at most
+    table, counts = common["word"].to_numpy().view(_U), common["count"].to_numpy()
     order = np.argsort(table)
     table, counts = table[order], counts[order]
-    least = int(counts.min()) if len(counts) else 0
-    others = words.where(F.col("count") < least) if least else words
-    single = least == 1 or (others.agg(F.max("count")).first()[0] or 1) == 1  # no word beyond the table occurs twice
+    del common, order
+    beyond = repeated.where(F.col("count") < int(counts.min())) if len(counts) else repeated
+    filled = None if repeated.count() == len(table) else word_filter(beyond)  # None: no word beyond the table occurs twice
     top = np.full(len(table), -1, np.int32)
     most = np.lexsort((table, -counts))[:TOP]
     top[most] = np.arange(len(most))
-    model = context.broadcast({"words": table, "counts": counts, "top": top, "tops": len(most), "single": single})
+    model = context.broadcast({"words": table, "counts": counts, "top": top, "tops": len(most), "filter": filled})
     pairs = context.broadcast(top_pairs(source, model))
     buckets = max(1, -(-total // BUCKET_WORDS))
 
     sums = document_sums(bucket_sums(text_blocks(source, model, pairs, buckets, penalty), model, buckets, penalty))
-    if not single:
+    if filled is not None:
         sums = sums.unionByName(_rare_sums(save_shared(rare_lines(source, model), "lm-rare"), words, penalty)).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in _SUMS])
     rest = micro_log(F.greatest(F.lit(total) - F.col("words"), F.lit(1)))
     log_score = ((F.col("part") - F.col("unseen") * rest) / MICRO).alias("log_score")
