@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import comparable
 from vcspark import plans
-from vcspark.operators import dedup, matching, reports, tracking
+from vcspark.operators import dedup, matching, ranking, reports, tracking
 from vcspark.plans import video
 from vcspark.plans.entities import view
 
@@ -90,6 +90,22 @@ def test_either_key_query_equals_a_plain_fold(spark):
     assert got == sorted(want) and len(got) < sum(map(len, groups.values()))
 
 
+def test_either_key_repeats_go_by_order_whatever_the_partitions(spark):
+    """Ties go by link, domain and title, not by arrival; groups go on from batch to batch, a task folds many."""
+    rows = [(g, 1, link, "d", "T") for g in range(40) for link in ("b", "a")] + [(None, o, None if o % 2 else f"l{o}", "d", f"t{o}") for o in range(9)]
+    rows += [(7, None, "z", "e", "last"), (7, 3, "z", "f", "first")]
+    want = sorted([(str(g), 1, "a") for g in range(40)] + [("None", o, "None" if o % 2 else f"l{o}") for o in (0, 1, 2, 4, 6, 8)] + [("7", 3, "z")])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for given in (rows, rows[::-1]):
+            df = spark.createDataFrame(given, "g long, o int, link string, domain string, title string").repartition(3)
+            kept = ranking.drop_repeats(df, "g", "o")
+            assert sorted((str(r.g), r.o, str(r.link)) for r in kept.collect()) == want
+        assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_boxes_query_equals_brute_force(spark):
     """Within a frame and category, a box stays if no better one that stays covers it by 0.65."""
     got = sorted((r.job_id, r.detection_id) for r in plans.QUERIES["nms_boxes"](spark, SF).collect())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,23 +101,27 @@ def drop_repeats(candidates: DataFrame, group: str, order: str, link: str = "lin
     """Candidates of each group in ``order`` without those whose link, or domain with title, was among earlier kept ones.
 
     A row that is dropped leaves no keys behind, so the outcome depends on the order:
-    it is a fold over each group (one search's candidates, some dozens).
+    it is a fold over each group. Groups are shuffled together and sorted, and a task
+    folds all of its groups in one pass, with the keys of one group in memory. Null
+    links equal each other, null orders come last; rows equal in ``order`` go by link,
+    domain and title.
     """
     keyed = candidates.withColumn("__t", F.concat_ws("|", F.coalesce(F.col(domain), F.lit("null")), F.lower(fold_accents(F.col(title)))))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        keep = []
-        for key_a, key_b in _in_order(rows, order, link):
-            fresh = key_a not in seen and key_b not in seen
-            keep.append(fresh)
-            if fresh:
-                seen.update((key_a, key_b))
-        return rows.sort_values(order, kind="stable")[keep].drop(columns="__t")
-
-    return keyed.groupBy(group).applyInPandas(fold, candidates.schema)
-
-
-def _in_order(rows: pd.DataFrame, order: str, link: str) -> Iterable[tuple[str, str]]:
-    rows = rows.sort_values(order, kind="stable")
-    return zip("l:" + rows[link].astype(str), "t:" + rows["__t"])
+    keyed = keyed.repartition(group).sortWithinPartitions(group, F.col(order).asc_nulls_last(), link, domain, title)
+    names = candidates.columns
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, links, titles = object(), set(), set()
+        for part in parts:
+            keep = []
+            for g, a, b in zip(part.column(group).to_pylist(), part.column(link).to_pylist(), part.column("__t").to_pylist()):
+                if g != now and (g == g or now == now):  # NaN is one group
+                    now, links, titles = g, set(), set()
+                fresh = a not in links and b not in titles
+                keep.append(fresh)
+                if fresh:
+                    links.add(a)
+                    titles.add(b)
+            yield part.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return keyed.mapInArrow(fold, candidates.schema)
