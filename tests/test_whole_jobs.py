@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import comparable
 from vcspark import plans
-from vcspark.operators import dedup, matching, ranking, reports, tracking
+from vcspark.functions.vectors import cosine_raw
+from vcspark.operators import dedup, matching, nearest, ranking, reports, tracking
 from vcspark.plans import video
 from vcspark.plans.entities import view
 
@@ -133,3 +134,34 @@ def test_blocks_of_queries_change_nothing(spark):
     products = rows.withColumnRenamed("query_id", "product_id")
     whole = sorted(map(tuple, matching.match_vectors(rows, products, 5, 0.2).collect()))
     assert whole == sorted(map(tuple, matching.match_vectors_in_blocks(rows, products, 5, 0.2, block=9).collect())) and len(whole) == 300
+
+
+def _vectors(seed: int, n: int, names: list[str | None]) -> list[tuple]:
+    """Vectors with copies, zeros, nulls, other lengths, near ties and numbers that no length can be taken of."""
+    rng = np.random.default_rng(seed)
+    base = np.round(rng.normal(size=(n // 3, 4)), 2)
+    rows = [x.tolist() for x in base] + [x.tolist() for x in base] + [(x + rng.normal(size=4) * 1e-5).tolist() for x in base]
+    rows += [[0.0] * 4, None, [], [1.0, None, 2.0, 3.0], [1.0, 2.0], [float("nan"), 1.0, 1.0, 1.0], [1e200, 1.0, 1.0, 1.0], [1e-200, 0.0, 0.0, 0.0]]
+    return [(i * 7 % 1009, v, names[i % len(names)]) for i, v in enumerate(rows)]
+
+
+def _by_pairs(queries, products, k, least):
+    """The same scores by an expression over every pair."""
+    q, p = queries.toDF("query_id", "qv", "qc"), products.toDF("product_id", "pv", "pc")
+    pairs = p.join(q, (F.size("pv") == F.size("qv")) & (F.col("pc").isNull() | F.col("qc").isNull() | (F.col("pc") == F.col("qc"))))
+    visual = F.greatest(F.lit(0.0), cosine_raw("pv", "qv"))
+    scored = pairs.select("query_id", "product_id", F.round(visual, 4).alias("visual_score"), F.round(0.85 * visual + 0.15, 4).alias("final_score"))
+    return sorted(str(tuple(r)) for r in matching.rank_matches(scored, "query_id", "product_id", k, least).collect())
+
+
+@pytest.mark.parametrize("names", [[None]])
+@pytest.mark.parametrize("least", [0.1, 0.6])
+def test_block_search_equals_every_pair(spark, monkeypatch, names, least):
+    for name, size in (("PRODUCT_BLOCK", 40), ("QUERY_BLOCK", 25), ("CHUNK", 16), ("QUERY_CHUNK", 7), ("CATEGORY_GROUPS", 2)):
+        monkeypatch.setattr(nearest, name, size)
+    products = spark.createDataFrame(_vectors(1, 150, names), "product_id long, vector array<double>, category string")
+    queries = spark.createDataFrame(_vectors(1, 60, names), "query_id long, vector array<double>, category string")
+    found = matching.match_vectors(queries, products, 4, least)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = sorted(str(tuple(r)) for r in found.collect())
+    assert got == _by_pairs(queries, products, 4, least) and len(got) > 200

@@ -11,11 +11,11 @@ from vcspark.functions.hashing import hamming
 from vcspark.functions.taxonomy import canonical_brand, canonical_category, canonical_colour, categories_match, category_family, gender_conflict
 from vcspark.functions.text import norm_strict, text_overlap, tokens
 from vcspark.functions.vectors import cosine_raw
+from vcspark.operators.nearest import nearest
 
 # Weights of picture, text and attributes, by what the query has; defaults of the result.
 WEIGHTS = {"both": (0.6, 0.25, 0.15), "image": (0.85, 0.0, 0.15), "text": (0.0, 0.8, 0.2)}
 MIN_IMAGE_SCORE, MIN_TEXT_SCORE, TOP_K, MOST_K, HASH_DISTANCE, TIE_BAND = 0.82, 0.35, 10, 50, 6, 0.005
-BROADCAST_QUERIES = 200_000
 BLOCK_QUERIES = 100_000
 
 
@@ -129,23 +129,17 @@ def match_products(queries: DataFrame, products: DataFrame, k: int = TOP_K, leas
 def match_vectors(queries: DataFrame, products: DataFrame, k: int = TOP_K, least: float = MIN_IMAGE_SCORE, digits: int = 4) -> DataFrame:
     """(query_id, product_id, visual_score, final_score, rank) by picture vectors within compatible categories.
 
-    ``queries`` (query_id, vector, category) are broadcast after a count: more than
-    ``BROADCAST_QUERIES`` are refused, the caller takes them in blocks. Each product is
-    scored where it is read; only the best of each task are shuffled. Vectors of
-    different length are not compared. Scores are rounded to ``digits``.
+    Blocks of queries and of products meet in tasks, which multiply them and return a
+    block's best; vectors of different length are not compared. Scores are rounded to ``digits``.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries; take them in blocks")
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("qv"), F.col("category").alias("qc"), F.size("vector").alias("qd")))
-    p = products.select("product_id", F.col("vector").alias("pv"), F.col("category").alias("pc"), F.size("vector").alias("pd"))
-    pairs = p.join(q, (F.col("pd") == F.col("qd")) & (F.col("pc").isNull() | F.col("qc").isNull() | (F.col("pc") == F.col("qc"))))
-    visual = F.greatest(F.lit(0.0), cosine_raw("pv", "qv"))
-    scored = pairs.select("query_id", "product_id", F.round(visual, digits).alias("visual_score"), F.round(WEIGHTS["image"][0] * visual + WEIGHTS["image"][2] * F.lit(1.0), digits).alias("final_score"))
+    weight, base = WEIGHTS["image"][0], WEIGHTS["image"][2] * 1.0
+    met = nearest(queries, products, min(k, MOST_K), weight, base, least, digits)
+    scored = met.select("query_id", "product_id", F.round("visual", digits).alias("visual_score"), F.round(weight * F.col("visual") + base, digits).alias("final_score"))
     return rank_matches(scored, "query_id", "product_id", k, least)
 
 
 def match_vectors_in_blocks(queries: DataFrame, products: DataFrame, k: int = TOP_K, least: float = MIN_IMAGE_SCORE, block: int = BLOCK_QUERIES) -> DataFrame:
-    """``match_vectors`` for any number of queries: about ``block`` of them at a time, dealt by the hash of the id, against all products."""
+    """``match_vectors`` in about ``block`` queries at a time, dealt by the hash of the id, against all products."""
     blocks = max(1, -(-queries.count() // block))
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     return reduce(DataFrame.unionByName, [match_vectors(queries.where(part == b), products, k, least) for b in range(blocks)])
