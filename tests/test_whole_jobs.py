@@ -154,7 +154,7 @@ def _by_pairs(queries, products, k, least):
     return sorted(str(tuple(r)) for r in matching.rank_matches(scored, "query_id", "product_id", k, least).collect())
 
 
-@pytest.mark.parametrize("names", [[None]])
+@pytest.mark.parametrize("names", [[None], ["a", "b", None, "c"]])
 @pytest.mark.parametrize("least", [0.1, 0.6])
 def test_block_search_equals_every_pair(spark, monkeypatch, names, least):
     for name, size in (("PRODUCT_BLOCK", 40), ("QUERY_BLOCK", 25), ("CHUNK", 16), ("QUERY_CHUNK", 7), ("CATEGORY_GROUPS", 2)):
