@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import comparable
 from vcspark import plans
+from vcspark.functions.taxonomy import identity_key
 from vcspark.functions.vectors import cosine_raw
 from vcspark.operators import dedup, matching, nearest, ranking, reports, tracking
 from vcspark.plans import video
@@ -165,3 +167,48 @@ def test_block_search_equals_every_pair(spark, monkeypatch, names, least):
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
     got = sorted(str(tuple(r)) for r in found.collect())
     assert got == _by_pairs(queries, products, 4, least) and len(got) > 200
+
+
+_ROW = "id long, source string, source_product_id string, canonical_url string, image_sha256 string, sku string, gtin string, brand string, title string, color string, perceptual_hash string, embedding array<double>"
+
+
+def test_ladder_equals_every_pair(spark):
+    """Every level and its guard, with nulls, against a look at each pair."""
+    r = random.Random(3)
+    pick = lambda values, share: r.choice(values) if r.random() < share else None
+    hashes = [f"{r.getrandbits(64):016x}" for _ in range(6)]
+    close = lambda h: h and f"{int(h, 16) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)):016x}"
+    axes = [[r.gauss(0, 1) for _ in range(6)] for _ in range(8)]
+    near = lambda v: v and [x + r.gauss(0, 0.03) for x in v] if r.random() < 0.7 else v
+
+    def made(ids):
+        return [(i, pick("abc", 0.9), pick("1234567", 0.6), pick([f"u{n}" for n in range(300)], 0.3), pick([f"i{n}" for n in range(300)], 0.3), pick([f"k{n}" for n in range(200)], 0.3), pick([f"g{n}" for n in range(300)], 0.3),
+                 pick(["x", "y"], 0.9), pick(["t", "u", "w"], 0.9), pick(["red", "blue"], 0.9), close(pick(hashes, 0.3)), near(pick(axes, 0.4))) for i in ids]
+
+    products, wanted = made(range(100, 180)), made(range(1, 150))
+    p, c = (spark.createDataFrame(x, _ROW) for x in (products, wanted))
+    keys = {(n, r.id): r.k for n, t in (("c", c), ("p", p)) for r in t.select("id", identity_key("brand", "title", "color").alias("k")).collect()}
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    want = {}
+    for a in wanted:
+        for b in products:
+            same = lambda n: a[n] is not None and a[n] == b[n]  # noqa: E731,B023
+            apart = same(1) and a[2] is not None and b[2] is not None and a[2] != b[2] and not same(5) and not same(6)
+            n = 0 if same(1) and same(2) else 1 if same(3) else 2 if same(4) else 3 if same(5) or same(6) else None
+            if n is None and not apart:
+                n = 4 if a[10] and b[10] and (int(a[10], 16) ^ int(b[10], 16)).bit_count() <= 6 else 5 if a[11] and b[11] and cosine(a[11], b[11]) >= 0.96 else 6 if keys["c", a[0]] is not None and keys["c", a[0]] == keys["p", b[0]] else None
+            if n is not None:
+                want[a[0]] = min(want.get(a[0], (9, 0)), (n, b[0]))
+    got = {x.candidate_id: (dedup.LEVELS.index(x.level), x.product_id) for x in dedup.find_duplicates(c, p).collect()}
+    assert got == want and {n for n, _ in got.values()} == set(range(7))
+
+
+def test_ladder_makes_no_pairs_of_a_common_key(spark):
+    """Twenty thousand candidates and as many products under one name, hash and vector."""
+    rows = spark.range(40_000).selectExpr("id", "cast(id % 2 AS string) AS source", "cast(id AS string) AS source_product_id", *[f"cast(null AS string) AS {c}" for c in ("canonical_url", "image_sha256", "sku", "gtin")], "'x' AS brand", "'t' AS title", "'red' AS color", "'00ff00ff00ff00ff' AS perceptual_hash", "array(1.0D, 2.0D) AS embedding")
+    c, p = rows.where("id % 4 < 2"), rows.where("id % 4 >= 2")
+    found = dedup.find_duplicates(c, p)
+    assert {tuple(r) for r in found.groupBy(F.col("candidate_id") % 4, "product_id", "level").count().collect()} == {(0, 3, "perceptual_hash", 10_000), (1, 2, "perceptual_hash", 10_000)}

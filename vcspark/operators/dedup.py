@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vcspark.functions.hashing import bands, hex_half
@@ -108,41 +108,68 @@ def near_vector_pairs(left: DataFrame, right: DataFrame, least: float = VECTOR_S
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(multiply, "left_id long, right_id long, similarity double")
 
 
-def _different_product() -> Column:
-    """Same source but another product id and no common sku or gtin: the shop says they differ."""
-    col = F.col
-    shared = F.coalesce(col("p_sku") == col("c_sku"), F.lit(False)) | F.coalesce(col("p_gtin") == col("c_gtin"), F.lit(False))
-    return F.coalesce((col("p_source") == col("c_source")) & (col("p_source_product_id") != col("c_source_product_id")) & ~shared, F.lit(False))
+def _choices(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of ``rows`` (keys, shop, id), at most three for a key: the smallest id without a shop, and those of the two shops whose smallest ids are smallest.
+
+    Among them is the smallest id that is not of one given shop, whichever it is.
+    """
+    least = rows.groupBy(*keys, "shop").agg(F.min("id").alias("id"))
+    order = Window.partitionBy(*keys, F.col("shop").isNull()).orderBy("id", "shop")
+    return least.withColumn("__r", F.row_number().over(order)).where("__r <= 2").drop("__r")
 
 
 def find_duplicates(candidates: DataFrame, catalogue: DataFrame, exact_only: bool = False) -> DataFrame:
     """(candidate_id, product_id, level): the strongest level at which each candidate has a product.
 
     Both have id, source, source_product_id, canonical_url, image_sha256, sku, gtin,
-    brand, title, color, perceptual_hash, and may have embedding. Each level is an
-    equi-join (hash distance and cosine by blocks); of equal levels the smallest product
-    id counts, and candidates without a product don't appear. Null keys match nothing.
+    brand, title, color, perceptual_hash, and may have embedding. Of equal levels the
+    smallest product id counts, and candidates without a product don't appear. Null keys
+    match nothing. From the perceptual hash on, a product of the candidate's shop is
+    another product: the shop's number, sku and gtin have been compared before, and only
+    candidates that no stronger level has settled go on.
+
+    No level makes the pairs of a key: a key, hash or vector brings at most three
+    products, and near ones are found among distinct hashes and vectors.
     """
     col = F.col
-    c, p = (t.select(*[col(x).alias(f"{s}_{x}") for x in t.columns], identity_key("brand", "title", "color").alias(f"{s}_key")) for s, t in (("c", candidates), ("p", catalogue)))
+    shop = F.when(col("source_product_id").isNotNull(), col("source")).alias("shop")
+
+    def exact(number: int, *names: str) -> DataFrame:
+        smallest = catalogue.groupBy(*names).agg(F.min("id").alias("product_id"))
+        return candidates.select(col("id").alias("candidate_id"), *names).join(smallest, list(names)).select("candidate_id", F.lit(number).alias("n"), "product_id")
+
+    def strongest(found: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, found).groupBy("candidate_id").agg(F.min(F.struct("n", "product_id")).alias("b"))
 
-    def level(number: int, *names: str, guard: bool = False) -> DataFrame:
-        pairs = c.join(p, reduce(lambda a, b: a & b, [col(f"p_{n}") == col(f"c_{n}") for n in names]))
-        pairs = pairs.where(~_different_product()) if guard else pairs
-        return pairs.select(col("c_id").alias("candidate_id"), col("p_id").alias("product_id"), F.lit(number).alias("n"))
+    def chosen(number: int, rows: DataFrame, choices: DataFrame, key: str) -> DataFrame:
+        """The smallest product under the candidates' (id, shop, key) that isn't of their shop."""
+        choices = choices.select(key, col("shop").alias("p_shop"), col("id").alias("product_id"))
+        met = rows.join(choices, key).where(~F.coalesce(col("shop") == col("p_shop"), F.lit(False)))
+        return met.groupBy(col("id").alias("candidate_id")).agg(F.min("product_id").alias("product_id")).select("candidate_id", F.lit(number).alias("n"), "product_id")
 
-    found = [level(0, "source", "source_product_id"), level(1, "canonical_url"), level(2, "image_sha256"), level(3, "sku"), level(3, "gtin")]
+    found = [exact(0, "source", "source_product_id"), exact(1, "canonical_url"), exact(2, "image_sha256"), exact(3, "sku"), exact(3, "gtin")]
     if not exact_only:
-        near = near_hash_pairs(candidates.select("id", col("perceptual_hash").alias("hash")), catalogue.select("id", col("perceptual_hash").alias("hash")))
-        pairs = near.join(c, col("left_id") == col("c_id")).join(p, col("right_id") == col("p_id")).where(~_different_product())
-        found.append(pairs.select(col("c_id").alias("candidate_id"), col("p_id").alias("product_id"), F.lit(4).alias("n")))
+        found = [save_shared(strongest(found).select("candidate_id", "b.*"), "dedup-exact")]
+        left = candidates.join(found[0], col("id") == col("candidate_id"), "left_anti")
+        rows = left.select("id", shop, col("perceptual_hash").alias("hash")).where(F.length("hash") == 16)
+        choices = save_shared(_choices(catalogue.select("id", shop, col("perceptual_hash").alias("hash")).where(F.length("hash") == 16), ["hash"]), "dedup-hashes")
+        asked, held = (t.select(col("hash").alias("id"), "hash").distinct() for t in (rows, choices))
+        near = near_hash_pairs(asked, held).select(col("left_id").alias("asked"), col("right_id").alias("hash")).join(choices, "hash")
+        near = _choices(near.select(col("asked").alias("hash"), "shop", "id"), ["hash"])
+        found.append(save_shared(chosen(4, rows, near, "hash"), "dedup-near"))
+        left = left.join(found[1], col("id") == col("candidate_id"), "left_anti")
         if "embedding" in candidates.columns and "embedding" in catalogue.columns:
-            alike = near_vector_pairs(candidates.select("id", col("embedding").alias("v")), catalogue.select("id", col("embedding").alias("v")))
-            pairs = alike.join(c.drop("c_embedding"), col("left_id") == col("c_id")).join(p.drop("p_embedding"), col("right_id") == col("p_id")).where(~_different_product())
-            found.append(pairs.select(col("c_id").alias("candidate_id"), col("p_id").alias("product_id"), F.lit(5).alias("n")))
-        found.append(level(6, "key", guard=True))
-    every = reduce(DataFrame.unionByName, found)
-    best = every.groupBy("candidate_id").agg(F.min(F.struct("n", "product_id")).alias("b"))
+            rows = left.where("embedding is not null").select("id", shop, col("embedding").alias("v"))
+            choices = save_shared(_choices(catalogue.where("embedding is not null").select("id", shop, col("embedding").alias("v")), ["v"]), "dedup-vectors")
+            asked, held = (save_shared(t.groupBy("v").agg(F.min("id").alias("id")), "dedup-distinct") for t in (rows, choices))
+            alike = near_vector_pairs(asked, held).select("left_id", "right_id")
+            near = alike.join(held.select(col("id").alias("right_id"), "v"), "right_id").join(choices, "v").select("left_id", "shop", "id")
+            rows = rows.join(asked.select("v", col("id").alias("left_id")), "v").select("id", "shop", "left_id")
+            found.append(save_shared(chosen(5, rows, _choices(near, ["left_id"]), "left_id"), "dedup-alike"))
+            left = left.join(found[2], col("id") == col("candidate_id"), "left_anti")
+        named = identity_key("brand", "title", "color").alias("key")
+        found.append(chosen(6, left.select("id", shop, named), _choices(catalogue.select("id", shop, named).where("key is not null"), ["key"]), "key"))
+    best = strongest(found)
     return best.select("candidate_id", col("b.product_id").alias("product_id"), F.array(*map(F.lit, LEVELS))[col("b.n")].alias("level"))
 
 
