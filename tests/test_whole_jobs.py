@@ -212,3 +212,8 @@ def test_ladder_makes_no_pairs_of_a_common_key(spark):
     c, p = rows.where("id % 4 < 2"), rows.where("id % 4 >= 2")
     found = dedup.find_duplicates(c, p)
     assert {tuple(r) for r in found.groupBy(F.col("candidate_id") % 4, "product_id", "level").count().collect()} == {(0, 3, "perceptual_hash", 10_000), (1, 2, "perceptual_hash", 10_000)}
+
+
+def test_full_match_normalises_no_text_for_a_pair(spark):
+    plan = plans.QUERIES["full_product_match"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan and "regexp_replace" not in plan
