@@ -217,3 +217,17 @@ def test_ladder_makes_no_pairs_of_a_common_key(spark):
 def test_full_match_normalises_no_text_for_a_pair(spark):
     plan = plans.QUERIES["full_product_match"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" in plan and "regexp_replace" not in plan
+
+
+def test_boxes_of_many_frames_go_in_one_pass(spark):
+    """Frames go on from batch to batch, null and odd confidences come last; no call for each frame."""
+    box = lambda g, i, c, x=0.1: (g, i, c, "K", x, 0.1, 0.3, 0.3)
+    rows = [box(g, i, c) for g in (None, *range(30)) for i, c in ((1, 0.2), (2, 0.9), (3, None), (4, float("nan")), (5, 0.9))] + [box(3, 9, 0.1, 0.6), box(3, 8, 0.1, -1.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.createDataFrame(rows, "g long, detection_id long, confidence double, category string, x double, y double, width double, height double").repartition(3)
+        kept = tracking.suppress_boxes(df, ["g"])
+        assert sorted((str(r.g), r.detection_id) for r in kept.collect()) == sorted([(str(g), 2) for g in (None, *range(30))] + [("3", 8), ("3", 9)])
+        assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

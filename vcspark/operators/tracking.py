@@ -6,6 +6,7 @@ A job is one video: its detections are bounded by the video, so a group fits a t
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from itertools import groupby
 from types import SimpleNamespace
 from typing import Any
@@ -113,22 +114,32 @@ def assign_tracks(detections: DataFrame, job: str = "job_id") -> DataFrame:
 def suppress_boxes(detections: DataFrame, frame: list[str], least: float = DUPLICATE_IOU) -> DataFrame:
     """Per frame and category, boxes that overlap a more confident one by ``least`` go; invalid boxes stay.
 
-    Equal confidence: the smaller detection_id counts as the more confident.
+    Equal confidence: the smaller detection_id counts as the more confident. Frames are
+    shuffled together and sorted, a task goes through all of its frames in one pass.
     """
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows, seen = _in_order(rows, [("confidence", "descending"), ("detection_id", "ascending")])
-        kept: list[tuple[str, Box]] = []
-        keep = []
-        for row in seen:
-            box, kind = _box(row), str(row.category or "").lower().strip()
-            good = box is None or not any(k == kind and box_iou(b, box) >= least for k, b in kept)
-            keep.append(good)
-            if good and box is not None:
-                kept.append((kind, box))
-        return rows.filter(pa.array(keep))
-
-    return detections.groupBy(*frame).applyInArrow(run, detections.schema)
+    looked = ["category", "x", "y", "width", "height"]
+    strength = [F.col("confidence").isNull(), F.isnan("confidence"), F.col("confidence").desc()]
+    ordered = detections.repartition(*frame).sortWithinPartitions(*frame, *strength, F.col("detection_id").asc_nulls_last())
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        kept: dict[str, list[Box]] = {}
+        for part in parts:
+            keep = []
+            at = zip(*(part.column(c).to_pylist() for c in frame))
+            for place, category, x, y, w, h in zip(at, *(part.column(c).to_pylist() for c in looked)):
+                place = tuple("NaN" if v != v else v for v in place)
+                if place != now:
+                    now, kept = place, {}
+                box = _box(SimpleNamespace(x=x, y=y, width=w, height=h))
+                held = kept.setdefault(str(category or "").lower().strip(), [])
+                good = box is None or not any(box_iou(b, box) >= least for b in held)
+                keep.append(good)
+                if good and box is not None:
+                    held.append(box)
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, detections.schema)
 
 
 def identity_pairs(tracks: DataFrame, job: str = "job_id") -> DataFrame:
