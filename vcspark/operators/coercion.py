@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vcspark.functions.text import parse_price, section_currency, section_price, url_domain
@@ -29,20 +29,31 @@ def stated(value: Column) -> Column:
     return F.when((v != "") & ~v.rlike(PLACEHOLDER), v)
 
 
-def section_row(doc: Column, exact: Column) -> dict[str, Column]:
-    """A row of a result section (a variant) by its fields' aliases; title or link null means that the row is to be discarded."""
-    link = _text(doc, "$.link", "$.url", "$.product_link", "$.source_url")
-    raw = F.coalesce(F.try_variant_get(doc, "$.extracted_price", "string"), F.try_variant_get(doc, "$.price", "string"))
-    whole = F.schema_of_variant(F.variant_get(doc, "$.price", "variant")).startswith("OBJECT")
-    nested = F.coalesce(F.try_variant_get(doc, "$.price.extracted_value", "double"), F.try_variant_get(doc, "$.price.value", "double"))
-    plain = F.when(raw.rlike(r"^-?\d+(\.\d+)?$"), raw.try_cast("double")).otherwise(section_price(raw))
+def section_fields(doc: Column) -> dict[str, Column]:
+    """What a row of a result section (a variant) says under its fields' aliases, to be held before ``section_row`` uses it."""
     return {
         "title": _text(doc, "$.title", "$.name"),
-        "link": link,
-        "store": F.coalesce(_text(doc, "$.source", "$.merchant.name", "$.seller"), url_domain(link)),
+        "link": _text(doc, "$.link", "$.url", "$.product_link", "$.source_url"),
+        "store": _text(doc, "$.source", "$.merchant.name", "$.seller"),
         "image_url": _text(doc, "$.thumbnail", "$.image.link", "$.image.url", "$.image.src", "$.image_url"),
-        "price": F.when(F.coalesce(whole, F.lit(False)), nested).otherwise(plain),
-        "currency": F.coalesce(F.when(F.coalesce(whole, F.lit(False)), _text(doc, "$.price.currency")).otherwise(section_currency(raw)), _text(doc, "$.currency")),
+        "priced": F.coalesce(F.try_variant_get(doc, "$.extracted_price", "string"), F.try_variant_get(doc, "$.price", "string")),
+        "whole": F.coalesce(F.schema_of_variant(F.variant_get(doc, "$.price", "variant")).startswith("OBJECT"), F.lit(False)),
+        "nested": F.coalesce(F.try_variant_get(doc, "$.price.extracted_value", "double"), F.try_variant_get(doc, "$.price.value", "double")),
+        "nested_currency": _text(doc, "$.price.currency"),
+        "stated_currency": _text(doc, "$.currency"),
+    }
+
+
+def section_row(f: Column, exact: Column) -> dict[str, Column]:
+    """A row of a result section by its ``section_fields`` (a struct); title or link null means that the row is to be discarded."""
+    plain = F.when(f["priced"].rlike(r"^-?\d+(\.\d+)?$"), f["priced"].try_cast("double")).otherwise(section_price(f["priced"]))
+    return {
+        "title": f["title"],
+        "link": f["link"],
+        "store": F.coalesce(f["store"], url_domain(f["link"])),
+        "image_url": f["image_url"],
+        "price": F.when(f["whole"], f["nested"]).otherwise(plain),
+        "currency": F.coalesce(F.when(f["whole"], f["nested_currency"]).otherwise(section_currency(f["priced"])), f["stated_currency"]),
         "exact": exact,
     }
 
@@ -59,18 +70,22 @@ def recommendation_row(doc: Column) -> dict[str, Column]:
     }
 
 
-def extraction_row(doc: Column) -> dict[str, Column]:
-    """A model's extraction (a variant): kind product, listing or unknown, placeholders null, no negative price, confidence within 0..1 (0.5 if none is stated); a listing says nothing of a product."""
-    kind = F.coalesce(F.try_variant_get(doc, "$.productType", "string"), F.lit(""))
-    kind = F.when(kind.isin("product", "listing"), kind).otherwise("unknown")
-    own = lambda x: F.when(kind != "listing", x)
-    price = parse_price(F.try_variant_get(doc, "$.price", "string"))
+def extraction_fields(doc: Column) -> dict[str, Column]:
+    """What a model's extraction (a variant) says, to be held before ``extraction_row`` uses it."""
+    said = {"kind": "$.productType", "title": "$.title", "brand": "$.brand", "confidence": "$.confidence"}
+    return {name: F.try_variant_get(doc, path, "string") for name, path in said.items()} | {"amount": parse_price(F.try_variant_get(doc, "$.price", "string"))}
+
+
+def extraction_row(f: Column) -> dict[str, Column]:
+    """An extraction by its ``extraction_fields`` (a struct): kind product, listing or unknown, placeholders null, no negative price, confidence within 0..1 (0.5 if none is stated); a listing says nothing of a product."""
+    kind = F.when(f["kind"].isin("product", "listing"), f["kind"]).otherwise("unknown")
+    own = lambda x: F.when(~f["kind"].eqNullSafe("listing"), x)
     return {
         "kind": kind,
-        "title": own(stated(F.try_variant_get(doc, "$.title", "string"))),
-        "brand": own(stated(F.try_variant_get(doc, "$.brand", "string"))),
-        "price": own(F.when(price >= 0, price)),
-        "confidence": _unit(F.try_variant_get(doc, "$.confidence", "string").try_cast("double"), 0.5),
+        "title": own(stated(f["title"])),
+        "brand": own(stated(f["brand"])),
+        "price": own(F.when(f["amount"] >= 0, f["amount"])),
+        "confidence": _unit(f["confidence"].try_cast("double"), 0.5),
     }
 
 
@@ -82,3 +97,13 @@ def best_by_hysteresis(entries: Column, factor: float = 1.15) -> Column:
 
 def columns(fields: dict[str, Column]) -> list[Column]:
     return reduce(lambda out, p: [*out, p[1].alias(p[0])], fields.items(), [])
+
+
+def held(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with the values as columns, each worked out once a row.
+
+    The optimiser puts the expression of a plain column into each filter on it, and there
+    into each place that uses it; it doesn't look through an exploded array of one.
+    """
+    made = F.explode(F.array(F.struct(*columns(values)))).alias("__held")
+    return rows.select("*", made).select(*rows.columns, *[F.col("__held")[n].alias(n) for n in values])

@@ -32,8 +32,9 @@ def section_rows(spark: SparkSession, d: str) -> DataFrame:
         c("pos") % 3 == 2,
         _json(name=c("title"), product_link=c("link"), seller=c("store"), image=F.struct(c("image_url").alias("url")), price=F.when(c("price").isNotNull(), F.struct(c("price").alias("value"), F.lit("GBP").alias("currency")))),
     ).otherwise(_json(title=c("title"), link=F.when(c("pos") != 6, c("link")), source=c("store"), thumbnail=c("image_url"), price=F.coalesce(at(1, F.concat(F.lit("desde "), whole, F.lit(" €"))), at(0, whole.cast("string")))))
-    rows = view(spark, d, "candidates").select("query_id", "pos", *coercion.columns(coercion.section_row(doc, c("exact"))))
-    return rows.where("title is not null and link is not null")
+    docs = coercion.held(view(spark, d, "candidates"), doc=doc)
+    rows = coercion.held(docs.select("query_id", "pos", "exact", "doc"), f=F.struct(*coercion.columns(coercion.section_fields(c("doc")))))
+    return rows.where("f.title is not null and f.link is not null").select("query_id", "pos", *coercion.columns(coercion.section_row(c("f"), c("exact"))))
 
 
 @query(
@@ -48,7 +49,7 @@ def recommendation_rows(spark: SparkSession, d: str) -> DataFrame:
     k = c("product_id")
     similarity = F.when(c("pos") % 3 == 1, (k % 100 + 2).cast("double")).when(c("pos") % 3 == 2, k % 10 / 10)
     doc = _json(title=F.concat(F.lit("  "), c("title")), brand=c("brand"), approx_price_eur=F.when(c("pos") % 2 == 0, c("price")).otherwise(F.lit(-1.0)), similarity=similarity)
-    return view(spark, d, "candidates").select("query_id", "pos", "product_id", *coercion.columns(coercion.recommendation_row(doc)))
+    return coercion.held(view(spark, d, "candidates"), doc=doc).select("query_id", "pos", "product_id", *coercion.columns(coercion.recommendation_row(c("doc"))))
 
 
 @query(
@@ -66,7 +67,9 @@ def extraction_rows(spark: SparkSession, d: str) -> DataFrame:
         productType=F.get(F.array(F.lit("product"), F.lit("listing"), F.lit("other")), p.cast("int")), title=F.concat(c("title"), F.lit(" ")), brand=F.coalesce("brand", F.lit("N/A")), price=price,
         confidence=F.get(F.array(F.lit("7"), F.lit("0.25"), F.lit("high")), p.cast("int")),
     )
-    return view(spark, d, "candidates").select("query_id", "pos", "product_id", *coercion.columns(coercion.extraction_row(doc)))
+    docs = coercion.held(view(spark, d, "candidates"), doc=doc)
+    rows = coercion.held(docs, f=F.struct(*coercion.columns(coercion.extraction_fields(c("doc")))))
+    return rows.select("query_id", "pos", "product_id", *coercion.columns(coercion.extraction_row(c("f"))))
 
 
 @query(
