@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,15 +53,23 @@ def text_overlap(query: Column | str, *fields: Column | str) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, held)) / F.size(q))
 
 
+def once(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """``use`` of the values as fields of one struct, which is evaluated once however often they are used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), F.lit(0))
+
+
 def parse_price(x: Column | str) -> Column:
     """A price in European or US notation as a double; null where there is none."""
-    cleaned = F.regexp_replace(x, r"[^\d.,-]", "")
-    comma = F.length(cleaned) - F.instr(F.reverse(cleaned), ",")
-    dot = F.length(cleaned) - F.instr(F.reverse(cleaned), ".")
-    comma, dot = F.when(F.contains(cleaned, F.lit(",")), comma).otherwise(-1), F.when(F.contains(cleaned, F.lit(".")), dot).otherwise(-1)
-    first_comma = F.regexp_replace(F.replace(cleaned, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")
-    plain = F.when(comma > dot, first_comma).otherwise(F.replace(cleaned, F.lit(","), F.lit("")))
-    return F.when(plain.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+
+    def plain(cleaned: Column) -> Column:
+        comma = F.length(cleaned) - F.instr(F.reverse(cleaned), ",")
+        dot = F.length(cleaned) - F.instr(F.reverse(cleaned), ".")
+        comma, dot = F.when(F.contains(cleaned, F.lit(",")), comma).otherwise(-1), F.when(F.contains(cleaned, F.lit(".")), dot).otherwise(-1)
+        first_comma = F.regexp_replace(F.replace(cleaned, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")
+        return F.when(comma > dot, first_comma).otherwise(F.replace(cleaned, F.lit(","), F.lit("")))
+
+    number = once({"text": F.regexp_replace(x, r"[^\d.,-]", "")}, lambda i: plain(i["text"]))
+    return once({"text": number}, lambda i: F.when(i["text"].rlike(r"^-?(\d+\.?\d*|\.\d+)$"), i["text"].try_cast("double")))
 
 
 #: Currency codes and signs that are taken as they are.
