@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from vcspark import plans
+from vcspark.operators import dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +16,19 @@ def test_documents_are_parsed_once_a_row(spark, name):
     """Neither the fields nor the filter repeat the document that they are read from: it was parsed up to forty times a row."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("parse_json") + plan.count("parseJson") <= 2
+
+
+def test_vectors_are_sent_to_few_blocks_however_many_there_are(spark, monkeypatch):
+    """Blocks grow with the table, so copies of a row don't; 400 rows in blocks of at least four made over a hundred blocks. All pairs stay."""
+    made = {}
+    save = dedup.save_shared
+    monkeypatch.setattr(dedup, "save_shared", lambda df, name: made.setdefault(name, save(df, name)))
+    monkeypatch.setattr(dedup, "VECTOR_BLOCK", 4)
+    monkeypatch.setattr(dedup, "VECTOR_CHUNK", 9)
+    v = np.random.default_rng(3).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {(r.left_id, r.right_id) for r in dedup.near_vector_pairs(df, df, 0.7).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(unit @ unit.T >= 0.7))))
+    cells = made["vector-blocks"].collect()
+    assert sum(r.na for r in cells) <= dedup.VECTOR_BLOCKS + len(cells)

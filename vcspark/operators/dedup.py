@@ -7,18 +7,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vcspark.functions.hashing import bands, hex_half
 from vcspark.functions.taxonomy import identity_key
+from vcspark.operators.nearest import matrix
 from vcspark.operators.skew import salted_join
 from vcspark.sources.shared import save_shared
 
 # Levels from strong to weak, largest hash distance, least vector similarity.
 LEVELS = ["source_product_id", "canonical_url", "exact_image_hash", "sku_gtin", "perceptual_hash", "embedding", "brand_title_color"]
 HASH_DISTANCE, VECTOR_SIMILARITY = 6, 0.96
-VECTOR_BLOCK = 4096
+#: Rows of a block of vectors, at least and at most, blocks that a table is cut into between them, rows of two blocks that are multiplied at once.
+VECTOR_BLOCK, MOST_VECTORS, VECTOR_BLOCKS, VECTOR_CHUNK = 4096, 131_072, 8, 2048
 
 
 def near_hash_pairs(left: DataFrame, right: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
@@ -63,8 +66,10 @@ def near_vector_pairs(left: DataFrame, right: DataFrame, least: float = VECTOR_S
     Two unit vectors that close differ in their angle to any third by no more than the
     angle of ``least``; so vectors are dealt by the angle to two fixed directions, in
     steps of that angle, and meet only those of the same and the neighbouring steps.
-    Those of one step meet in blocks of about ``VECTOR_BLOCK``: a task multiplies two
-    blocks and returns the pairs found. Null and zero vectors have none.
+    Those of one step meet in blocks, which grow with the table from ``VECTOR_BLOCK`` to
+    ``MOST_VECTORS`` rows, so that a row is sent to about ``VECTOR_BLOCKS`` others however
+    many rows there are up to a million; a task multiplies two blocks piece by piece and
+    returns the pairs found. Null and zero vectors have none.
     """
     step = float(np.arccos(least))
 
@@ -84,28 +89,39 @@ def near_vector_pairs(left: DataFrame, right: DataFrame, least: float = VECTOR_S
         rows = rows.mapInPandas(placed, "id long, dim int, v array<double>, s0 int, s1 int")
         return save_shared(rows, "vector-steps")
 
-    def blocks(t: DataFrame, n: str) -> DataFrame:
-        return t.groupBy("dim", "s0", "s1").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias(n))
+    def blocks(t: DataFrame, n: str, block: int) -> DataFrame:
+        return t.groupBy("dim", "s0", "s1").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
 
-    a, b = side(left), side(right)
+    same = left is right
+    a = side(left)
+    b = a.sparkSession.read.schema(a.schema).parquet(a._shared_path) if same else side(right)
+    block = lambda t: min(max(VECTOR_BLOCK, -(-t.count() // VECTOR_BLOCKS)), MOST_VECTORS)
+    of_a, of_b = block(a), block(b)
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     # the right side's rows go to the steps around their own, if the left side has such a step
     b = b.withColumn("d0", near).withColumn("d1", near).withColumn("s0", F.col("s0") + F.col("d0")).withColumn("s1", F.col("s1") + F.col("d1")).drop("d0", "d1")
-    sizes = save_shared(blocks(a, "na").join(blocks(b, "nb"), ["dim", "s0", "s1"]), "vector-blocks")
+    sizes = save_shared(blocks(a, "na", of_a).join(blocks(b, "nb", of_b), ["dim", "s0", "s1"]), "vector-blocks")
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["dim", "s0", "s1", "ba", "bb"]
     a = a.join(sizes, ["dim", "s0", "s1"]).withColumn("ba", number("na")).withColumn("bb", every("nb")).select(*keys, "id", "v")
     b = b.join(sizes, ["dim", "s0", "s1"]).withColumn("bb", number("nb")).withColumn("ba", every("na")).select(*keys, "id", "v")
 
-    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
-        cosine = np.stack(x.v.to_numpy()) @ np.stack(y.v.to_numpy()).T
-        i, j = np.nonzero(cosine >= least)
-        return pd.DataFrame({"left_id": x.id.to_numpy()[i], "right_id": y.id.to_numpy()[j], "similarity": cosine[i, j]})
-
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(multiply, "left_id long, right_id long, similarity double")
+    def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        if len(x) and len(y):
+            v, w = matrix(x.column("v"), len(x)), matrix(y.column("v"), len(y))
+            for i in range(0, len(v), VECTOR_CHUNK):
+                for j in range(0, len(w), VECTOR_CHUNK):
+                    cosine = v[i : i + VECTOR_CHUNK] @ w[j : j + VECTOR_CHUNK].T
+                    at = np.flatnonzero(cosine >= least)
+                    r, c = np.divmod(at, cosine.shape[1])
+                    for held, part in zip(found, (r + i, c + j, cosine.ravel()[at])):
+                        held.append(part)
+        r, c, cosine = map(np.concatenate, found)
+        return pa.table([x.column("id").take(r), y.column("id").take(c), pa.array(cosine)], names=["left_id", "right_id", "similarity"])
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(multiply, "left_id long, right_id long, similarity double")
 
 
 def _choices(rows: DataFrame, keys: list[str]) -> DataFrame:
