@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 
 from vcspark import plans
-from vcspark.operators import dedup
+from vcspark.operators import dedup, ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +35,36 @@ def test_vectors_are_sent_to_few_blocks_however_many_there_are(spark, monkeypatc
     assert got == set(zip(*(x.tolist() for x in np.nonzero(unit @ unit.T >= 0.7))))
     cells = made["vector-blocks"].collect()
     assert sum(r.na for r in cells) <= dedup.VECTOR_BLOCKS + len(cells)
+
+
+def _outcomes_of(spark, rows, catalogue):
+    placed = spark.createDataFrame(rows, "seq long, hash binary, price double, n int, made int, ref long")
+    return ingest._outcomes(placed, spark.createDataFrame(catalogue, "id long, content_hash string, price double"))
+
+
+def test_listings_are_shuffled_once_to_be_compared(spark):
+    """A listing moved four times to be compared with the one before it; products of few listings need one move."""
+    plan = _outcomes_of(spark, [(1, b"a", 1.0, 0, 0, 5)], [(5, "a", 1.0)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Window") == 1
+
+
+def test_long_products_are_compared_in_chunks_alike(spark, monkeypatch):
+    """Products of many listings, of the catalogue and of the batch, beside short ones and duplicates, by chunks or not."""
+    digest = lambda t: None if t is None else hashlib.md5(t.encode()).digest()
+    rng = random.Random(5)
+    rows = [(s, digest(rng.choice(["a", "b", None])), rng.choice([1.0, 2.0, None]), rng.choice([0, 1, 1, 2]), *rng.choice([(0, 7), (0, 7), (0, 8), (1, 0), (0, 9)])) for s in range(1, 200)]
+    rows.append((0, digest("a"), 1.0, -1, 1, 0))
+    catalogue = [(7, "a", 1.0), (8, None, None), (9, "b", 2.0), (10, "a", 1.0)]
+    last, want = {(0, i): (digest(h), p) for i, h, p in catalogue}, set()
+    for s, h, p, n, made, ref in sorted(rows):
+        if n > 1:
+            want.add((s, "duplicate", False))
+            continue
+        was = last.get((made, ref), (None, None))
+        action = "new" if n < 0 else "unchanged" if was[0] == h else "changed"
+        want.add((s, action, p is not None and (action == "new" or action == "changed" and was[1] != p)))
+        last[made, ref] = (h, p)
+    for chunk in (65_536, 40, 3):
+        monkeypatch.setattr(ingest, "_CHUNK", chunk)
+        got = [(r.seq, r.action, r.price_point) for r in _outcomes_of(spark, rows, catalogue).collect()]
+        assert len(got) == len(rows) and set(got) == want

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vcspark.operators.skew import salted_join
@@ -24,6 +24,7 @@ LEVELS = ["source_product_id", "canonical_url", "image_sha256", "sku_gtin"]
 SAME_LISTING = 1
 HISTORY = 200
 _CHUNK = 65_536
+_CODEC = "zstd"
 
 
 def _keys(rows: DataFrame, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def _keys(rows: DataFrame, name: str) -> DataFrame:
 
 def _earliest(keys: DataFrame) -> DataFrame:
     """``keys`` (seq, n, kind, key) with ``first``, the smallest seq under the same key."""
-    by_key = save_shared(keys.groupBy("kind", "key").agg(F.min("seq").alias("first"), F.count("*").alias("held")), "ingest-first")
+    by_key = save_shared(keys.groupBy("kind", "key").agg(F.min("seq").alias("first"), F.count("*").alias("held")), "ingest-first", _CODEC)
     return salted_join(keys, by_key, ["kind", "key"], "held", "seq", "inner")
 
 
@@ -50,13 +51,13 @@ def settle_first(keys: DataFrame) -> DataFrame:
     """
     left, won = keys, []
     while True:
-        seen = save_shared(_earliest(left), "ingest-round")
+        seen = save_shared(_earliest(left), "ingest-round", _CODEC)
         winners = seen.groupBy("seq").agg(F.max(F.col("first") < F.col("seq")).alias("waits")).where("not waits").select("seq")
-        winners = save_shared(winners, "ingest-won")
+        winners = save_shared(winners, "ingest-won", _CODEC)
         won.append(winners)
         beaten = seen.where("first < seq").join(winners.select(F.col("seq").alias("first")), "first", "left_semi").select("seq")
         gone = beaten.union(winners).distinct()
-        rest = save_shared(seen.select("seq", "n", "kind", "key").join(gone, "seq", "left_anti"), "ingest-left")
+        rest = save_shared(seen.select("seq", "n", "kind", "key").join(gone, "seq", "left_anti"), "ingest-left", _CODEC)
         drop_shared(seen, *([left] if left is not keys else []))
         if rest.isEmpty():
             return reduce(DataFrame.union, won)
@@ -76,39 +77,51 @@ def ingest(batch: DataFrame, catalogue: DataFrame) -> DataFrame:
     the seq of the row that made the product. A price point is due for a new product with
     a price, and where a changed listing has another price than before.
     """
-    mine = save_shared(_keys(batch, "seq"), "ingest-keys")
+    mine = save_shared(_keys(batch, "seq"), "ingest-keys", _CODEC)
     theirs = _keys(catalogue, "id").groupBy("kind", "key").agg(F.min("id").alias("id"))
     counts = mine.groupBy("kind", "key").agg(F.count("*").alias("held"))
-    known = save_shared(theirs.join(counts, ["kind", "key"]), "ingest-known")
+    known = save_shared(theirs.join(counts, ["kind", "key"]), "ingest-known", _CODEC)
     old = salted_join(mine, known, ["kind", "key"], "held", "seq", "inner").select("seq", F.struct("n", F.lit(0).alias("made"), F.col("id").alias("ref")).alias("m"))
-    old = save_shared(old, "ingest-old")
-    open_rows = save_shared(mine.join(old.select("seq").distinct(), "seq", "left_anti"), "ingest-open")
-    winners = save_shared(settle_first(open_rows), "ingest-winners")
-    by_key = save_shared(mine.join(winners, "seq", "left_semi").select("kind", "key", F.col("seq").alias("first")).join(counts, ["kind", "key"]), "ingest-made")
+    old = save_shared(old, "ingest-old", _CODEC)
+    open_rows = save_shared(mine.join(old.select("seq").distinct(), "seq", "left_anti"), "ingest-open", _CODEC)
+    winners = save_shared(settle_first(open_rows), "ingest-winners", _CODEC)
+    by_key = save_shared(mine.join(winners, "seq", "left_semi").select("kind", "key", F.col("seq").alias("first")).join(counts, ["kind", "key"]), "ingest-made", _CODEC)
     fresh = salted_join(mine, by_key, ["kind", "key"], "held", "seq", "inner").where("first < seq").select("seq", F.struct("n", F.lit(1).alias("made"), F.col("first").alias("ref")).alias("m"))
     best = old.unionByName(fresh).groupBy("seq").agg(F.min("m").alias("m"))
-    rows = batch.select("seq", "content_hash", F.col("price").cast("double").alias("price")).join(best, "seq", "left")
+    rows = batch.select("seq", _digest("content_hash"), F.col("price").cast("double").alias("price")).join(best, "seq", "left")
     product = F.coalesce("m", F.struct(F.lit(-1).alias("n"), F.lit(1).alias("made"), F.col("seq").alias("ref")))
-    placed = rows.select("seq", "content_hash", "price", product["n"].alias("n"), product["made"].alias("made"), product["ref"].alias("ref"))
-    return _outcomes(save_shared(placed, "ingest-placed"), catalogue)
+    placed = rows.select("seq", "hash", "price", product["n"].alias("n"), product["made"].alias("made"), product["ref"].alias("ref"))
+    return _outcomes(save_shared(placed, "ingest-placed", _CODEC), catalogue)
+
+
+def _digest(content_hash: str) -> Column:
+    """A content hash as sixteen bytes, null for null: it is only compared, and moves with every row."""
+    return F.unhex(F.md5(content_hash)).alias("hash")
 
 
 def _outcomes(placed: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Actions by comparing each listing with the one before it of the same product.
 
-    A product's listings are compared in chunks of seq, so tasks share a product that a
-    large part of the batch lists; a chunk's first listing looks at the last of the chunk before.
+    A product's listings are sorted after the catalogue's content, which stands before them
+    as a row without seq, and compared in one pass: rows are shuffled once and joined to
+    nothing. Products with ``_CHUNK`` listings or more, of which there are few, are
+    compared in chunks of seq, so tasks share them; a chunk's first listing looks at the
+    last of the chunk before. Duplicates are compared with nothing and stay where they are.
     """
-    content = F.struct(F.col("content_hash").alias("hash"), F.col("price").alias("price"))
-    listed = placed.where(F.col("n") <= SAME_LISTING).select("made", "ref", "seq", F.floor(F.col("seq") / _CHUNK).alias("chunk"), content.alias("now"))
-    base = catalogue.select(F.lit(0).alias("made"), F.col("id").alias("ref"), F.struct(F.col("content_hash").alias("hash"), F.col("price").cast("double").alias("price")).alias("base"))
-    last = listed.groupBy("made", "ref", "chunk").agg(F.max_by("now", "seq").alias("last"))
-    before = last.withColumn("entry", F.lag("last").over(Window.partitionBy("made", "ref").orderBy("chunk"))).join(base, ["made", "ref"], "left")
-    before = before.select("made", "ref", "chunk", F.coalesce("entry", "base").alias("entry"))
-    within = Window.partitionBy("made", "ref", "chunk").orderBy("seq")
-    compared = listed.withColumn("prior", F.lag("now").over(within)).join(before, ["made", "ref", "chunk"]).select("seq", F.coalesce("prior", "entry").alias("prior"))
-    rows = placed.join(compared, "seq", "left")
-    same = F.col("prior.hash").eqNullSafe(F.col("content_hash"))
+    listing, product = F.col("n") <= SAME_LISTING, ["made", "ref"]
+    base = catalogue.select(F.lit(0).alias("made"), F.col("id").alias("ref"), _digest("content_hash"), F.col("price").cast("double").alias("price"))
+    many = save_shared(placed.where(listing).groupBy(*product).agg(F.count("*").alias("held")).where(F.col("held") >= _CHUNK).select(*product, F.lit(True).alias("many")), "ingest-many", _CODEC)
+    rows, start = placed.withColumn("chunk", F.lit(0).cast("long")), base.withColumn("chunk", F.lit(0).cast("long"))
+    if not many.isEmpty():
+        rows = placed.join(F.broadcast(many), product, "left").withColumn("chunk", F.when(F.col("many") & listing, F.floor(F.col("seq") / _CHUNK)).otherwise(0)).drop("many")
+        chunks = rows.where(listing).join(F.broadcast(many), product, "left_semi").groupBy(*product, "chunk").agg(F.max_by(F.struct("hash", "price"), "seq").alias("last"))
+        entry = F.coalesce(F.lag("last").over(Window.partitionBy(*product).orderBy("chunk")), "base")
+        entries = chunks.join(base.select(*product, F.struct("hash", "price").alias("base")), product, "left").withColumn("entry", entry).where("entry is not null")
+        start = start.join(F.broadcast(many), product, "left_anti").unionByName(entries.select(*product, "chunk", "entry.*"))
+    order = Window.partitionBy(*product, "chunk").orderBy(F.asc_nulls_first("seq"))
+    compared = rows.where(listing).unionByName(start, allowMissingColumns=True).withColumn("prior", F.lag(F.struct("hash", "price")).over(order)).where("seq is not null")
+    rows = compared.unionByName(rows.where(~listing), allowMissingColumns=True)
+    same = F.col("prior.hash").eqNullSafe(F.col("hash"))
     action = F.when(F.col("n") < 0, "new").when(F.col("n") > SAME_LISTING, "duplicate").when(same, "unchanged").otherwise("changed")
     other = F.col("price").isNotNull() & ~F.col("price").eqNullSafe(F.col("prior.price"))
     level = F.get(F.array(*map(F.lit, LEVELS)), F.col("n"))

@@ -28,11 +28,11 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vcspark/{name}-{uuid.uuid4().hex}"
 
 
-def save_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+def save_shared(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, by the session's codec unless one is given, and read it back."""
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path = path
     return table
