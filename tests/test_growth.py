@@ -68,3 +68,9 @@ def test_long_products_are_compared_in_chunks_alike(spark, monkeypatch):
         monkeypatch.setattr(ingest, "_CHUNK", chunk)
         got = [(r.seq, r.action, r.price_point) for r in _outcomes_of(spark, rows, catalogue).collect()]
         assert len(got) == len(rows) and set(got) == want
+
+
+def test_search_terms_are_looked_up_by_one_key(spark):
+    """A text was trimmed and lower-cased again for each of the terms it was held against, some ninety times a row."""
+    plan = plans.QUERIES["item_search_queries"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(lower(") <= 4

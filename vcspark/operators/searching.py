@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vcspark.functions.text import once
+
 # Spanish terms and what they are searched as, looked through in this order.
 COLORS = {
     "negro": "black", "blanco": "white", "gris": "grey", "azul": "blue", "rojo": "red", "verde": "green", "amarillo": "yellow", "rosa": "pink",
@@ -30,17 +31,15 @@ def _given(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def once(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
-    """``use`` of the values as fields of one struct, which is evaluated once however often they are used."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), F.lit(0))
-
-
 def translated(text: Column, terms: dict[str, str]) -> Column:
     """The whole text's term, else the first term it contains, else the text itself; null for null and empty."""
-    key = F.trim(F.lower(text))
-    whole = reduce(lambda chain, t: chain.when(key == t[0], t[1]), terms.items(), F)
-    held = reduce(lambda chain, t: chain.when(F.contains(key, F.lit(t[0])), t[1]), terms.items(), F)
-    return F.when(_given(text).isNotNull(), F.coalesce(whole, held, text))
+    known = F.create_map(*[F.lit(x) for t in terms.items() for x in t])
+
+    def term(key: Column) -> Column:
+        held = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(key, t))
+        return F.coalesce(F.try_element_at(known, key), F.try_element_at(known, F.get(held, F.lit(0))))
+
+    return F.when(_given(text).isNotNull(), F.coalesce(once({"key": F.trim(F.lower(text))}, lambda i: term(i["key"])), text))
 
 
 def _phrase(*parts: Column) -> Column:
