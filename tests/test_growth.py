@@ -7,9 +7,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vcspark import plans
-from vcspark.operators import dedup, ingest
+from vcspark.operators import dedup, ingest, skew
+from vcspark.sources.shared import save_shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +76,35 @@ def test_search_terms_are_looked_up_by_one_key(spark):
     """A text was trimmed and lower-cased again for each of the terms it was held against, some ninety times a row."""
     plan = plans.QUERIES["item_search_queries"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("trim(lower(") <= 4
+
+
+def test_joins_with_small_tables_move_no_row(spark):
+    """The rows moved once and the heaviest keys were sorted twice, however few keys there were."""
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else f"k{i % 5}") for i in range(300)], "id long, k string")
+    keyed = save_shared(left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")), "test-keyed")
+    joined = skew.salted_join(left, keyed, ["k"], "n", "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "TakeOrdered" not in plan
+    want = {k: (n, f) for k, n, f in keyed.collect()}
+    got = joined.collect()
+    assert len(got) == 300 and all((r["n"], r["first"]) == want[r["k"]] for r in got)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 16])
+def test_components_by_both_steps(spark, monkeypatch, limit):
+    """A round of few labels has one shuffle, of many the balanced ones; before, any round had about ten. Both give the same components."""
+    components = pytest.importorskip("vcspark.llm.components")
+    monkeypatch.setattr(components, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", limit)
+    shuffles = []
+    save = components.save_shared
+
+    def seen(df, name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return save(df, name)
+
+    monkeypatch.setattr(components, "save_shared", seen)
+    links = [(i, i + 1) for i in range(1, 20)] + [(500, i) for i in range(501, 900)] + [(30, 30), (None, 7)]
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 21)}, **{i: 500 for i in range(500, 900)}}
+    assert all(n == 1 for n in shuffles[2:]) == bool(limit)

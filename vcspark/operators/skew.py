@@ -11,6 +11,8 @@ HOT_KEYS = 1000
 SALTS = 64
 HOT_FROM = 256
 BROADCAST_ROWS = 200_000
+#: A saved table of so many keys at most goes to all tasks, and the rows that meet it stay where they are.
+BROADCAST_KEYS = 1 << 16
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -30,9 +32,13 @@ def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
     so the size is bounded) are dealt over ``SALTS`` tasks by the hash of ``spread``,
     and their rows of ``keyed`` are repeated for each. Any key that is left holds at
     most a ``HOT_KEYS``-th part of the rows. Null keys match null keys. ``keyed`` is
-    read twice, so it should be a saved table or cheap to make.
+    read twice, so it should be a saved table or cheap to make. A saved table of up to
+    ``BROADCAST_KEYS`` keys is broadcast, then no row is shuffled.
     """
     others = [c for c in keyed.columns if c not in keys]
+    if hasattr(keyed, "_shared_path") and keyed.count() <= BROADCAST_KEYS:
+        right = F.broadcast(_renamed(keyed, keys))
+        return rows.join(right, _same(rows, right, keys), how).select(*rows.columns, *others)
     hot = keyed.where(F.col(weight) >= HOT_FROM).orderBy(F.desc(weight), *keys).limit(HOT_KEYS).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(SALTS).alias("__n"))
     drop = [f"__k{i}" for i in range(len(keys))]
     left = rows.join(F.broadcast(hot), _same(rows, hot, keys), "left").drop(*drop).withColumn("__salt", F.when(F.col("__n").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__n")
