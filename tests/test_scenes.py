@@ -203,3 +203,20 @@ def test_tracker_query_equals_a_plain_fold(spark):
             want |= {i: t for _, i, t in tracker.take(at, valid)}
     got = {r.detection_id: r.track_id for r in plans.QUERIES["tracker_assign"](spark, SF).collect()}
     assert got == want
+
+
+def test_a_task_takes_its_jobs_in_one_pass(spark):
+    """Each job was a group of pandas for itself, which cost more than its frames; batches now end within jobs."""
+    frames = spark.createDataFrame(made_frames(), FRAMES)
+    want = shown(scene_events(frames, RULES).collect())
+    assert "FlatMapGroupsInPandas" not in scene_events(frames, RULES)._jdf.queryExecution().optimizedPlan().toString()
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, 7)
+        assert shown(scene_events(frames, RULES).collect()) == want
+    finally:
+        spark.conf.set(size, before)
+    odd = [r if i % 9 else (*r[:3], [None, float("nan"), float("inf")][i % 3], *r[4:]) for i, r in enumerate(made_frames())]
+    left = [r for i, r in enumerate(made_frames()) if i % 9]
+    assert shown(scene_events(spark.createDataFrame(odd, FRAMES), RULES).collect()) == shown(scene_events(spark.createDataFrame(left, FRAMES), RULES).collect())

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 from types import SimpleNamespace
 from typing import Any
@@ -28,7 +29,11 @@ Box = tuple[float, float, float, float]
 
 
 def _plain(s: Any) -> str:
-    s = "" if s is None or s != s else str(s)
+    return _folded("" if s is None or s != s else str(s))
+
+
+@lru_cache(1 << 14)
+def _folded(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not 0x300 <= ord(c) <= 0x36F).strip()
 
 

@@ -1,6 +1,6 @@
 """A video's frames as they come: requests of bounded size, late frames, scenes, sampling, tracks, and the flush of a scene that had too few frames.
 
-One step serves a batch (grouped pandas) and a stream (state by job, with a timer). A
+One step serves a batch (all jobs of a task in one sorted pass) and a stream (state by job, with a timer). A
 job ends with a frame marked ``last``, or when none has come for a while; then its open
 scene is closed, as it is when the next scene begins.
 """
@@ -13,6 +13,7 @@ from types import SimpleNamespace
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,6 +30,8 @@ EVENTS = (
     "start double, `end` double, frames int, analyzed int, status string"
 )
 _FIELDS = [f.strip().split()[0].strip("`") for f in EVENTS.split(",")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+_KINDS = [_ARROW[f.split()[1]] for f in EVENTS.split(",")]
 STATE = "state string"
 
 
@@ -38,7 +41,7 @@ def new_state() -> dict[str, Any]:
 
 def _analyse(state: dict[str, Any], at: float, detections: list[dict[str, Any]] | None) -> list[dict[str, Any]]:
     """Give the frame's detections their tracks."""
-    tracker = Tracker([dict(t, box=tuple(t["box"]) if t["box"] else None) for t in state["tracks"]], state["issued"])
+    tracker = Tracker(state["tracks"], state["issued"])
     ordered = sorted(detections or [], key=lambda d: d["detection_id"])
     ids = tracker.step(at, [SimpleNamespace(**d) for d in ordered])
     state["tracks"], state["issued"] = tracker.tracks, tracker.issued
@@ -145,6 +148,19 @@ def _events(job: str, state: dict[str, Any], made: list[dict[str, Any]]) -> pd.D
     return table
 
 
+def _usable(request: int, frame_id: int | None, at: float, picture: str | None, difference: float | None, local_change: bool | None, last: bool | None, detections: list[dict[str, Any]] | None) -> dict[str, Any]:
+    """A frame as ``advance`` takes it, from columns that hold it exactly; NaN is null."""
+    found = [{k: None if v != v else v for k, v in d.items()} for d in detections or [] if d is not None]
+    return {
+        "request": request, "frame_id": frame_id, "at": at, "hash": picture, "difference": None if difference != difference else difference,
+        "local_change": bool(local_change), "last": bool(last), "detections": [d for d in found if d["detection_id"] is not None],
+    }
+
+
+def _batch(events: list[dict[str, Any]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e.get(f) for e in events], kind) for f, kind in zip(_FIELDS, _KINDS)], names=_FIELDS)
+
+
 def scene_events(frames: DataFrame, rules: Sampling | None = None, required: bool = True, flush: bool = True) -> DataFrame:
     """Events of a batch of frames: one ``frame`` for each with a decision, ``track`` for each detection analysed, ``scene`` for each scene closed.
 
@@ -153,19 +169,38 @@ def scene_events(frames: DataFrame, rules: Sampling | None = None, required: boo
     before; null: no scene change), local_change, last, detections (array of structs with
     detection_id, name, category, x, y, width, height). ``n`` orders a job's events.
     Frames not after the last one taken are late. With ``flush`` the end of the table is
-    the end of every job. A job is a video, some thousands of frames.
+    the end of every job. Jobs are shuffled together and sorted, and a task takes its
+    frames one after the other, with the state of one job in memory.
     """
     rules = rules or Sampling()
+    whole = {"job_id": "string", "request": "long", "frame_id": "long", "at": "double"}
+    rows = frames.select(*[F.col(c).cast(whole[c]).alias(c) if c in whole else c for c in _COLUMNS])
+    rows = rows.withColumn("request", F.coalesce("request", F.lit(0))).where("at is not null and not isnan(at) and abs(at) <> double('inf')")
+    ordered = rows.repartition("job_id").sortWithinPartitions("job_id", "request", "at", F.col("frame_id").asc_nulls_last())
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, state, made = None, None, []
+
+        def told(events: list[dict[str, Any]]) -> None:
+            for event in events:
+                state["n"] += 1
+                made.append({"job_id": job, "n": state["n"], **event})
+
+        for part in parts:
+            jobs, columns = part.column("job_id").to_pylist(), [part.column(c).to_pylist() for c in _COLUMNS[1:]]
+            for of, *values in zip(jobs, *columns):
+                if state is None or of != job:
+                    if state is not None and flush and not state["closed"]:
+                        told(finish(state, rules, required))
+                    job, state = of, new_state()
+                told(advance(state, _usable(*values), rules, required))
+            yield _batch(made)
+            made = []
+        if state is not None and flush and not state["closed"]:
+            told(finish(state, rules, required))
+            yield _batch(made)
 
-    def run(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
-        state, made = new_state(), []
-        for frame in _frames(rows):
-            made += advance(state, frame, rules, required)
-        if flush and not state["closed"]:
-            made += finish(state, rules, required)
-        return _events(key[0], state, made)
-
-    return _needed(frames).groupBy("job_id").applyInPandas(run, EVENTS)
+    return ordered.mapInArrow(fold, EVENTS)
 
 
 def scene_stream(frames: DataFrame, rules: Sampling | None = None, required: bool = True, idle: str = "10 minutes", late: str = "1 minute", received: str = "received_at") -> DataFrame:
