@@ -251,3 +251,17 @@ def test_toxicity_edges(spark):
     odd = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1), (2, 5)], "doc_id long, toxic int")
     assert score_toxicity(docs, odd).count() == 5
     assert score_toxicity(docs.limit(0), odd).count() == 0
+
+
+def test_word_memo_stays_small():
+    """A worker's memo held half a million words, about a hundred MB that stayed with an idle worker; ids don't depend on it."""
+    from vcspark.llm.packing import byte_bpe_path
+    from vcspark.llm.tokens import Encoder
+
+    encoder = Encoder(byte_bpe_path())
+    words = [f"w{i:x}" for i in range(240_000)]
+    for at in range(0, len(words), 1000):
+        text = " ".join(words[at : at + 1000])
+        got = encoder.encode(text)
+        assert len(encoder.memo) <= (1 << 17) + 1000
+    assert got == b"".join(i.to_bytes(4, "little") for i in encoder.library.encode(text, add_special_tokens=False).ids)

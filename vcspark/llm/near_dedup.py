@@ -43,6 +43,8 @@ BLOCK = 1024
 BLOCK_VALUES = 1 << 19
 SMALL_LIST = 16
 MEETINGS = 2
+#: So much text at a time is cut into words.
+BATCH_BYTES = 2 << 20
 #: Pairs are made in lists of up to so many members.
 PAIRED = 8
 
@@ -63,7 +65,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, sketch
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for rows in batches(part, "text"):
+            for rows in batches(part, "text", BATCH_BYTES):
                 sets = list(shingles(*word_hashes(rows.column("text")), width))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(

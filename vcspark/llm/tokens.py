@@ -10,7 +10,7 @@ import regex
 
 #: The split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1 << 17
 
 #: Texts of these characters, on whose class all Unicode versions agree, are cut at single spaces; others go to the library whole.
 _PLAIN = regex.compile(r"[\t\n\r -~¡-ɏΑ-Ωα-ωА-я‐-‧€]*+")
