@@ -108,3 +108,25 @@ def test_components_by_both_steps(spark, monkeypatch, limit):
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 21)}, **{i: 500 for i in range(500, 900)}}
     assert all(n == 1 for n in shuffles[2:]) == bool(limit)
+
+
+def test_text_overlap_sends_blocks_and_no_pairs(spark, monkeypatch):
+    """Every text was joined and counted with every query that shared a word with it; in small blocks and few hits at a time, with repeated and null ids and empty rows."""
+    overlap = pytest.importorskip("vcspark.operators.overlap")
+    for name, size in (("TEXTS", 7), ("QUERIES", 3), ("HITS", 5)):
+        monkeypatch.setattr(overlap, name, size)
+    rng = random.Random(8)
+    some = lambda most: rng.sample("abcdefghijkl", rng.randint(0, most))
+    texts = [(i if i % 11 else None, some(9)) for i in range(60)] + [(5, some(9)), (6, [])]
+    queries = [(i, some(7)) for i in range(9)] + [(2, some(7)), (None, ["a"]), (90, [])]
+    df = overlap.overlap_topk(spark.createDataFrame(texts, "doc_id long, pt array<string>"), spark.createDataFrame(queries, "item_id long, qt array<string>"), 3)
+    got = {(r.item_id, r["rank"]): (r.doc_id, round(r.overlap * 10_000)) for r in df.collect()}
+    want = {}
+    for item in {i for i, _ in queries if i is not None}:
+        asked = [w for i, q in queries if i == item for w in q]
+        held = {d: sum(p.count(w) for e, p in texts if e == d for w in asked) for d, _ in texts}
+        ranked = sorted(((d, (20_000 * c + len(asked)) // (2 * len(asked))) for d, c in held.items() if c), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))
+        want |= {(item, i + 1): x for i, x in enumerate(ranked[:3])}
+    assert got == want and len(got) > 20
+    plan = plans.QUERIES["text_overlap_topk"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "doc_id" in line for line in plan.splitlines())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vcspark.functions import taxonomy, text, vectors
 from vcspark.functions.hashing import hamming, hash_embedding, sha256_key
 from vcspark.operators import dedup, matching, ranking, upserts
+from vcspark.operators.overlap import overlap_topk
 from vcspark.plans.entities import view
 from vcspark.plans.registry import query, table
 from vcspark.sources.shared import save_shared
@@ -305,13 +306,10 @@ def text_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _text_overlap(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
-    """The three of ``docs`` that hold most of each query text's words, by an inverted list of words."""
+    """The three of ``docs`` that hold most of each query text's words, counted in blocks of texts and queries."""
     words = docs.select("doc_id", text.tokens("text").alias("pt"))
     asked = table(spark, d, "benchmark").select("item_id", text.tokens("text").alias("qt"))
-    met = words.select("doc_id", F.explode("pt").alias("w")).join(asked.select("item_id", F.size("qt").alias("n"), F.explode("qt").alias("w")), "w")
-    counted = met.groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.first("n"), 4).alias("overlap"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")
-    return counted.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    return overlap_topk(words, asked, 3)
 
 
 @query(
