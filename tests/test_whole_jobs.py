@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import comparable
 from vcspark import plans
+from vcspark.functions import taxonomy
 from vcspark.functions.taxonomy import identity_key
+from vcspark.functions.text import text_overlap
 from vcspark.functions.vectors import cosine_raw
-from vcspark.operators import dedup, matching, nearest, ranking, reports, tracking
+from vcspark.operators import dedup, matching, nearest, ranking, reports, scoring, tracking
 from vcspark.plans import video
 from vcspark.plans.entities import view
 
@@ -231,3 +233,70 @@ def test_boxes_of_many_frames_go_in_one_pass(spark):
         assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _match_rows(r: random.Random, numbers: range) -> tuple[list[tuple], list[tuple]]:
+    """Products and queries with every field missing, blank and odd at times, shared files, near hashes and vectors of several kinds."""
+    pick = lambda values, share=0.8: r.choice(values) if r.random() < share else None
+    hashes, axes = [f"{r.getrandbits(64):016x}" for _ in range(5)], [[r.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    close = lambda h: h and f"{int(h, 16) ^ r.choice([0, 1, 5, 255, 2**40 - 1]):016x}"
+    odd = [[0.0] * 6, [], [1.0, None, 2.0, 3.0, 0.0, 0.0], [1.0, 2.0], [float("nan")] + [1.0] * 5, [1e200] + [1.0] * 5, [1e-200] + [0.0] * 5]
+    vector = lambda share: r.choice(odd) if r.random() < 0.12 else [x + r.choice([0.0, r.gauss(0, 0.2)]) for x in r.choice(axes)] if r.random() < share else None
+    name = lambda: " ".join(r.sample(["Red", "lámpara", "ring", "oak", "blue-bolt", "x"], r.randrange(4)))
+    files, kinds, brands, colours = [f"f{n}" for n in range(12)] + [""], ["watch", "Relojes", "joyeria", "bag", "all", "bolso", "!!", "mine"], ["H&M", "h and m", "Zara", "!", "zara home"], ["rojo", "azul marino", "navy", "?", "teal"]
+    genders, stuff = ["women", "men", "unisex", "", "Niño"], ["Lana", "lana ", "cotton", ""]
+    common = lambda: (pick(brands, 0.5), pick(colours, 0.6), pick(genders), pick(stuff, 0.5), pick(stuff, 0.4))
+    products, queries = [], []
+    for n in numbers:
+        images = [(pick(["u", ""]), pick(files), pick([0, 250, 500, 900]), pick([300, 700])) for _ in range(r.randrange(3))]
+        digest = r.choice(["", "0", "ab", close(r.choice(hashes)), close(r.choice(hashes)), None])
+        products.append((n, r.random() < 0.95, pick([images]), pick(["p", ""], 0.3), digest, vector(0.7), vector(0.3), name(), pick(kinds), pick(["sub", "oak"], 0.2), pick(["fine ring"], 0.2), pick([[], ["rojo", None], ["NAVY", "?"]], 0.5), *common()))
+        digest = r.choice(["", "0", close(r.choice(hashes)), close(r.choice(hashes)), None])
+        words = r.choice([None, " ", "!!", name(), name(), name()])
+        queries.append((n, pick(files, 0.3), digest, vector(0.8), words, vector(0.3), pick(kinds, 0.4), r.choice([None, "ring", "a oak", "!", ""]), pick([True, False], 0.4), *common()[1:], pick(brands, 0.2)))
+    return products, queries
+
+
+_COMMON = "color string, gender string, material string, pattern string"
+_PRODUCT = "product_id long, is_active boolean, images array<struct<url string, sha256 string, width int, height int>>, primary_image string, perceptual_hash string, embedding array<double>, text_embedding array<double>, title string, category string, subcategory string, style string, secondary_colors array<string>, brand string, " + _COMMON
+_QUERY = "query_id long, image_sha256 string, perceptual_hash string, embedding array<double>, query_text string, text_embedding array<double>, category string, type string, require_image boolean, " + _COMMON + ", brand string"
+
+
+def _match_by_pairs(queries, products, k, least):
+    """The match by an expression over every pair."""
+    p, q = (t.select(*[F.col(c).alias(f"{s}_{c}") for c in t.columns]) for t, s in ((products.where("is_active"), "p"), (queries, "q")))
+    of = lambda s, t: {c: F.col(f"{s}_{c}") for c in t.columns}
+    x, y = of("p", products), of("q", queries)
+    said = lambda c: F.coalesce(c, F.lit("")) != ""
+    image, text = said(y["image_sha256"]) | said(y["perceptual_hash"]) | y["embedding"].isNotNull(), F.coalesce(F.trim(y["query_text"]), F.lit("")) != ""
+    shown = said(x["primary_image"]) | F.coalesce(F.exists(x["images"], lambda i: F.coalesce(i["url"], F.lit("")) != ""), F.lit(False))
+    brand = taxonomy.canonical_brand(y["brand"])
+    fits = taxonomy.categories_match(x["category"], y["category"]) & F.coalesce(brand.isNull() | (brand == taxonomy.canonical_brand(x["brand"])), F.lit(False)) & ~taxonomy.gender_conflict(x["gender"], y["gender"]) & (~F.coalesce(y["require_image"], image) | shown)
+    cosine = lambda n: F.when(x[n].isNotNull() & y[n].isNotNull() & (F.size(x[n]) == F.size(y[n])), cosine_raw(x[n], y[n]))
+    visual = matching.visual_score(y["image_sha256"], F.transform(x["images"], lambda i: i["sha256"]), y["perceptual_hash"], x["perceptual_hash"], cosine("embedding"))
+    overlap = text_overlap(y["query_text"], x["brand"], x["title"], x["category"], x["color"])
+    pairs = p.crossJoin(q).where(fits).select(
+        y["query_id"], x["product_id"], F.when(image, visual).alias("v"), image.alias("image"), text.alias("text"), matching.image_quality(x["images"]).alias("quality"), matching.attribute_score(matching.attribute_checks(x, y)).alias("a"),
+        F.when(text, F.greatest(overlap, F.coalesce(F.greatest(F.lit(0.0), cosine("text_embedding")), F.lit(0.0)))).otherwise(0.0).alias("t"),
+    ).where("not image or v is not null").withColumn("s", F.coalesce("v.score", F.lit(0.0)))
+    final = matching.combine_scores(F.col("s"), F.col("t"), F.col("a"), F.col("image"), F.col("text"))
+    scored = pairs.select(F.col("q_query_id").alias("query_id"), F.col("p_product_id").alias("product_id"), *[F.round(c, 4).alias(n) for c, n in (("s", "visual_score"), ("t", "text_score"), ("a", "attribute_score"))], F.col("v.stage").alias("stage"), F.round(final, 4).alias("final_score"), F.round("quality", 4).alias("image_quality"))
+    return sorted(str(tuple(r)) for r in matching.rank_matches(scored, "query_id", "product_id", k, least).collect())
+
+
+@pytest.mark.parametrize(("seed", "k", "least"), [(1, 4, 0.3), (2, 60, 0.1)])
+def test_full_match_in_blocks_equals_every_pair(spark, monkeypatch, seed, k, least):
+    for name, size in (("PRODUCT_BLOCK", 40), ("LEAST_BLOCK", 20), ("QUERY_BLOCK", 25), ("PAIRS", 90)):
+        monkeypatch.setattr(scoring, name, size)
+    made, asked = _match_rows(random.Random(seed), range(150))
+    products, queries = spark.createDataFrame(made, _PRODUCT), spark.createDataFrame(asked[:70], _QUERY)
+    found = matching.match_products(queries, products, k, least)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = sorted(str(tuple(r)) for r in found.collect())
+    assert got == _match_by_pairs(queries, products, k, least) and len(got) > 150 and all(any(s in r for r in got) for s in (*scoring.STAGES, "None"))
+
+
+def test_scores_round_as_spark_rounds(spark):
+    values = [0.6 * (1 - d / 64) + 0.25 * t / 4 + 0.15 * a / 6 for d in range(7) for t in range(5) for a in range(7)] + [n / 20_000 for n in range(200)] + [0.00005, 1.00005, 0.30000000000000004, float("nan")]
+    want = [r.r for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 4).alias("r")).collect()]
+    assert np.array_equal(scoring.round_half_up(np.array(values), 4), np.array(want), equal_nan=True)

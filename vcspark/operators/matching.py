@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vcspark.functions.hashing import hamming, hex_half
-from vcspark.functions.taxonomy import UNISEX, canonical_brand, canonical_category, canonical_colour, categories_match, category_family
+from vcspark.functions.taxonomy import canonical_brand, canonical_category, canonical_colour, categories_match, category_family
 from vcspark.functions.text import norm_strict, tokens
-from vcspark.functions.vectors import dot, norm
 from vcspark.operators.nearest import nearest
+from vcspark.operators.scoring import best_matches
 from vcspark.sources.shared import save_shared
 
 # Weights of picture, text and attributes, by what the query has; defaults of the result.
@@ -22,12 +22,8 @@ BLOCK_QUERIES = 100_000
 
 def visual_score(query_sha: Column, shas: Column, query_hash: Column, product_hash: Column, similarity: Column) -> Column:
     """A struct (score, stage): equal picture 1, near perceptual hash 1 - d / 64, else the cosine from 0; null where nothing compares."""
-    return visual_stages(query_sha, shas, hamming(query_hash, product_hash), similarity)
-
-
-def visual_stages(query_sha: Column, shas: Column, d: Column, similarity: Column) -> Column:
-    """``visual_score`` from the hashes' distance ``d``."""
-    stages = F.when(F.coalesce(F.array_contains(shas, query_sha), F.lit(False)), F.struct(F.lit(1.0).alias("score"), F.lit("exact_hash").alias("stage")))
+    d = F.when((F.length(query_hash) > 0) & (F.length(product_hash) > 0), hamming(query_hash, product_hash))
+    stages = F.when((query_sha != "") & F.coalesce(F.array_contains(shas, query_sha), F.lit(False)), F.struct(F.lit(1.0).alias("score"), F.lit("exact_hash").alias("stage")))
     stages = stages.when(d <= HASH_DISTANCE, F.struct((1 - d / 64).alias("score"), F.lit("perceptual_hash").alias("stage")))
     return stages.when(similarity.isNotNull(), F.struct(F.greatest(F.lit(0.0), similarity).alias("score"), F.lit("embedding").alias("stage")))
 
@@ -93,66 +89,38 @@ def match_products(queries: DataFrame, products: DataFrame, k: int = TOP_K, leas
 
     Category and brand filter as well as score; gender filters where both state it. A
     query's picture compares by equal file, near hash or vector, and products that
-    can't be compared drop out. Queries are counted and taken in blocks of
-    ``BLOCK_QUERIES``, each broadcast to the products, which stay where they are read.
+    can't be compared drop out. Both sides are prepared once a row; blocks of them meet
+    in tasks, which score the pairs that fit and return a block's best.
     """
     col = F.col
     said = lambda x: F.coalesce(col(x), F.lit("")) != ""
 
-    def prepared(s: str) -> list[Column]:
-        """What a pair compares of either side, so that no text is normalised and no vector measured for a pair."""
-        vectors = [(n, F.transform(n, lambda x: x.cast("double")), norm(n)) for n in ("embedding", "text_embedding")]
+    def prepared(side: DataFrame) -> list[Column]:
+        """What is compared of either side, so that no text is normalised for a pair."""
+        vectors = [F.col(n) if t in ("array<float>", "array<double>") else F.col(n).cast("array<double>") for n, t in side.select("embedding", "text_embedding").dtypes]
+        category = canonical_category("category")
         return [
-            canonical_category("category").alias(f"{s}_cat"), category_family(canonical_category("category")).alias(f"{s}_fam"), canonical_brand("brand").alias(f"{s}_brand"), canonical_colour("color").alias(f"{s}_color"), norm_strict("gender").alias(f"{s}_gender"),
-            *[F.when(said(n), norm_strict(n)).alias(f"{s}_{n}") for n in ("material", "pattern")], *[F.coalesce(hex_half("perceptual_hash", at), F.lit(0)).alias(f"{s}_h{at}") for at in (1, 9)], F.length("perceptual_hash").alias(f"{s}_h"),
-            *[c for n, v, length in vectors for c in (v.alias(f"{s}_{n}"), length.alias(f"{s}_{n}_norm"))],
+            category.alias("cat"), category_family(category).alias("fam"), canonical_brand("brand").alias("brand"), canonical_colour("color").alias("color"), norm_strict("gender").alias("gender"),
+            *[F.when(said(n), norm_strict(n)).alias(n) for n in ("material", "pattern")], *[F.coalesce(hex_half("perceptual_hash", at), F.lit(0)).alias(f"h{at}") for at in (1, 9)], F.length("perceptual_hash").alias("digits"),
+            *[v.alias(n) for n, v in zip(("v", "tv"), vectors)],
         ]
 
     has_image = said("image_sha256") | said("perceptual_hash") | col("embedding").isNotNull()
     asked = [said(n).alias(f"asks_{n}") for n in ("category", "brand", "color", "type", "material", "pattern")]
     q = queries.select(
-        col("query_id").alias("q_query_id"), "image_sha256", has_image.alias("has_image"), (F.coalesce(F.trim("query_text"), F.lit("")) != "").alias("has_text"), F.coalesce("require_image", has_image).alias("needs"), tokens("query_text").alias("q_words"), tokens("type").alias("q_type"), *asked, *prepared("q"),
+        "query_id", F.when(said("image_sha256"), col("image_sha256")).alias("image_sha256"), has_image.alias("has_image"), (F.coalesce(F.trim("query_text"), F.lit("")) != "").alias("has_text"), F.coalesce("require_image", has_image).alias("needs"), tokens("query_text").alias("words"), tokens("type").alias("type"), *asked, *prepared(queries),
     )
     some = F.exists("images", lambda i: F.coalesce(i["url"], F.lit("")) != "")
     colours = F.transform(F.coalesce("secondary_colors", F.array().cast("array<string>")), canonical_colour)
     p = products.where("is_active").select(
-        "product_id", (said("primary_image") | F.coalesce(some, F.lit(False))).alias("shown"), F.transform("images", lambda i: i["sha256"]).alias("shas"), image_quality(col("images")).alias("image_quality"),
-        tokens(F.concat_ws(" ", "brand", "title", "category", "color")).alias("p_words"), norm_strict(F.concat_ws(" ", "subcategory", "style", "title")).alias("hay"), colours.alias("p_colors"), *prepared("p"),
+        "product_id", (said("primary_image") | F.coalesce(some, F.lit(False))).alias("shown"), F.transform("images", lambda i: i["sha256"]).alias("shas"), F.round(image_quality(col("images")), digits).alias("image_quality"),
+        tokens(F.concat_ws(" ", "brand", "title", "category", "color")).alias("words"), norm_strict(F.concat_ws(" ", "subcategory", "style", "title")).alias("hay"), colours.alias("colors"), *prepared(products),
     )
-    # saved, or the optimiser would put the preparation back into the pairs
-    q, p = save_shared(q, "match-queries"), save_shared(p.repartition(p.sparkSession.sparkContext.defaultParallelism * 4), "match-products")
-    free = col("q_cat").isNull() | col("p_cat").isNull() | (col("q_cat") == "all") | (col("p_cat") == "all")
-    fits = free | (col("q_cat") == col("p_cat")) | col("p_fam").eqNullSafe(col("q_cat")) | col("q_fam").eqNullSafe(col("p_cat"))
-    known = lambda x: (col(x) != "") & ~col(x).isin(*UNISEX)
-    fits = fits & (col("q_brand").isNull() | (col("q_brand") == col("p_brand"))) & (~col("needs") | col("shown")) & ~(known("p_gender") & known("q_gender") & (col("p_gender") != col("q_gender")))
-    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
-    part = F.pmod(F.xxhash64("q_query_id"), F.lit(blocks))
-
-    def cosine(n: str) -> Column:
-        alike = F.coalesce(F.try_divide(dot(f"p_{n}", f"q_{n}"), col(f"p_{n}_norm") * col(f"q_{n}_norm")), F.lit(0.0))
-        return F.when(F.size(f"p_{n}") == F.size(f"q_{n}"), alike)
-
-    def block(number: int) -> DataFrame:
-        pairs = p.join(F.broadcast(q.where(part == number) if blocks > 1 else q), fits)
-        bits = sum(F.bit_count(col(f"p_h{at}").bitwiseXOR(col(f"q_h{at}"))) for at in (1, 9))
-        apart = F.when(col("p_h") != col("q_h"), 64).otherwise(bits).cast("int")
-        pairs = pairs.withColumn("visual", F.when(col("has_image"), visual_stages(col("image_sha256"), col("shas"), apart, cosine("embedding")))).where(~col("has_image") | col("visual").isNotNull())
-        overlap = F.when(F.size("q_words") == 0, 0.0).otherwise(F.size(F.array_intersect("q_words", "p_words")) / F.size("q_words"))
-        text = F.when(col("has_text"), F.greatest(overlap, F.coalesce(F.greatest(F.lit(0.0), cosine("text_embedding")), F.lit(0.0)))).otherwise(0.0)
-        checks = [
-            (col("asks_category"), F.lit(True)),  # pairs of other categories are gone
-            (col("asks_brand"), col("p_brand").eqNullSafe(col("q_brand"))),
-            (col("asks_color"), col("p_color").eqNullSafe(col("q_color")) | F.exists("p_colors", lambda c: c == col("q_color"))),
-            (col("asks_type"), F.exists("q_type", lambda t: F.contains(col("hay"), t))),
-            *[(col(f"asks_{n}") & col(f"p_{n}").isNotNull(), col(f"p_{n}") == col(f"q_{n}")) for n in ("material", "pattern")],
-        ]
-        pairs = pairs.select(col("q_query_id").alias("query_id"), "product_id", F.coalesce(col("visual.score"), F.lit(0.0)).alias("v"), text.alias("t"), attribute_score(checks).alias("a"), col("visual.stage").alias("stage"), "has_image", "has_text", "image_quality")
-        rounded = lambda x, n: F.round(x, digits).alias(n)
-        final = combine_scores(col("v"), col("t"), col("a"), col("has_image"), col("has_text"))
-        scored = pairs.select("query_id", "product_id", rounded("v", "visual_score"), rounded("t", "text_score"), rounded("a", "attribute_score"), "stage", rounded(final, "final_score"), rounded("image_quality", "image_quality"))
-        return rank_matches(scored, "query_id", "product_id", k, least)
-
-    return reduce(DataFrame.unionByName, [block(n) for n in range(blocks)])
+    q, p = save_shared(q, "match-queries"), save_shared(p, "match-products")
+    met = best_matches(q, p, WEIGHTS, min(k, MOST_K), least, TIE_BAND, HASH_DISTANCE, digits)
+    names = {"visual": "visual_score", "text": "text_score", "attribute": "attribute_score", "stage": "stage", "final": "final_score"}
+    scored = met.select("query_id", "product_id", *[(F.col(n) if n == "stage" else F.round(n, digits)).alias(name) for n, name in names.items()], "image_quality")
+    return rank_matches(scored, "query_id", "product_id", k, least)
 
 
 def match_vectors(queries: DataFrame, products: DataFrame, k: int = TOP_K, least: float = MIN_IMAGE_SCORE, digits: int = 4) -> DataFrame:

@@ -59,10 +59,10 @@ def few_copies(v: np.ndarray, k: int) -> np.ndarray:
     rows = np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel()
     _, kind = np.unique(rows, return_inverse=True)
     order = np.argsort(kind, kind="stable")
-    return np.sort(order[_first_of_each([kind[order]], k)])
+    return np.sort(order[first_of_each([kind[order]], k)])
 
 
-def _first_of_each(groups: list[np.ndarray], k: int) -> np.ndarray:
+def first_of_each(groups: list[np.ndarray], k: int) -> np.ndarray:
     """Whether each row is among the first ``k`` of its group; rows of equal values in ``groups`` lie together."""
     rows = len(groups[0])
     if not rows:
@@ -81,12 +81,12 @@ def _best(query: np.ndarray, item: np.ndarray, visual: np.ndarray, k: int, weigh
         scaled = (weight * visual + base) * 10.0**digits
         low, high = np.floor(scaled + 0.5 - _HALF), np.floor(scaled + 0.5 + _HALF)
     order = np.lexsort((item, np.where(np.isnan(low), np.inf, -low), query))
-    kept = order[_first_of_each([query[order]], k)]
+    kept = order[first_of_each([query[order]], k)]
     odd = np.flatnonzero(~(low == high))
     if len(odd):
         value = np.nan_to_num(visual[odd], nan=9.0)
         odd = odd[np.lexsort((item[odd], value, query[odd]))]
-        kept = np.union1d(kept, odd[_first_of_each([query[odd], np.nan_to_num(visual[odd], nan=9.0)], k)])
+        kept = np.union1d(kept, odd[first_of_each([query[odd], np.nan_to_num(visual[odd], nan=9.0)], k)])
     return kept
 
 

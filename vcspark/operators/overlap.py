@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 TEXTS, QUERIES, HITS = 2048, 2048, 1 << 22
 
 
-def _counts(row: np.ndarray, word: np.ndarray, n_rows: int, item: np.ndarray, first: np.ndarray, n_items: int) -> np.ndarray:
+def word_counts(row: np.ndarray, word: np.ndarray, n_rows: int, item: np.ndarray, first: np.ndarray, n_items: int) -> np.ndarray:
     """How many of each item's words each row has; ``row`` doesn't fall, ``item[first[w] : first[w + 1]]`` hold word ``w``."""
     out = np.zeros((n_rows, n_items), np.int32)
     held = first[word + 1] - first[word]
@@ -64,7 +64,7 @@ def overlap_topk(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         known = word.is_valid().to_numpy(zero_copy_only=False)
         row = np.repeat(text, has.value_lengths().to_numpy())[known]
         n_texts = int(text[-1]) + 1
-        counts = _counts(row, word.drop_null().to_numpy().astype(np.int64), n_texts, item, first, len(n))
+        counts = word_counts(row, word.drop_null().to_numpy().astype(np.int64), n_texts, item, first, len(n))
         # as the result rounds: four digits, halves up
         share = (20_000 * counts.astype(np.int64) + n) // (2 * np.maximum(n, 1))
         key = share * n_texts + np.arange(n_texts - 1, -1, -1)[:, None]
